@@ -18,6 +18,8 @@ TOKENS = "tk"
 FILTERED = "filtered_words"
 BIGRAMS = "ngrams"
 
+_VECTOR = "v struct<indices: array<int>, values: array<double>>"
+
 
 def tokenizer() -> Tokenizer:
     return Tokenizer(inputCol="tweet", outputCol=TOKENS)
@@ -55,6 +57,21 @@ def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
     return exploded.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def vector_terms(counted: DataFrame, vocabulary: list[str], vector: str = "tf", value: str = "tf") -> DataFrame:
+    """The entries of the model's sparse vectors as (id, term, value).
+
+    The vocabulary is the fitted one, so its size is capped.
+    """
+    spark = counted.sparkSession
+    terms = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+    opened = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), _VECTOR)["v"]
+    entries = counted.select("id", opened.alias("v")).select(
+        "id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("entry")
+    )
+    placed = entries.select("id", F.col("entry.indices").alias("place"), F.col("entry.values").alias(value))
+    return placed.join(terms, "place").select("id", "term", value)
+
+
 def corpus_counts(tokenized: DataFrame, terms: str) -> DataFrame:
     """Occurrences of each term in the corpus; repeats are added up before the shuffle."""
     return tokenized.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))

@@ -56,9 +56,9 @@ def class_index(target: Column) -> Column:
 def stored_predictions(posts: DataFrame) -> DataFrame:
     """Posts as prediction records, with a prediction that is right for even ids."""
     label = class_index(F.col("target"))
+    kept = [name for name in ("tweet", "filtered_words", "target") if name in posts.columns]
     return posts.select(
-        "tweet",
-        "target",
+        *kept,
         label.alias("label"),
         F.pmod(label + F.pmod(F.pmod(F.col("id"), F.lit(5)), F.lit(2)), F.lit(4.0)).alias("prediction"),
         F.floor(F.col("id") / 50).alias("batch_id"),

@@ -4,7 +4,7 @@ The format and its options are parameters. Kafka is the default; tests and
 queries use file formats, because no broker is at hand.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StructType
@@ -29,12 +29,17 @@ def subscribe(
     return (reader.schema(schema) if schema else reader).load()
 
 
+def parsed(value: Column, schema: StructType) -> Column:
+    """The JSON object in a message body; fields that do not fit are null."""
+    return F.from_json(value.cast("string"), schema)
+
+
 def parse_messages(messages: DataFrame, schema: StructType = POST) -> DataFrame:
     """Decode ``value`` and spread its JSON fields over columns.
 
     Messages that are no JSON object give a row of nulls; unknown keys go.
     """
-    return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
+    return messages.select(parsed(F.col("value"), schema).alias("data")).select("data.*")
 
 
 def to_messages(posts: DataFrame) -> DataFrame:
