@@ -108,8 +108,8 @@ def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, target, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts""",
 )
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = classifier.hash_split(labelled_posts(spark, sf_dir).select("id", "target"))
-    return train.withColumn("in_training", F.lit(True)).union(test.withColumn("in_training", F.lit(False)))
+    chosen = classifier.in_training_set(F.col("id")).alias("in_training")
+    return labelled_posts(spark, sf_dir).select("id", "target", chosen)
 
 
 @query("m9_random_split", f"{_POSTS} SELECT count(*) AS n FROM posts")

@@ -29,7 +29,8 @@ def append_predictions(
     """
     order = F.monotonically_increasing_id() if seq is None else seq
     moment = F.current_timestamp() if scored_at is None else F.lit(scored_at)
-    reported = [field.name for field in PREDICTION.fields if field.name in scored.columns]
+    order_fields = ("seq", "scored_at", "batch_id")
+    reported = [name for name in PREDICTION.names if name in scored.columns and name not in order_fields]
     (
         scored.select(*reported, order.cast("long").alias("seq"), moment.alias("scored_at"))
         .write.mode("overwrite")
