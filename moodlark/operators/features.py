@@ -47,14 +47,24 @@ def with_bigrams(posts: DataFrame) -> DataFrame:
     return bigrams().transform(with_filtered_words(posts))
 
 
+def exploded(tokenized: DataFrame, terms: str, *kept: str) -> DataFrame:
+    """One row per term of each post.
+
+    A plain explode makes the optimizer add filters on the term list, which
+    tokenize each text again, on the wrong side of a join if there is one. The
+    outer form does not; its rows for empty lists are dropped here.
+    """
+    rows = tokenized.select(*kept, F.explode_outer(terms).alias("term"))
+    return rows.where(F.col("term").isNotNull())
+
+
 def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
     """Occurrences of each term in each post.
 
     All tokens of a post are in one task, so the partial counts are final and
     the shuffle moves one row per (id, term).
     """
-    exploded = tokenized.select("id", F.explode(terms).alias("term"))
-    return exploded.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return exploded(tokenized, terms, "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def vector_terms(counted: DataFrame, vocabulary: list[str], vector: str = "tf", value: str = "tf") -> DataFrame:
@@ -74,7 +84,7 @@ def vector_terms(counted: DataFrame, vocabulary: list[str], vector: str = "tf",
 
 def corpus_counts(tokenized: DataFrame, terms: str) -> DataFrame:
     """Occurrences of each term in the corpus; repeats are added up before the shuffle."""
-    return tokenized.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return exploded(tokenized, terms).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def capped_vocabulary(corpus: DataFrame, size: int) -> DataFrame:

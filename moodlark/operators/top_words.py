@@ -56,7 +56,7 @@ def count_words(
     words = charted(posts).select(
         F.lower("target").alias("sentiment"),
         F.col(position).cast("decimal(20,0)").alias("post"),
-        F.posexplode(word_tokens(F.col("tweet"), abbreviations)).alias("place", "word"),
+        F.posexplode_outer(word_tokens(F.col("tweet"), abbreviations)).alias("place", "word"),
     )
     kept = words.where(is_alphabetic(F.col("word")) & ~F.col("word").isin(*stop_words))
     first_seen = F.min(F.col("post") * F.lit(POSITION_STEP) + F.col("place"))

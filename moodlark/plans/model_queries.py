@@ -28,18 +28,18 @@ _IDF = """weights AS (
 
 @query("m1_bigram_counts", f"{_BIGRAM_COUNTS} SELECT id, term, tf FROM counts")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_counts(features.with_bigrams(labelled_posts(spark, sf_dir)), features.BIGRAMS)
+    return features.term_counts(features.with_bigrams(labelled_posts(spark, sf_dir, text_work=True)), features.BIGRAMS)
 
 
 @query("m2_token_counts", f"{_TOKEN_COUNTS} SELECT id, term, tf FROM counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_counts(features.with_tokens(labelled_posts(spark, sf_dir)), features.TOKENS)
+    return features.term_counts(features.with_tokens(labelled_posts(spark, sf_dir, text_work=True)), features.TOKENS)
 
 
 @query("m2_token_vectors", f"{_TOKEN_COUNTS} SELECT id, term, tf::DOUBLE AS tf FROM counts")
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from the model's own count vectors."""
-    posts = written(labelled_posts(spark, sf_dir).select("id", "tweet"), "posts")
+    posts = written(labelled_posts(spark, sf_dir, text_work=True).select("id", "tweet"), "posts")
     tokenized = features.with_tokens(posts)
     counter = classifier.count_vectorizer(features.TOKENS).fit(tokenized)
     return features.vector_terms(counter.transform(tokenized), counter.vocabulary)
@@ -51,13 +51,13 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, n FROM corpus ORDER BY n DESC, term LIMIT {classifier.STORED_VOCABULARY}""",
 )
 def capped_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = features.corpus_counts(features.with_tokens(labelled_posts(spark, sf_dir)), features.TOKENS)
+    corpus = features.corpus_counts(features.with_tokens(labelled_posts(spark, sf_dir, text_work=True)), features.TOKENS)
     return features.capped_vocabulary(corpus, classifier.STORED_VOCABULARY)
 
 
 @query("m4_idf_weights", f"{_TOKEN_COUNTS}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM weights")
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir)
+    posts = labelled_posts(spark, sf_dir, text_work=True)
     counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
     return features.idf_weights(counts, posts).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -70,7 +70,7 @@ _WEIGHTED = f"{_TOKEN_COUNTS}, {_IDF}"
     f"{_WEIGHTED} SELECT id, term, tf, round(tf * idf, 6) AS tfidf FROM counts JOIN weights USING (term)",
 )
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir)
+    posts = labelled_posts(spark, sf_dir, text_work=True)
     counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
     return features.tf_idf(counts, posts).select("id", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
@@ -81,7 +81,7 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tf_idf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same weights from the model's own feature vectors."""
-    posts = written(labelled_posts(spark, sf_dir).select("id", "tweet"), "posts")
+    posts = written(labelled_posts(spark, sf_dir, text_work=True).select("id", "tweet"), "posts")
     tokenized = features.with_tokens(posts)
     counter = classifier.count_vectorizer(features.TOKENS).fit(tokenized)
     counted = counter.transform(tokenized)
@@ -122,7 +122,7 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def trained(spark: SparkSession, sf_dir: str) -> classifier.Training:
     """The bigram classifier, fitted once for all queries of a session that use it."""
-    return classifier.train(labelled_posts(spark, sf_dir))
+    return classifier.train(labelled_posts(spark, sf_dir, text_work=True))
 
 
 @query("m6_class_probabilities")
@@ -189,7 +189,7 @@ _SQL_CLASSES = ", ".join(f"({k}, {bias}::DOUBLE)" for k, bias in enumerate(_INTE
     FROM shares GROUP BY id""",
 )
 def long_form_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir)
+    posts = labelled_posts(spark, sf_dir, text_work=True)
     counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
     weighted = written(features.tf_idf(counts, posts), "tf-idf")
     terms = weighted.select("term").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import CLASS_NAMES
+from moodlark.workspace import spread_if_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,7 @@ def sentiment(quality: Column, toxic: Column) -> Column:
     )
 
 
-def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an unlabelled post."""
-    documents = table(spark, sf_dir, "documents")
+def _as_posts(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("id"),
         "source",
@@ -35,14 +34,26 @@ def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that carry a label, with the label spelled as a class name."""
+def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an unlabelled post."""
+    documents = table(spark, sf_dir, "documents")
+    return spread_if_small(_as_posts(documents), documents)
+
+
+def labelled_posts(spark: SparkSession, sf_dir: str, text_work: bool = False) -> DataFrame:
+    """Documents that carry a label, with the label spelled as a class name.
+
+    ``text_work`` says that each text will be tokenized, for which the rows of
+    a small table are spread out first.
+    """
+    documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"),
         sentiment(F.col("quality"), F.col("toxic")).alias("target"),
     )
-    posts = documents_as_posts(spark, sf_dir).drop("target").join(labels, "id")
-    return posts.select("id", "source", "target", "tweet")
+    joined = _as_posts(documents).drop("target").join(labels, "id")
+    posts = joined.select("id", "source", "target", "tweet")
+    return spread_if_small(posts, documents) if text_work else posts
 
 
 def class_index(target: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from moodlark.functions.lexicon import CLASS_NAMES, DASHBOARD_STOP_WORDS
-from moodlark.functions.text import clean_text, display_words
+from moodlark.functions.text import display_words
 from moodlark.operators import counts, feed, metrics, relational
 from moodlark.operators.features import with_filtered_words
 from moodlark.operators.model import class_name
@@ -69,7 +69,7 @@ def sentiment_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM counted QUALIFY rank <= 10""",
 )
 def top_words_by_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_words(labelled_posts(spark, sf_dir))
+    return top_words(labelled_posts(spark, sf_dir, text_work=True))
 
 
 @query("a5_prediction_count", f"{_PREDICTIONS} SELECT count(*) AS predictions FROM predictions")
@@ -87,7 +87,7 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir)))
+    return stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir, text_work=True)))
 
 
 _WORDS = f"{_PREDICTIONS}, {sql.tokens_cte()}"
@@ -217,14 +217,13 @@ def flattened_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p3_posts_with_text",
-    f"""SELECT doc_id AS id, source, {sql.cleaned("text")} AS tweet FROM documents
-    WHERE {sql.cleaned("text")} <> ''""",
+    """SELECT event_id AS id, props AS source, event_type AS tweet FROM events WHERE event_type <> 'error'""",
 )
 def posts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts whose text is null once cleaning has left nothing of it are dropped."""
-    posts = documents_as_posts(spark, sf_dir)
-    cleaned = posts.select("id", "source", F.nullif(clean_text(F.col("tweet")), F.lit("")).alias("tweet"))
-    return relational.with_text(cleaned)
+    """Events as posts; the errors among them carry no text and are dropped."""
+    text = F.nullif(F.col("event_type"), F.lit("error")).alias("tweet")
+    posts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("source"), text)
+    return relational.with_text(posts)
 
 
 @query(

@@ -59,7 +59,7 @@ FROM predictions JOIN filtered USING (id)"""
 
 
 def stored_twice(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
-    posts = with_filtered_words(labelled_posts(spark, sf_dir))
+    posts = with_filtered_words(labelled_posts(spark, sf_dir, text_work=True))
     scored = stored_predictions(posts)
     path = new_path(spark, "predictions")
     for _ in range(times):

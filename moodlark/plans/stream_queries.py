@@ -66,7 +66,7 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = trained(spark, sf_dir).model
     stored = scorer.score_available(
         spark,
-        _message_stream(spark, labelled_posts(spark, sf_dir)),
+        _message_stream(spark, labelled_posts(spark, sf_dir, text_work=True)),
         scorer.model_scorer(model),
         new_path(spark, "predictions"),
         new_path(spark, "scoring-log"),
@@ -89,7 +89,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "summaries")
     scorer.score_available(
         spark,
-        _message_stream(spark, labelled_posts(spark, sf_dir)),
+        _message_stream(spark, labelled_posts(spark, sf_dir, text_work=True)),
         _known_scorer,
         new_path(spark, "predictions"),
         new_path(spark, "scoring-log"),

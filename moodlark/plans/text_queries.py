@@ -133,7 +133,7 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT word, lemma FROM lemmas""",
 )
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spoken = _word_tokens(spark, sf_dir).select(F.explode("tokens").alias("word"))
+    spoken = features.exploded(_word_tokens(spark, sf_dir), "tokens").select(F.col("term").alias("word"))
     words = written(spoken.where(text.is_alphabetic(F.col("word"))).distinct(), "words")
     with_lemma = words.join(lemma_map(words), "word", "left")
     return with_lemma.select("word", F.coalesce("lemma", "word").alias("lemma"))

@@ -36,3 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A table below this size may arrive in fewer file blocks than there are cores.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a scan as the optimizer sees it: the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """Spread the rows of a small table over all cores before heavy text work.
+
+    ``scan`` is the table that ``df`` comes from; it decides. Large tables
+    have blocks for every core, and their text is not shuffled.
+    """
+    if measured_bytes(scan) >= SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
