@@ -2,8 +2,7 @@
 
 Two forms exist. The model uses the Spark ML stages, which keep one sparse
 vector per post and broadcast a vocabulary capped at 262,144 terms. The long
-form (id, term, value) serves SQL analysis; it has no cap and spreads over the
-cluster by (id, term).
+form (id, term, value) serves SQL analysis and has no cap.
 """
 
 from pyspark.ml.feature import NGram, StopWordsRemover, Tokenizer
@@ -61,10 +60,23 @@ def exploded(tokenized: DataFrame, terms: str, *kept: str) -> DataFrame:
 def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
     """Occurrences of each term in each post.
 
-    All tokens of a post are in one task, so the partial counts are final and
-    the shuffle moves one row per (id, term).
+    A post's terms are in one row, so they are counted there: sort them, find
+    where each run of equal terms starts, and take the distance to the next
+    start. Nothing is shuffled, however many terms the corpus has.
     """
-    return exploded(tokenized, terms, "id").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    runs = tokenized.select("id", F.array_sort(terms).alias("sorted"))
+    is_start = lambda place: (place == 0) | (F.get("sorted", place) != F.get("sorted", place - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), is_start)
+    runs = runs.withColumn("starts", F.when(F.size("sorted") > 0, starts))
+    counted = F.transform(
+        "starts",
+        lambda start, k: F.struct(
+            F.get("sorted", start).alias("term"),
+            (F.coalesce(F.get("starts", k + 1), F.size("sorted")) - start).cast("long").alias("tf"),
+        ),
+    )
+    entries = runs.select("id", F.explode_outer(counted).alias("entry"))
+    return entries.where(F.col("entry").isNotNull()).select("id", "entry.term", "entry.tf")
 
 
 def vector_terms(counted: DataFrame, vocabulary: list[str], vector: str = "tf", value: str = "tf") -> DataFrame:

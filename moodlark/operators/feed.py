@@ -33,11 +33,22 @@ def first_rows(posts: DataFrame, position: str = "idx", n: int = 100) -> DataFra
     return head.select(F.row_number().over(Window.orderBy(position)).alias("row_no"), *posts.columns)
 
 
+def _feed_rows(predictions: DataFrame) -> DataFrame:
+    order = {"batch_id": F.col("batch_id"), "seq": F.col("seq")}
+    return with_defaults(predictions, {**feed_defaults(), **order})
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("batch_id"), F.desc("seq")]
+
+
 def prediction_feed(predictions: DataFrame) -> DataFrame:
     """All predictions, newest first, with every reported field present."""
-    order = {"batch_id": F.col("batch_id"), "seq": F.col("seq")}
-    ordered = with_defaults(predictions, {**feed_defaults(), **order})
-    return ordered.orderBy(F.desc("batch_id"), F.desc("seq"))
+    return _feed_rows(predictions).orderBy(*newest_first())
+
+
+def newest_rows(predictions: DataFrame, n: int = 5) -> DataFrame:
+    return predictions.orderBy(*newest_first()).limit(n)
 
 
 def newest_predictions(predictions: DataFrame, n: int = 5, total: Column | None = None) -> DataFrame:
@@ -47,11 +58,8 @@ def newest_predictions(predictions: DataFrame, n: int = 5, total: Column | None
     """
     if total is None:
         total = predictions.agg(F.count("*")).scalar()
-    order = {"batch_id": F.col("batch_id"), "seq": F.col("seq")}
-    newest_first = [F.desc("batch_id"), F.desc("seq")]
-    newest = with_defaults(predictions, {**feed_defaults(), **order}).orderBy(*newest_first).limit(n)
-    rank = F.row_number().over(Window.orderBy(*newest_first))
-    return newest.select(
+    rank = F.row_number().over(Window.orderBy(*newest_first()))
+    return _feed_rows(newest_rows(predictions, n)).select(
         (total - rank + 1).alias("row_no"),
         display_words(F.col("filtered_words")).alias("features"),
         "target",

@@ -147,16 +147,32 @@ def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rounded(trained(spark, sf_dir).metrics)
 
 
-@query("p4_reported_columns")
-def reported_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+SPLIT = """parts AS (
+  SELECT *, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts),
+labels_of AS (
+  SELECT target, (row_number() OVER (ORDER BY count(*) DESC, target) - 1)::DOUBLE AS label
+  FROM parts WHERE in_training GROUP BY target)"""
+
+
+@query("p4_trainer_report")
+def trainer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.trainer_report(trained(spark, sf_dir).scored)
 
 
-_SPLIT = """parts AS (
-  SELECT *, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts)"""
+@query(
+    "p4_evaluation_report",
+    f"""{_TOKENS}, {SPLIT}
+    SELECT tweet, array_to_string(words, ' : ') AS filtered_words, label, true AS scored
+    FROM parts JOIN labels_of USING (target) JOIN filtered USING (id) WHERE NOT in_training""",
+)
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction itself is only checked to be a class."""
+    report = relational.evaluation_report(trained(spark, sf_dir).scored)
+    words = F.array_join("filtered_words", " : ").alias("filtered_words")
+    return report.select("tweet", words, "label", F.col("prediction").isin(0.0, 1.0, 2.0, 3.0).alias("scored"))
 
 
-@query("s10_saved_model", f"{_POSTS}, {_SPLIT} SELECT id, true AS same FROM parts WHERE NOT in_training")
+@query("s10_saved_model", f"{_POSTS}, {SPLIT} SELECT id, true AS same FROM parts WHERE NOT in_training")
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a saved and reloaded model scores each test post as before."""
     training = trained(spark, sf_dir)

@@ -118,7 +118,10 @@ _NAMES = " ".join(f"WHEN {index} THEN '{name}'" for index, name in enumerate(CLA
     FROM ranked JOIN filtered USING (id) WHERE place <= 5""",
 )
 def newest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.newest_predictions(_predictions_with_words(spark, sf_dir))
+    """Only the newest posts are tokenized; a stored table would hold their words."""
+    predictions = stored_predictions(labelled_posts(spark, sf_dir))
+    newest = with_filtered_words(feed.newest_rows(predictions))
+    return feed.newest_predictions(newest, total=predictions.agg(F.count("*")).scalar())
 
 
 _METRICS_BY_SOURCE = """history AS (

@@ -6,7 +6,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from moodlark.operators.features import with_filtered_words
 from moodlark.plans import sql
-from moodlark.plans.model_queries import trained
+from moodlark.plans.model_queries import SPLIT, trained
 from moodlark.plans.posts import labelled_posts, stored_predictions, table
 from moodlark.plans.registry import query
 from moodlark.plans.report_queries import PROPS
@@ -48,16 +48,9 @@ def _message_stream(spark: SparkSession, posts: DataFrame) -> DataFrame:
     return messages.parse_messages(messages.subscribe(spark, {"path": topic}, "parquet", MESSAGE), POST_LONG_ID)
 
 
-_SPLIT_LABELS = """parts AS (
-  SELECT *, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts),
-labels_of AS (
-  SELECT target, (row_number() OVER (ORDER BY count(*) DESC, target) - 1)::DOUBLE AS label
-  FROM parts WHERE in_training GROUP BY target)"""
-
-
 @query(
     "x1_scored_stream",
-    f"""{_POSTS}, {_SPLIT_LABELS}, {sql.tokens_cte()}
+    f"""{_POSTS}, {SPLIT}, {sql.tokens_cte()}
     SELECT tweet, target, label, array_to_string(words, ' : ') AS filtered_words, true AS scored
     FROM posts JOIN labels_of USING (target) JOIN filtered USING (id)""",
 )
