@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from moodlark.operators.features import with_filtered_words
 from moodlark.plans import sql
@@ -17,7 +16,6 @@ from moodlark.streaming import dashboard, replay, scorer
 from moodlark.workspace import new_path, written
 
 _POSTS = f"WITH {sql.POSTS}"
-MESSAGE = StructType([StructField("value", StringType())])
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +43,7 @@ def _message_stream(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """Posts published as messages and read back as a stream of posts."""
     topic = new_path(spark, "topic")
     messages.publish(messages.to_messages(posts), {"path": topic}, "parquet")
-    return messages.parse_messages(messages.subscribe(spark, {"path": topic}, "parquet", MESSAGE), POST_LONG_ID)
+    return messages.parse_messages(messages.subscribe(spark, {"path": topic}, "parquet", messages.MESSAGE), POST_LONG_ID)
 
 
 @query(

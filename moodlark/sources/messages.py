@@ -7,17 +7,24 @@ queries use file formats, because no broker is at hand.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from moodlark.schemas import POST
 
 KAFKA = "kafka"
 
+# Body of a message where the source needs a schema; Kafka brings its own.
+MESSAGE = StructType([StructField("value", StringType())])
+
 
 def kafka_options(bootstrap_servers: str = "localhost:9092", topic: str = "twitter") -> dict[str, str]:
     return {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic}
 
 
+def kafka_sink_options(bootstrap_servers: str = "localhost:9092", topic: str = "twitter") -> dict[str, str]:
+    return {"kafka.bootstrap.servers": bootstrap_servers, "topic": topic}
+
+
 def subscribe(
     spark: SparkSession,
     options: dict[str, str],
