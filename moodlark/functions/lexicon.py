@@ -54,7 +54,6 @@ NOUN_ENDINGS = (
 )
 
 # Characters that count as blank in cleaned text (Unicode white space).
-BLANKS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-# The same characters one by one, for expressions that take no class.
-BLANK_CHARACTERS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+NARROW_BLANKS = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\x{a0}"
+WIDE_BLANKS = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = NARROW_BLANKS + WIDE_BLANKS

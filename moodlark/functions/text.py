@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from moodlark.functions.lexicon import BLANK_CHARACTERS, BLANKS, DASHBOARD_STOP_WORDS, NOUN_ENDINGS
+from moodlark.functions.lexicon import BLANKS, DASHBOARD_STOP_WORDS, NARROW_BLANKS, NOUN_ENDINGS, WIDE_BLANKS
 
 # What cleaning deletes, tried in this order at each position.
 NOT_LETTER = r"[^A-Za-z\n ]"
@@ -56,13 +56,19 @@ def display_text(text: Column) -> Column:
     return F.coalesce(short, F.lit(DISPLAY_NULL))
 
 
+# A blank, told so that the JVM tests a letter against one bit set and one range.
+_BLANK = rf"[{NARROW_BLANKS}[\x{{1680}}-\x{{3000}}&&[{WIDE_BLANKS}]]]"
 # Characters that always stand alone as a token.
 _ALONE = r"""[;@#$%&?!*()\[\]{}<>"`«»“”‘’„]"""
 # The first characters of anything that is spaced out; most letters fail here.
-_MARK = r"""[-.,:;@#$%&?!*()\[\]{}<>"`«»]|[^\x00-\xff]"""
+_MARK = r"""[-.,:;@#$%&?!*()\[\]{}<>"`«»\x{100}-\x{10ffff}]"""
 # What may stand between a sentence's final period and the following blank.
 _CLOSERS = r"""[\])}>"'»”’]*"""
-_FUSED_VERBS = "can(?=not )|g(?:on(?=na )|ot(?=ta )|im(?=me ))|wan(?=na )|lem(?=me )"
+# Two-part verbs: first parts by their first letter, each before its second part.
+_FUSED_VERBS = (
+    rf"[cgwl](?:an(?:(?<=c..)(?=not{_BLANK})|(?<=w..)(?=na{_BLANK}))|on(?<=g..)(?=na{_BLANK})"
+    rf"|ot(?<=g..)(?=ta{_BLANK})|im(?<=g..)(?=me{_BLANK})|em(?<=l..)(?=me{_BLANK}))(?<={_BLANK}...)"
+)
 
 
 def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
@@ -72,19 +78,20 @@ def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     ``:`` do unless a digit follows; the period that ends a sentence does, one
     inside a chunk or after one of ``abbreviations`` does not. Clitics and the
     six fused verbs are split: "don't" gives "do", "n't", "gonna" gives "gon",
-    "na". Three regex passes and one split, whatever the length of the text.
+    "na". Three regex passes and one split, whatever the length of the text;
+    each pattern starts with the rarest thing it can test.
     """
-    abbreviated = rf"(?<! (?:{'|'.join(abbreviations)})\.)" if abbreviations else ""
-    period = rf"\.(?<=[^. ]\.){abbreviated}(?={_CLOSERS} )"
+    abbreviated = rf"(?<!{_BLANK}(?:{'|'.join(abbreviations)})\.)" if abbreviations else ""
+    period = rf"\.(?<=[^.{BLANKS}]\.){abbreviated}(?={_CLOSERS}{_BLANK})"
     punctuation = rf"(?={_MARK})(?:{_ALONE}|[:,](?![0-9])|\.\.+|{period}|--)"
-    clitic = r"(?<=[^' ])('(?:s|m|d|ll|re|ve)?|n't)(?= )"
-    # One kind of blank, and one at both ends, so that every chunk has one on each side.
-    plain = F.translate(F.lower(text), BLANK_CHARACTERS, " " * len(BLANK_CHARACTERS))
-    spaced = F.concat(F.lit(" "), plain, F.lit(" "))
+    stem = f"[^'{BLANKS}]"
+    clitic = rf"[n'](?:(?<=n)'t(?<={stem}n't)|(?<=')(?<={stem}')(?:s|m|d|ll|re|ve)?)(?={_BLANK})"
+    # A blank at both ends, so that every chunk has one on each side.
+    spaced = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     spaced = F.regexp_replace(spaced, punctuation, " $0 ")
-    spaced = F.regexp_replace(spaced, clitic, " $1")
-    spaced = F.regexp_replace(spaced, f" (?:{_FUSED_VERBS})", "$0 ")
-    return F.array_remove(F.split(spaced, " +"), "")
+    spaced = F.regexp_replace(spaced, clitic, " $0")
+    spaced = F.regexp_replace(spaced, _FUSED_VERBS, "$0 ")
+    return F.array_remove(F.split(spaced, f"{_BLANK}+"), "")
 
 
 def is_alphabetic(word: Column) -> Column:
