@@ -133,7 +133,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     for name in ("score", "replay"):
         command = commands.choices[name]
         command.add_argument("--bootstrap-server", default="localhost:9092")
-        command.add_argument("--topic", default="twitter")
+        command.add_argument("--topic", default="posts")
         command.add_argument("--format", default=messages.KAFKA)
         command.add_argument("--option", action="append", default=[], help="name=value for another format")
 

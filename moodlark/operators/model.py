@@ -28,7 +28,7 @@ TRAIN_SHARE = 0.8
 
 
 def hash_of_id(post_id: Column) -> Column:
-    """``id * multiplier mod 2^32`` without overflow for any non-negative id."""
+    """``id * multiplier mod 2^32`` without overflow, whatever the id."""
     half = 2**31
     low = F.pmod(post_id, F.lit(half)) * F.lit(HASH_MULTIPLIER)
     odd_half = F.pmod(F.shiftright(post_id, 31), F.lit(2)) * F.lit(half)

@@ -17,11 +17,11 @@ KAFKA = "kafka"
 MESSAGE = StructType([StructField("value", StringType())])
 
 
-def kafka_options(bootstrap_servers: str = "localhost:9092", topic: str = "twitter") -> dict[str, str]:
+def kafka_options(bootstrap_servers: str = "localhost:9092", topic: str = "posts") -> dict[str, str]:
     return {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic}
 
 
-def kafka_sink_options(bootstrap_servers: str = "localhost:9092", topic: str = "twitter") -> dict[str, str]:
+def kafka_sink_options(bootstrap_servers: str = "localhost:9092", topic: str = "posts") -> dict[str, str]:
     return {"kafka.bootstrap.servers": bootstrap_servers, "topic": topic}
 
 

@@ -52,5 +52,5 @@ def test_report(spark, tmp_path):
 
 def test_arguments():
     args = jobs._arguments(["replay", "--posts", "p", "--checkpoint", "c"])
-    assert (args.bootstrap_server, args.topic, args.format) == ("localhost:9092", "twitter", "kafka")
+    assert (args.bootstrap_server, args.topic, args.format) == ("localhost:9092", "posts", "kafka")
     assert jobs._options(["path=/a=b", "x=1"]) == {"path": "/a=b", "x": "1"}

@@ -63,7 +63,7 @@ def test_stages(spark):
 
 
 def test_hash_split(spark):
-    big = [0, 1, 5, 2**31 - 1, 2**31, 2**31 + 1, 2**32 + 3, 10**15, 2**62 + 12345]
+    big = [0, 1, 5, 2**31 - 1, 2**31, 2**31 + 1, 2**32 + 3, 10**15, 2**62 + 12345, -1, -(2**40) - 7]
     rows = spark.createDataFrame([(i,) for i in [*big, None]], "id long")
     train, test = classifier.hash_split(rows)
     expected = {i for i in big if i * 2654435761 % 2**32 < 0.8 * 2**32}

@@ -34,6 +34,46 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted_rows(found.columns, found.collect()) == sorted_rows(names, expected.fetchall())
 
 
+@pytest.fixture
+def as_if_large(spark, monkeypatch):
+    """No join side is small enough to broadcast, no table small enough to spread, skew is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "80kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    monkeypatch.setattr("moodlark.workspace.SMALL_INPUT_BYTES", 0)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+JOINING = [
+    "a1_entity_counts",
+    "a4_top_words",
+    "l4_latest_metrics",
+    "m2_token_vectors",
+    "m4_tf_idf",
+    "m7_long_form_scores",
+    "p6_record_defaults",
+    "s4_replay_pool",
+    "t11_lemmas",
+    "x2_replayed_posts_compat",
+]
+
+
+@pytest.mark.parametrize("name", JOINING)
+def test_joins_without_broadcasts(spark, tables, as_if_large, name):
+    test_query_equals_its_sql(spark, tables, name)
+
+
 @pytest.mark.parametrize("name", [n for n in contract.queries() if n not in contract.oracle_sql()])
 def test_query_without_sql_gives_rows(spark, name):
     assert contract.queries()[name](spark, SF_DIR).count() > 0
