@@ -167,6 +167,7 @@ def mix(
     source: str = "source",
     most: int = MOST_COPIES,
     tolerance: float = 1e-6,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``source, size, source_size, target, rate, copies``.
 
@@ -179,12 +180,18 @@ def mix(
     way to fill what is left. Runs agree. Rows that repeat an id are rounded
     alike (up to their text). Sizes of zero, or null, take no part in the sums.
 
+    With ``keep``, these columns of ``docs`` are returned instead, each row as
+    often as it has copies.
+
     ``docs`` is read once into a narrow table. What is joined to it has one
     row per source.
     """
     spark = docs.sparkSession
+    if keep is not None:
+        docs = written(docs.withColumn("_whole", F.monotonically_increasing_id()), "mix-rows")
+    number = F.col("_whole") if keep is not None else F.monotonically_increasing_id()
     narrow = written(
-        docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("_row")),
+        docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), number.alias("_row")),
         "mix-documents",
     )
     ranked = Window.orderBy(F.col("source").asc_nulls_last())
@@ -224,6 +231,10 @@ def mix(
     turned = F.coalesce(F.col("_row") == F.col("flip"), F.lit(False))
     finished = rounded.join(_flips(rounded), "rank", "left").withColumn("up", F.col("up") != turned)
     copies = (F.col("low_copies") + F.col("up").cast("long")).cast("int")
+    if keep is not None:
+        times = finished.select("_row", copies.alias("_copies")).where("_copies > 0")
+        repeated = docs.join(times, docs["_whole"] == times["_row"])
+        return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in keep])
     return finished.select(
         F.col("_id").alias(id), F.col("_source").alias(source), "size", "source_size", "target", "rate", copies.alias("copies")
     )

@@ -206,3 +206,19 @@ def near_duplicates(docs: DataFrame, n: int = 3, text: str = "text", id: str = "
     firsts = linked.groupBy("class").agg(F.min("first").alias("component"))
     by_print = written(linked.join(firsts, "class").select("print", "component"), "print-classes")
     return printed.join(by_print, "print").select(id, "print", "component")
+
+
+def one_of_each(docs: DataFrame, n: int = 3, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, that of the smallest id.
+
+    Of rows that share that id and fingerprint one stays. A class without any
+    id keeps one row. Columns are those of ``docs``.
+    """
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select("_row", text), n, text, "_row")
+    ids = found.select(F.col("_row").alias("_r"), "component").join(
+        numbered.select("_row", F.col(id).alias("_id")), F.col("_r") == F.col("_row")
+    )
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_r"))
+    stays = ids.groupBy("component").agg(F.min_by("_r", order).alias("_row")).select("_row")
+    return numbered.join(stays, "_row", "left_semi").select(*docs.columns)
