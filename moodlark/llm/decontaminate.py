@@ -229,6 +229,8 @@ def leaks(
 
 def without_leaks(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that ``found`` names."""
-    named = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash"))
-    return docs.join(named, same, "left_anti")
+    named = found.select("doc_id", "text_hash").distinct()
+    whole = docs.select(F.struct("*").alias("whole"))
+    text_hash = F.xxhash64(F.coalesce(F.col("whole")[text], F.lit("")))
+    same = F.col("whole")[id].eqNullSafe(F.col("doc_id")) & (text_hash == F.col("text_hash"))
+    return whole.join(named, same, "left_anti").select("whole.*")

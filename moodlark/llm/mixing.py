@@ -155,7 +155,7 @@ def _flips(rounded: DataFrame) -> DataFrame:
         rounded.join(gaps, "rank")
         .where(nearer)
         .groupBy("rank")
-        .agg(F.min_by("_row", F.struct(left, F.col("_row"))).alias("flip"))
+        .agg(F.min_by("_row", F.struct(left, F.xxhash64("_id"), F.col("_id"), F.col("_row"))).alias("flip"))
     )
 
 
@@ -167,7 +167,7 @@ def mix(
     source: str = "source",
     most: int = MOST_COPIES,
     tolerance: float = 1e-6,
-    keep: list[str] | None = None,
+    copied: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``source, size, source_size, target, rate, copies``.
 
@@ -180,20 +180,21 @@ def mix(
     way to fill what is left. Runs agree. Rows that repeat an id are rounded
     alike (up to their text). Sizes of zero, or null, take no part in the sums.
 
-    With ``keep``, these columns of ``docs`` are returned instead, each row as
+    If ``copied``, the rows of ``docs`` themselves are returned instead, each as
     often as it has copies.
 
     ``docs`` is read once into a narrow table. What is joined to it has one
     row per source.
     """
-    spark = docs.sparkSession
-    if keep is not None:
-        docs = written(docs.withColumn("_whole", F.monotonically_increasing_id()), "mix-rows")
-    number = F.col("_whole") if keep is not None else F.monotonically_increasing_id()
-    narrow = written(
-        docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), number.alias("_row")),
-        "mix-documents",
+    narrow = docs.select(
+        F.struct("*").alias("whole"),
+        F.col(id).alias("_id"),
+        F.col(source).alias("_source"),
+        F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    whole = written(narrow if copied else narrow.drop("whole"), "mix-documents")
+    narrow = whole.drop("whole")
     ranked = Window.orderBy(F.col("source").asc_nulls_last())
     sources = narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     sources = written(sources.withColumn("rank", F.row_number().over(ranked) - 1), "mix-sources")
@@ -212,6 +213,8 @@ def mix(
     rate = F.when(at_most, F.lit(float(most))).otherwise(
         F.coalesce(_rate(F.col("multiplier"), F.col("size"), F.col("mean"), most), F.lit(1.0))
     )
+    # Sums of doubles depend on the order of tasks in their last places; rates do not.
+    rate = F.round(rate, 9)
     joined = narrow.join(
         targets.join(solved.select("rank", "multiplier", "mean"), "rank", "left").withColumnRenamed("source", "_name"),
         F.col("_source").eqNullSafe(F.col("_name")),
@@ -231,10 +234,10 @@ def mix(
     turned = F.coalesce(F.col("_row") == F.col("flip"), F.lit(False))
     finished = rounded.join(_flips(rounded), "rank", "left").withColumn("up", F.col("up") != turned)
     copies = (F.col("low_copies") + F.col("up").cast("long")).cast("int")
-    if keep is not None:
-        times = finished.select("_row", copies.alias("_copies")).where("_copies > 0")
-        repeated = docs.join(times, docs["_whole"] == times["_row"])
-        return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in keep])
+    if copied:
+        times = finished.select("_row", copies.alias("copies")).where("copies > 0")
+        repeated = whole.select("whole", "_row").join(times, "_row")
+        return repeated.select("whole", F.explode(F.sequence(F.lit(1), "copies"))).select("whole.*")
     return finished.select(
         F.col("_id").alias(id), F.col("_source").alias(source), "size", "source_size", "target", "rate", copies.alias("copies")
     )

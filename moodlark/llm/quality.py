@@ -72,6 +72,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return third.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_repeats")
 
 
+_HELPERS = ["_words", "_lines", "_windows", "_repeats", "_votes"]
 STATISTICS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_capitals", "n_shouts", "n_function_words", "n_lines",
@@ -183,8 +184,8 @@ def judge_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
 
     Text is read once; votes are stored with the columns of ``docs``.
     """
-    made = [*STATISTICS, "base_failed", "probability", "kept", "_votes"]
-    plain = docs.drop(*[c for c in made if c != text and c in docs.columns])
+    made = {*STATISTICS, "base_failed", "probability", "kept", *_HELPERS}
+    plain = docs.drop(*[c for c in docs.columns if c.lower() in made and c != text])
     rules = votes()
     read = with_statistics(plain, text).withColumn("_votes", F.struct(*[v.alias(k) for k, v in rules.items()]))
     voted = written(read if keep_text else read.drop(text), "quality-votes")

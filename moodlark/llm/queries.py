@@ -33,7 +33,32 @@ URL_RULES = [
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-@query("op1_chat_format")
+# The control conversation's texts are quoted once more; the template's marks are written out.
+CHAT_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}'
+  UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'
+), ordered AS (
+  SELECT *, lag(role) OVER by_turn AS before, lead(role) OVER by_turn IS NULL AS is_last
+  FROM turns WINDOW by_turn AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+    + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user')
+                WHEN before = 'user' THEN role = 'assistant'
+                WHEN before IN ('system', 'assistant') THEN role = 'user'
+                ELSE false END AND (NOT is_last OR role = 'assistant')) AS valid
+FROM ordered GROUP BY conv_id
+"""
+
+
+@query("op1_chat_format", CHAT_SQL)
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(

@@ -46,10 +46,10 @@ def _ranges(keys: DataFrame, n_shards: int, tolerance: float, heaviest: int) ->
     for step, length in enumerate(_LENGTHS):
         rows = keys
         if open_ is not None:
-            rows = keys.where(F.substring("_key", 1, _LENGTHS[step - 1]).isin(open_))
+            rows = keys.where(F.substring("key", 1, _LENGTHS[step - 1]).isin(open_))
         counted = (
-            rows.groupBy(F.substring("_key", 1, length).alias("prefix"))
-            .agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
+            rows.groupBy(F.substring("key", 1, length).alias("prefix"))
+            .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
             .collect()
         )
         done += [_Range(r["prefix"], r["size"], r["n"]) for r in counted]
@@ -109,9 +109,9 @@ def shard_by_bytes(
     columns named ``shard`` or ``slot`` are replaced.
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot")
     key = F.concat(_hex(group), _hex(order), _hex(F.monotonically_increasing_id()))
-    keys = written(rows.withColumns({"_size": size.cast("long"), "_key": key}), "shard-keys")
+    kept = F.struct(*[c for c in rows.columns if c.lower() not in ("shard", "slot")])
+    keys = written(rows.select(kept.alias("whole"), size.cast("long").alias("size"), key.alias("key")), "shard-keys")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_shards)
     # A range is at most half of what one task receives.
     ranges = _ranges(keys, n_shards, tolerance, 2 * n_shards * width)
@@ -119,18 +119,15 @@ def shard_by_bytes(
     lengths = sorted({len(r.prefix) for r in ranges}) or [_LENGTHS[0]]
     bounds = spark.createDataFrame(placed, "prefix string, shard int, piece int, first long")
     # Bounded by the number of shards: a few thousand short rows.
-    found = None
+    found = keys
     for n in lengths:
-        of_length = bounds.where(F.length("prefix") == n).select("prefix", F.struct("shard", "piece", "first").alias(f"_at{n}"))
-        found = (found if found is not None else keys).join(
-            F.broadcast(of_length), F.substring("_key", 1, n) == F.col("prefix"), "left"
-        ).drop("prefix")
-    at = F.coalesce(*[F.col(f"_at{n}") for n in lengths])
-    dealt = (
-        found.withColumn("_at", at)
-        .withColumns({"shard": F.col("_at.shard"), "_piece": F.col("_at.piece"), "_first": F.col("_at.first")})
-        .repartitionById(n_shards * width, F.col("_piece"))
+        place = F.struct("shard", "piece", "first").alias(f"at{n}")
+        of_length = bounds.where(F.length("prefix") == n).select("prefix", place)
+        found = found.join(F.broadcast(of_length), F.substring("key", 1, n) == F.col("prefix"), "left").drop("prefix")
+    dealt = found.select("whole", "key", F.coalesce(*[F.col(f"at{n}") for n in lengths]).alias("at")).select(
+        "whole", "key", "at.*"
     )
-    order_in_piece = Window.partitionBy("_piece").orderBy("_key")
-    slot = (F.col("_first") + F.row_number().over(order_in_piece) - 1).cast("long")
-    return dealt.withColumn("slot", slot).select(*rows.columns, "shard", "slot")
+    moved = dealt.repartitionById(n_shards * width, F.col("piece"))
+    order_in_piece = Window.partitionBy("piece").orderBy("key")
+    slot = (F.col("first") + F.row_number().over(order_in_piece) - 1).cast("long")
+    return moved.select("whole.*", "shard", slot.alias("slot"))

@@ -214,11 +214,9 @@ def one_of_each(docs: DataFrame, n: int = 3, text: str = "text", id: str = "doc_
     Of rows that share that id and fingerprint one stays. A class without any
     id keeps one row. Columns are those of ``docs``.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select("_row", text), n, text, "_row")
-    ids = found.select(F.col("_row").alias("_r"), "component").join(
-        numbered.select("_row", F.col(id).alias("_id")), F.col("_r") == F.col("_row")
-    )
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_r"))
-    stays = ids.groupBy("component").agg(F.min_by("_r", order).alias("_row")).select("_row")
-    return numbered.join(stays, "_row", "left_semi").select(*docs.columns)
+    numbered = written(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "numbered")
+    found = near_duplicates(numbered.select("row", F.col("whole")[text].alias("text")), n, "text", "row")
+    ids = found.join(numbered.select("row", F.col("whole")[id].alias("id")), "row")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    stays = ids.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row")
+    return numbered.join(stays, "row", "left_semi").select("whole.*")

@@ -147,8 +147,8 @@ def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", reject_below: f
     a host or url that very many rows share is added up before it moves.
     """
     made = ["host", "path", "rule", "template", "purity", "verdict"]
-    kept = [c for c in pages.columns if c not in made]
-    parsed = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    kept = F.struct(*[c for c in pages.columns if c.lower() not in made])
+    parsed = pages.select(kept.alias("whole"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = matching_rule(F.col("host"), F.col("path"), rules)
     distinct = parsed.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("ruled", ruled)
     labelled = distinct.select(
@@ -165,11 +165,13 @@ def judge_urls(pages: DataFrame, rules: Rules, url: str = "url", reject_below: f
         "url-judged",
     )
     verdict = F.when(F.col("purity") < reject_below, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    return (
-        parsed.join(by_path, ["host", "path"])
-        .withColumn("_ruled", ruled)
-        .select(
-            *kept, "host", "path", F.col("_ruled.rule").alias("rule"), "template", "purity",
-            F.coalesce(F.col("_ruled.verdict"), verdict).alias("verdict"),
-        )
+    found = parsed.join(by_path, ["host", "path"]).withColumn("ruled", ruled)
+    return found.select(
+        "whole.*",
+        "host",
+        "path",
+        F.col("ruled.rule").alias("rule"),
+        "template",
+        "purity",
+        F.coalesce(F.col("ruled.verdict"), verdict).alias("verdict"),
     )

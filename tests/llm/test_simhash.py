@@ -1,0 +1,139 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from moodlark.llm import simhash
+from moodlark.llm.components import components
+from moodlark.llm.registry import ship
+
+DOCS = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def spark(spark):
+    ship(spark)
+    return spark
+
+
+def plain_fingerprint(text, n=3):
+    """Bit by bit."""
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(deadline=None)
+@given(st.text(alphabet="aAbÉé \n\t\xa0\x1c", max_size=80))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode(), 3) == plain_fingerprint(text)
+
+
+def test_long_texts_go_in_blocks(monkeypatch):
+    text = " ".join(str(i * 7919 % 1013) for i in range(5000))
+    monkeypatch.setattr(simhash, "_BLOCK", 64)
+    assert simhash.fingerprint(text.encode(), 3) == plain_fingerprint(text)
+
+
+def test_hash_is_that_of_spark(spark):
+    one = spark.createDataFrame([(1, "Ab  cd ef")], DOCS)
+    hashed = one.select(F.xxhash64(F.lit("ab cd ef"))).first()[0]
+    assert simhash.fingerprints(one, 3).first()["print"] == hashed
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=3))
+def test_all_within_the_radius_pass_and_meet(print_, flips):
+    other = print_ ^ sum(1 << b for b in flips)
+    assert simhash.ring_test(np.array([print_ ^ other], dtype=np.uint64))[0]
+    masks = [simhash._mask(s) & (1 << 64) - 1 for _, s in simhash._chains()]
+    assert any((print_ ^ other) & mask == 0 for mask in masks)
+
+
+def forest_of(pairs, n):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def classes(prints):
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3]
+    return forest_of(pairs, len(prints))
+
+
+@pytest.mark.parametrize("pairwise", [2048, 4])
+def test_forest_connects_what_all_pairs_connect(monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "_PAIRWISE", pairwise)
+    draw = random.Random(1)
+    mask = 0xFFFFFFFF00000000
+    members = sorted({draw.getrandbits(8) ^ 0x1234567800000000 ^ (draw.getrandbits(3) << 20) for _ in range(120)})
+    links = simhash._forest(np.array(members, dtype=np.uint64), mask)
+    at = {m: i for i, m in enumerate(members)}
+    assert len(links) < len(members)
+    assert forest_of([(at[a], at[b]) for a, b in links], len(members)) == classes(members)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (160, 300), (300, 160)]
+    found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {160: 160, 300: 160}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def texts():
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    base = [" ".join(draw.choices(words, k=120)) for _ in range(12)]
+    rows = []
+    for text in base:
+        rows += [text] * draw.randint(1, 6)
+        for _ in range(6):
+            parts = text.split()
+            for _ in range(draw.randint(1, 3)):
+                parts[draw.randrange(len(parts))] = draw.choice(words)
+            rows.append(" ".join(parts))
+    return [*rows, None, "", " \n", "one", "one two", "ONE TWO", "word " * 30_000]
+
+
+def test_classes_equal_brute_force(spark):
+    rows = list(enumerate(texts()))
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows + rows[:3], DOCS).withColumn("print", F.lit("clash"))
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == len(rows) + 3
+    prints = [plain_fingerprint(t or "") for _, t in rows]
+    roots = classes(prints)
+    smallest = {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        smallest[root] = min(i, smallest.get(root, i))
+    expected = {i: (p - (p >> 63 << 64), smallest[r]) for (i, _), p, r in zip(rows, prints, roots, strict=True)}
+    assert {r["doc_id"]: (r["print"], r["component"]) for r in found} == expected
+    assert len(set(r["component"] for r in found)) < len(rows)
+
+
+def test_one_of_each(spark):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, "only here"), (None, rows[0][1])], DOCS)
+    docs = docs.withColumns({"row": F.lit("a"), "component": F.lit("b"), "whole": F.lit("c")})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    classes_ = {r["component"] for r in simhash.near_duplicates(docs).collect()}
+    ids = [r["doc_id"] for r in found]
+    assert sorted(i for i in ids if i is not None) == sorted(c for c in classes_ if c is not None)
+    assert ids.count(None) == 1
+    assert {(r["row"], r["component"], r["whole"]) for r in found} == {("a", "b", "c")}
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
