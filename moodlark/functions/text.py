@@ -64,10 +64,21 @@ _ALONE = r"""[;@#$%&?!*()\[\]{}<>"`«»“”‘’„]"""
 _MARK = r"""[-.,:;@#$%&?!*()\[\]{}<>"`«»\x{100}-\x{10ffff}]"""
 # What may stand between a sentence's final period and the following blank.
 _CLOSERS = r"""[\])}>"'»”’]*"""
-# Two-part verbs: first parts by their first letter, each before its second part.
-_FUSED_VERBS = (
-    rf"[cgwl](?:an(?:(?<=c..)(?=not{_BLANK})|(?<=w..)(?=na{_BLANK}))|on(?<=g..)(?=na{_BLANK})"
-    rf"|ot(?<=g..)(?=ta{_BLANK})|im(?<=g..)(?=me{_BLANK})|em(?<=l..)(?=me{_BLANK}))(?<={_BLANK}...)"
+# Where a word begins and ends: no letter, digit or underscore beyond.
+_BEGINS, _ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# First parts of words that are written together, each before its second part.
+_FUSED = "|".join(
+    [
+        rf"{_BEGINS}can(?=not{_ENDS})",
+        rf"{_BEGINS}gon(?=na{_ENDS})",
+        rf"{_BEGINS}got(?=ta{_ENDS})",
+        rf"{_BEGINS}wan(?=na{_BLANK})",
+        rf"{_BEGINS}gim(?=me{_ENDS})",
+        rf"{_BEGINS}lem(?=me{_ENDS})",
+        rf"{_BEGINS}d(?='ye{_ENDS})",
+        rf"{_BEGINS}more(?='n{_ENDS})",
+        rf"(?<={_BLANK})'t(?=(?:is|was){_ENDS})",
+    ]
 )
 
 
@@ -90,7 +101,7 @@ def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     spaced = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     spaced = F.regexp_replace(spaced, punctuation, " $0 ")
     spaced = F.regexp_replace(spaced, clitic, " $0")
-    spaced = F.regexp_replace(spaced, _FUSED_VERBS, "$0 ")
+    spaced = F.regexp_replace(spaced, _FUSED, "$0 ")
     return F.array_remove(F.split(spaced, f"{_BLANK}+"), "")
 
 

@@ -20,7 +20,7 @@ from moodlark.operators.top_words import top_words
 from moodlark.schemas import DASHBOARD_NAMES
 from moodlark.sources import messages, posts_csv, stores
 from moodlark.streaming import dashboard, replay, scorer
-from moodlark.workspace import written
+from moodlark.workspace import remove_run_folder
 
 
 def train(
@@ -31,10 +31,11 @@ def train(
     terms: str = features.BIGRAMS,
     vocabulary: int = classifier.DEFAULT_VOCABULARY,
     compat: bool = False,
+    line_breaks: bool = False,
 ) -> classifier.Training:
     """Fit the classifier on a post CSV, keep it, and store its rounded metrics."""
     pipeline = classifier.sentiment_pipeline(terms, vocabulary)
-    training = classifier.train(posts_csv.read_posts(spark, posts, compat=compat), pipeline)
+    training = classifier.train(posts_csv.read_posts(spark, posts, compat=compat, line_breaks=line_breaks), pipeline)
     if model:
         classifier.save_model(training.model, model)
     stores.append_metrics(metrics.rounded(training.metrics), metrics_path, training.model.uid)
@@ -50,11 +51,14 @@ def score(
     checkpoint: str,
     strict: bool = False,
     trigger: dict | None = None,
+    rejected: str | None = None,
 ):
     """Score a message stream with a stored model and keep the dashboard summaries."""
     scoring = scorer.model_scorer(classifier.load_model(model), strict)
     posts = messages.parse_messages(stream)
-    return scorer.start_scoring(posts, scoring, predictions, checkpoint, summaries, trigger=trigger)
+    return scorer.start_scoring(
+        posts, scoring, predictions, checkpoint, summaries, trigger=trigger, rejected_path=rejected
+    )
 
 
 def send(
@@ -66,10 +70,16 @@ def send(
     seed: int = 0,
     compat: bool = False,
     trigger: dict | None = None,
+    draws: int | None = None,
+    line_breaks: bool = False,
 ):
-    """Replay random posts of a CSV as messages, one every ten seconds."""
-    pool = written(posts_csv.read_replay_pool(spark, posts), "pool")
-    rows = replay.POOL_ROWS if compat else pool.count()
+    """Replay random posts of a CSV as messages, one every ten seconds.
+
+    Each is drawn from the first ``draws`` posts; by default from all of them,
+    in compat mode from the first 899.
+    """
+    pool = posts_csv.read_replay_pool(spark, posts, line_breaks=line_breaks)
+    rows = draws or (replay.POOL_ROWS if compat else pool.count())
     drawn = replay.ticks(spark).select(replay.random_draw(F.col("value"), seed, rows, compat).alias("draw"))
     sent = messages.to_messages(replay.replay(drawn, pool, compat))
     writer = messages.publish_stream(sent, sink_options, checkpoint, sink_format)
@@ -77,11 +87,16 @@ def send(
 
 
 def report(
-    spark: SparkSession, posts: str, out: str, stop_words: Sequence[str] = DASHBOARD_STOP_WORDS
+    spark: SparkSession,
+    posts: str,
+    out: str,
+    stop_words: Sequence[str] = DASHBOARD_STOP_WORDS,
+    header: Sequence[str] = tuple(DASHBOARD_NAMES.values()),
+    line_breaks: bool = False,
 ) -> dict[str, DataFrame]:
     """Write the dashboard tables of a post CSV. The file is parsed once for all of them."""
-    stored = posts_csv.with_position(posts_csv.read_dashboard_posts(spark, posts))
-    stored = written(stored, "dashboard-posts")
+    read = posts_csv.read_dashboard_posts(spark, posts, header=header, line_breaks=line_breaks)
+    stored = posts_csv.with_position(read)
     first = feed.first_rows(stored).drop("idx").withColumnsRenamed(DASHBOARD_NAMES)
     tables = {
         "entity_counts": counts.count_by_entity(stored),
@@ -118,20 +133,25 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     command.add_argument("--terms", choices=(features.BIGRAMS, features.TOKENS), default=features.BIGRAMS)
     command.add_argument("--vocabulary", type=int, default=classifier.DEFAULT_VOCABULARY)
     command.add_argument("--compat", action="store_true")
+    command.add_argument("--line-breaks", action="store_true", help="quoted fields hold line breaks")
 
     command = commands.add_parser("score", help=score.__doc__)
     for name in ("--model", "--predictions", "--summaries", "--checkpoint"):
         command.add_argument(name, required=True)
     command.add_argument("--strict", action="store_true")
+    command.add_argument("--rejected", help="table of posts without text")
 
     command = commands.add_parser("replay", help=send.__doc__)
     command.add_argument("--posts", required=True)
     command.add_argument("--checkpoint", required=True)
     command.add_argument("--seed", type=int, default=0)
     command.add_argument("--compat", action="store_true")
+    command.add_argument("--draws", type=int, help="number of posts, from the first, that are drawn from")
+    command.add_argument("--line-breaks", action="store_true")
 
     for name in ("score", "replay"):
         command = commands.choices[name]
+        # Option names and local default known from the connector.
         command.add_argument("--bootstrap-server", default="localhost:9092")
         command.add_argument("--topic", default="posts")
         command.add_argument("--format", default=messages.KAFKA)
@@ -140,6 +160,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     command = commands.add_parser("report", help=report.__doc__)
     command.add_argument("--posts", required=True)
     command.add_argument("--out", required=True)
+    command.add_argument("--header", nargs=4, default=list(DASHBOARD_NAMES.values()))
+    command.add_argument("--line-breaks", action="store_true")
 
     command = commands.add_parser("show", help=show.__doc__)
     command.add_argument("--summaries", required=True)
@@ -150,26 +172,38 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None) -> None:
     args = _arguments(argv)
     spark = SparkSession.builder.appName(f"moodlark-{args.command}").getOrCreate()
+    try:
+        _run(spark, args)
+    finally:
+        remove_run_folder(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "train":
-        train(spark, args.posts, args.metrics, args.model, args.terms, args.vocabulary, args.compat).metrics.show()
+        train(
+            spark, args.posts, args.metrics, args.model, args.terms, args.vocabulary, args.compat, args.line_breaks
+        )
+        feed.latest_metrics(stores.read_metrics(spark, args.metrics)).show()
     elif args.command == "score":
         if args.format == messages.KAFKA:
             stream = messages.subscribe(spark, messages.kafka_options(args.bootstrap_server, args.topic))
         else:
             stream = messages.subscribe(spark, _options(args.option), args.format, messages.MESSAGE)
         score(
-            spark, args.model, stream, args.predictions, args.summaries, args.checkpoint, args.strict
-        ).awaitTermination()
+            spark, args.model, stream, args.predictions, args.summaries, args.checkpoint, args.strict,
+            rejected=args.rejected,
+        ).awaitTermination()
     elif args.command == "replay":
         if args.format == messages.KAFKA:
             options = messages.kafka_sink_options(args.bootstrap_server, args.topic)
         else:
             options = _options(args.option)
         send(
-            spark, args.posts, args.format, options, args.checkpoint, args.seed, args.compat
-        ).awaitTermination()
+            spark, args.posts, args.format, options, args.checkpoint, args.seed, args.compat,
+            draws=args.draws, line_breaks=args.line_breaks,
+        ).awaitTermination()
     elif args.command == "report":
-        report(spark, args.posts, args.out)
+        report(spark, args.posts, args.out, header=args.header, line_breaks=args.line_breaks)
     else:
         show(spark, args.summaries, args.metrics)
 

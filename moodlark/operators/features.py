@@ -1,12 +1,13 @@
 """Tokens, bigrams, term counts and TF-IDF weights.
 
 Two forms exist. The model uses the Spark ML stages, which keep one sparse
-vector per post and broadcast a vocabulary capped at 262,144 terms. The long
-form (id, term, value) serves SQL analysis and has no cap.
+vector per post and broadcast a vocabulary whose size is a parameter. The
+forms here, one array of (term, value) per post or one row per term, serve SQL
+analysis and hold every term.
 """
 
 from pyspark.ml.feature import NGram, StopWordsRemover, Tokenizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import ML_STOP_WORDS
@@ -17,8 +18,6 @@ TOKENS = "tk"
 FILTERED = "filtered_words"
 BIGRAMS = "ngrams"
 
-_VECTOR = "v struct<indices: array<int>, values: array<double>>"
-
 
 def tokenizer() -> Tokenizer:
     return Tokenizer(inputCol="tweet", outputCol=TOKENS)
@@ -57,8 +56,8 @@ def exploded(tokenized: DataFrame, terms: str, *kept: str) -> DataFrame:
     return rows.where(F.col("term").isNotNull())
 
 
-def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
-    """Occurrences of each term in each post.
+def term_vectors(tokenized: DataFrame, terms: str) -> DataFrame:
+    """``id, vector``: the terms of each post with their counts, as an array of (term, tf).
 
     A post's terms are in one row, so they are counted there: sort them, find
     where each run of equal terms starts, and take the distance to the next
@@ -75,23 +74,24 @@ def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
             (F.coalesce(F.get("starts", k + 1), F.size("sorted")) - start).cast("long").alias("tf"),
         ),
     )
-    entries = runs.select("id", F.explode_outer(counted).alias("entry"))
-    return entries.where(F.col("entry").isNotNull()).select("id", "entry.term", "entry.tf")
+    return runs.select("id", counted.alias("vector"))
 
 
-def vector_terms(counted: DataFrame, vocabulary: list[str], vector: str = "tf", value: str = "tf") -> DataFrame:
-    """The entries of the model's sparse vectors as (id, term, value).
+def opened(vectors: DataFrame) -> DataFrame:
+    """One row per entry of each post's vector."""
+    entries = vectors.select("id", F.explode_outer("vector").alias("entry"))
+    return entries.where(F.col("entry").isNotNull()).select("id", "entry.*")
 
-    The vocabulary is the fitted one, so its size is capped.
-    """
-    spark = counted.sparkSession
-    terms = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
-    opened = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), _VECTOR)["v"]
-    entries = counted.select("id", opened.alias("v")).select(
-        "id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("entry")
-    )
-    placed = entries.select("id", F.col("entry.indices").alias("place"), F.col("entry.values").alias(value))
-    return placed.join(terms, "place").select("id", "term", value)
+
+def term_counts(tokenized: DataFrame, terms: str) -> DataFrame:
+    """Occurrences of each term in each post."""
+    return opened(term_vectors(tokenized, terms))
+
+
+def tf_idf_vectors(weighted: DataFrame) -> DataFrame:
+    """``id, vector``: the TF-IDF weights of each post as an array of (term, tfidf), in order of term."""
+    entries = F.collect_list(F.struct("term", "tfidf"))
+    return weighted.groupBy("id").agg(F.array_sort(entries).alias("vector"))
 
 
 def corpus_counts(tokenized: DataFrame, terms: str) -> DataFrame:
@@ -100,13 +100,25 @@ def corpus_counts(tokenized: DataFrame, terms: str) -> DataFrame:
 
 
 def capped_vocabulary(corpus: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent terms; equal counts in alphabetical order."""
-    return corpus.orderBy(F.desc("n"), F.asc("term")).limit(size)
+    """The ``size`` most frequent terms; equal counts in alphabetical order.
+
+    The terms are range-partitioned in that order, and each partition's share
+    follows from the numbers of terms before it. No task sees more than its
+    range, whatever ``size`` is.
+    """
+    order = [F.desc("n"), F.asc("term")]
+    ranges = corpus.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranges.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    stored = written(numbered, "ranged-terms")
+    ranges = stored.groupBy("_range").agg(F.count("*").alias("_size"), F.min("_row").alias("_first"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return stored.join(starts, "_range").where(F.col("_row") + F.col("_shift") < size).select("term", "n")
 
 
 def idf_weights(counts: DataFrame, posts: DataFrame) -> DataFrame:
-    """Document frequency of each term and ln((N + 1) / (df + 1))."""
-    total = posts.agg(F.count("*")).scalar()
+    """Document frequency of each term and ln((N + 1) / (df + 1)); N counts the posts with text."""
+    total = with_text(posts).agg(F.count("*")).scalar()
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     return frequency.select("term", "df", F.log((total + 1) / (F.col("df") + 1)).alias("idf"))
 
@@ -116,7 +128,8 @@ def tf_idf(counts: DataFrame, posts: DataFrame) -> DataFrame:
 
     The counts are stored because two passes read them, the weights because
     their size then decides how they are joined: broadcast when small,
-    otherwise a shuffle in which adaptive execution splits frequent terms.
+    otherwise a shuffle in which adaptive execution splits frequent terms
+    (``spark.sql.adaptive.skewJoin.enabled``, on by default, is relied upon).
     """
     stored = written(counts, "term-counts")
     weights = written(idf_weights(stored, posts), "idf-weights")

@@ -8,8 +8,8 @@ def confusion_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-def metrics_of(confusion: DataFrame) -> DataFrame:
-    """One row with accuracy and with F1 weighted by class size.
+def metrics_of(confusion: DataFrame, *by: str) -> DataFrame:
+    """One row with accuracy and with F1 weighted by class size, or one for each value of ``by``.
 
     Works on the counted (label, prediction) pairs only, a few rows in all.
     """
@@ -26,12 +26,12 @@ def metrics_of(confusion: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("hit"),
     )
     by_class = (
-        confusion.select(F.explode(F.array(as_label, as_prediction)).alias("part"))
-        .groupBy("part.class")
+        confusion.select(*by, F.explode(F.array(as_label, as_prediction)).alias("part"))
+        .groupBy(*by, "part.class")
         .agg(*[F.sum(f"part.{name}").alias(name) for name in ("actual", "predicted", "hit")])
     )
     f1 = 2 * F.col("hit") / (F.col("actual") + F.col("predicted"))
-    return by_class.agg(
+    return by_class.groupBy(*by).agg(
         (F.sum("hit") / F.sum("actual")).alias("accuracy"),
         (F.sum(f1 * F.col("actual")) / F.sum("actual")).alias("f1"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import CLASS_NAMES
-from moodlark.operators.features import BIGRAMS, TOKENS, bigrams, stop_words_remover, tokenizer
+from moodlark.operators.features import BIGRAMS, FILTERED, TOKENS, bigrams, exploded, stop_words_remover, tokenizer
 from moodlark.operators.metrics import evaluate
 from moodlark.operators.relational import with_text
 from moodlark.workspace import written
@@ -91,25 +91,56 @@ def sentiment_pipeline(
 
 @dataclass(frozen=True)
 class Training:
+    """``terms``: one row with the terms ``kept`` in the vocabulary and those ``cut`` from it."""
+
     model: PipelineModel
+    train_set: DataFrame
     scored: DataFrame
     metrics: DataFrame
+    terms: DataFrame
+
+
+def _cut_terms(train_set: DataFrame, terms: str, counter) -> DataFrame:
+    """How many terms the vocabulary cap keeps and cuts."""
+    kept = len(counter.vocabulary)
+    known = exploded(train_set, terms).agg(F.countDistinct("term").alias("known"))
+    return known.select(F.lit(kept).cast("long").alias("kept"), (F.col("known") - kept).alias("cut"))
 
 
-def train(
-    posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split
-) -> Training:
+def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split) -> Training:
     """Fit on the training posts, score and evaluate on the others.
 
-    The posts are stored once: fitting reads the text three times (terms,
-    document frequencies, regression), and none of these passes should parse
-    CSV or join again.
+    The stages are fitted one after another, on stored columns: texts are
+    tokenized once for all of them, and the regression, which passes over its
+    input for each step, reads count vectors that were dealt out evenly. The
+    result is the same pipeline model that ``Pipeline.fit`` gives.
     """
-    stored = written(with_text(posts).select("id", "target", "tweet"), "training-posts")
+    stages = (pipeline or sentiment_pipeline()).getStages()
+    counter = next(stage for stage in stages if isinstance(stage, CountVectorizer))
+    at = stages.index(counter)
+    texts, terms = stages[:at], counter.getInputCol()
+    worded = PipelineModel(texts).transform(with_text(posts).select("id", "target", "tweet"))
+    columns = [c for c in ("id", "target", "tweet", FILTERED, terms) if c in worded.columns]
+    stored = written(worded.select(*columns), "training-posts")
     train_set, test_set = split(stored)
-    model = (pipeline or sentiment_pipeline()).fit(train_set)
-    scored = model.transform(test_set)
-    return Training(model, scored, evaluate(scored))
+    vocabulary = counter.fit(train_set)
+    counted = vocabulary.transform(train_set).select("target", vocabulary.getOutputCol())
+    fitted, data = [vocabulary], written(counted.repartition(_partitions(posts)), "training-counts")
+    for stage in stages[at + 1 :]:
+        fitted.append(stage.fit(data))
+        data = fitted[-1].transform(data)
+    model, later = PipelineModel([*texts, *fitted]), PipelineModel(fitted)
+    scored = written(_narrow(later.transform(test_set)), "scored-posts")
+    return Training(model, later.transform(train_set), scored, evaluate(scored), _cut_terms(train_set, terms, vocabulary))
+
+
+def _partitions(posts: DataFrame) -> int:
+    return int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _narrow(scored: DataFrame) -> DataFrame:
+    """Without the vectors over the vocabulary."""
+    return scored.drop("tf", "features")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -135,7 +166,10 @@ def stream_safe(model: PipelineModel) -> PipelineModel:
 
 
 def score(model: PipelineModel, posts: DataFrame, strict: bool = False) -> DataFrame:
-    """Apply the model. ``strict`` lets a post without text or with an unknown class fail."""
+    """Apply the model. ``strict`` lets a post without text or with an unknown class fail.
+
+    Otherwise posts without text are left out; ``relational.without_text`` has them.
+    """
     if strict:
         return model.transform(posts)
     return stream_safe(model).transform(with_text(posts))
@@ -155,18 +189,17 @@ def with_class_name(scored: DataFrame, model: PipelineModel) -> DataFrame:
     return decoder.transform(scored)
 
 
-def score_long_form(weighted_terms: DataFrame, weights: DataFrame, intercepts: Sequence[float]) -> DataFrame:
-    """Multinomial scores from (id, term, tfidf) and (term, w_0 .. w_k).
+def score_long_form(counts: DataFrame, weights: DataFrame, intercepts: Sequence[float]) -> DataFrame:
+    """Multinomial scores from (id, term, tf) and (term, idf, w_0 .. w_k).
 
-    The weights hold one row per vocabulary term with one column per class, so
-    a post's terms are looked up once for all classes and summed per task
-    before the shuffle on id. Terms without weights add nothing.
+    The weights hold one row per vocabulary term with its IDF and one column
+    per class, so a post's terms are looked up once for all and summed per
+    task before the shuffle on id. Terms without weights add nothing.
     """
     classes = range(len(intercepts))
-    joined = weighted_terms.join(weights, "term", "left")
-    margins = joined.groupBy("id").agg(
-        *[F.sum(F.col("tfidf") * F.coalesce(f"w_{k}", F.lit(0.0))).alias(f"s_{k}") for k in classes]
-    )
+    joined = counts.join(weights, "term", "left")
+    share = [F.col("tf") * F.col("idf") * F.coalesce(f"w_{k}", F.lit(0.0)) for k in classes]
+    margins = joined.groupBy("id").agg(*[F.sum(F.coalesce(share[k], F.lit(0.0))).alias(f"s_{k}") for k in classes])
     raw = F.array(*[F.col(f"s_{k}") + F.lit(float(intercepts[k])) for k in classes])
     top = F.array_max("raw")
     powers = F.transform("raw", lambda margin: F.exp(margin - top))

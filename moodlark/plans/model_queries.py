@@ -1,8 +1,7 @@
 """Queries on features, labels, the split, training and scoring."""
 
-from functools import cache
-
-from pyspark.ml.feature import IDF
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,36 +27,48 @@ _IDF = """weights AS (
 
 @query("m1_bigram_counts", f"{_BIGRAM_COUNTS} SELECT id, term, tf FROM counts")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_counts(features.with_bigrams(labelled_posts(spark, sf_dir, text_work=True)), features.BIGRAMS)
+    return features.term_counts(features.with_bigrams(labelled_posts(spark, sf_dir)), features.BIGRAMS)
 
 
 @query("m2_token_counts", f"{_TOKEN_COUNTS} SELECT id, term, tf FROM counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.term_counts(features.with_tokens(labelled_posts(spark, sf_dir, text_work=True)), features.TOKENS)
+    return features.term_counts(features.with_tokens(labelled_posts(spark, sf_dir)), features.TOKENS)
 
 
 @query("m2_token_vectors", f"{_TOKEN_COUNTS} SELECT id, term, tf::DOUBLE AS tf FROM counts")
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from the model's own count vectors."""
-    posts = written(labelled_posts(spark, sf_dir, text_work=True).select("id", "tweet"), "posts")
-    tokenized = features.with_tokens(posts)
-    counter = classifier.count_vectorizer(features.TOKENS).fit(tokenized)
-    return features.vector_terms(counter.transform(tokenized), counter.vocabulary)
+    """The entries of each post's vector of all its tokens."""
+    vectors = features.term_vectors(features.with_tokens(labelled_posts(spark, sf_dir)), features.TOKENS)
+    return features.opened(vectors).withColumn("tf", F.col("tf").cast("double"))
 
 
-@query(
-    "m3_capped_vocabulary",
-    f"""{_TOKEN_COUNTS}, corpus AS (SELECT term, sum(tf)::BIGINT AS n FROM counts GROUP BY term)
-    SELECT term, n FROM corpus ORDER BY n DESC, term LIMIT {classifier.STORED_VOCABULARY}""",
-)
+def _vocabulary_sql(size: int) -> str:
+    return f"""{_TOKEN_COUNTS}, corpus AS (SELECT term, sum(tf)::BIGINT AS n FROM counts GROUP BY term)
+    SELECT term, n FROM corpus ORDER BY n DESC, term LIMIT {size}"""
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    corpus = features.corpus_counts(features.with_tokens(labelled_posts(spark, sf_dir)), features.TOKENS)
+    return features.capped_vocabulary(corpus, size)
+
+
+@query("m3_capped_vocabulary", _vocabulary_sql(classifier.STORED_VOCABULARY))
 def capped_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = features.corpus_counts(features.with_tokens(labelled_posts(spark, sf_dir, text_work=True)), features.TOKENS)
-    return features.capped_vocabulary(corpus, classifier.STORED_VOCABULARY)
+    return _vocabulary(spark, sf_dir, classifier.STORED_VOCABULARY)
+
+
+SMALL_VOCABULARY = 1000
+
+
+@query("m3_small_vocabulary", _vocabulary_sql(SMALL_VOCABULARY))
+def small_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap that cuts most terms at any size of the tables."""
+    return _vocabulary(spark, sf_dir, SMALL_VOCABULARY)
 
 
 @query("m4_idf_weights", f"{_TOKEN_COUNTS}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM weights")
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir, text_work=True)
+    posts = labelled_posts(spark, sf_dir)
     counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
     return features.idf_weights(counts, posts).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -70,7 +81,7 @@ _WEIGHTED = f"{_TOKEN_COUNTS}, {_IDF}"
     f"{_WEIGHTED} SELECT id, term, tf, round(tf * idf, 6) AS tfidf FROM counts JOIN weights USING (term)",
 )
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir, text_work=True)
+    posts = labelled_posts(spark, sf_dir)
     counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
     return features.tf_idf(counts, posts).select("id", "term", "tf", F.round("tfidf", 6).alias("tfidf"))
 
@@ -80,14 +91,30 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_WEIGHTED} SELECT id, term, round(tf * idf, 6) AS tfidf FROM counts JOIN weights USING (term)",
 )
 def tf_idf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same weights from the model's own feature vectors."""
-    posts = written(labelled_posts(spark, sf_dir, text_work=True).select("id", "tweet"), "posts")
-    tokenized = features.with_tokens(posts)
-    counter = classifier.count_vectorizer(features.TOKENS).fit(tokenized)
-    counted = counter.transform(tokenized)
-    weighted = IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted)
-    terms = features.vector_terms(weighted, counter.vocabulary, "features", "tfidf")
-    return terms.select("id", "term", F.round("tfidf", 6).alias("tfidf"))
+    """The entries of each post's vector of weights."""
+    posts = labelled_posts(spark, sf_dir)
+    counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
+    entries = features.opened(features.tf_idf_vectors(features.tf_idf(counts, posts)))
+    return entries.select("id", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
+_GAPS = f"""WITH {sql.POSTS.replace("posts AS", "whole AS", 1)},
+posts AS (SELECT id, source, target, CASE WHEN id % 3 <> 0 THEN tweet END AS tweet FROM whole)"""
+
+
+@query(
+    "m4_idf_weights_with_gaps",
+    f"""{_GAPS}, {sql.tokens_cte("posts WHERE tweet IS NOT NULL")},
+    terms AS (SELECT id, unnest(tk) AS term FROM tokens),
+    counts AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY id, term),
+    {_IDF.replace("FROM posts", "FROM posts WHERE tweet IS NOT NULL")}
+    SELECT term, df, round(idf, 6) AS idf FROM weights""",
+)
+def idf_weights_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights where every third post has no text."""
+    posts = labelled_posts(spark, sf_dir).withColumn("tweet", F.when(F.pmod("id", F.lit(3)) != 0, F.col("tweet")))
+    counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
+    return features.idf_weights(counts, posts).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _LABELS = """labels_of AS (
@@ -112,51 +139,136 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_posts(spark, sf_dir).select("id", "target", chosen)
 
 
-@query("m9_random_split", f"{_POSTS} SELECT count(*) AS n FROM posts")
+@query(
+    "m9_random_split",
+    f"{_POSTS} SELECT count(*) AS n, count(DISTINCT id) AS ids, 0::BIGINT AS in_both, true AS near_share FROM posts",
+)
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both parts of the random split hold all posts together."""
-    train, test = classifier.random_split(labelled_posts(spark, sf_dir).select("id", "target"), seed=7)
-    return train.union(test).agg(F.count("*").alias("n"))
+    """Both parts of the random split hold every post once; their sizes are near the shares (six deviations)."""
+    posts = written(labelled_posts(spark, sf_dir).select("id", "target"), "posts")
+    train, test = classifier.random_split(posts, seed=7)
+    parts = train.withColumn("part", F.lit(1)).union(test.withColumn("part", F.lit(0)))
+    by_id = parts.groupBy("id").agg(F.count("*").alias("n"), F.sum("part").alias("trained"))
+    share = F.lit(classifier.TRAIN_SHARE)
+    expected, spread = F.sum("n") * share, F.sqrt(F.sum("n") * share * (1 - share))
+    both = F.count_if((F.col("trained") > 0) & (F.col("trained") < F.col("n")))
+    return by_id.agg(
+        F.sum("n").alias("n"),
+        F.count("id").alias("ids"),
+        both.alias("in_both"),
+        (F.abs(F.sum("trained") - expected) <= 6 * spread).alias("near_share"),
+    )
+
+
+_trained: dict[tuple[str, str, str], classifier.Training] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str, terms: str = features.BIGRAMS) -> classifier.Training:
+    """The classifier on bigrams or on tokens, fitted once for all queries of an application that use it."""
+    application = spark.sparkContext.applicationId
+    for stale in [key for key in _trained if key[0] != application]:
+        del _trained[stale]
+    key = (application, sf_dir, terms)
+    if key not in _trained:
+        _trained[key] = classifier.train(labelled_posts(spark, sf_dir), classifier.sentiment_pipeline(terms))
+    return _trained[key]
 
 
-@cache
-def trained(spark: SparkSession, sf_dir: str) -> classifier.Training:
-    """The bigram classifier, fitted once for all queries of a session that use it."""
-    return classifier.train(labelled_posts(spark, sf_dir, text_work=True))
+SPLIT = """parts AS (
+  SELECT *, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts),
+labels_of AS (
+  SELECT target, (row_number() OVER (ORDER BY count(*) DESC, target) - 1)::DOUBLE AS label, count(*) AS n
+  FROM parts WHERE in_training GROUP BY target)"""
 
 
-@query("m6_class_probabilities")
+@query(
+    "m6_class_probabilities",
+    f"""{_POSTS}, {SPLIT}
+    SELECT label::INTEGER AS class, round(n / sum(n) OVER (), 2) AS mean_probability FROM labels_of""",
+)
 def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean probability that the trained model gives each class on the test posts."""
-    from pyspark.ml.functions import vector_to_array
+    """Mean probability of each class on the training posts.
+
+    A regression with intercepts and without penalty gives each class its
+    share of the posts it was fitted on.
+    """
+    return _mean_probabilities(trained(spark, sf_dir))
 
-    scored = trained(spark, sf_dir).scored
-    chances = scored.select("label", F.posexplode(vector_to_array("probability")).alias("class", "chance"))
-    return chances.groupBy("label", "class").agg(F.avg("chance").alias("mean_probability"))
+
+@query(
+    "m6_token_class_probabilities",
+    f"""{_POSTS}, {SPLIT}
+    SELECT label::INTEGER AS class, round(n / sum(n) OVER (), 2) AS mean_probability FROM labels_of""",
+)
+def token_class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the classifier on tokens."""
+    return _mean_probabilities(trained(spark, sf_dir, features.TOKENS))
 
 
-@query("m7_scored_posts")
+def _mean_probabilities(training: classifier.Training) -> DataFrame:
+    chances = training.train_set.select(F.posexplode(vector_to_array("probability")).alias("class", "chance"))
+    return chances.groupBy("class").agg(F.round(F.avg("chance"), 2).alias("mean_probability"))
+
+
+@query(
+    "m7_scored_posts",
+    f"""{_POSTS}, {SPLIT}
+    SELECT id, target, label, true AS most_probable, true AS named
+    FROM parts JOIN labels_of USING (target) WHERE NOT in_training""",
+)
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test posts; each prediction is the class of the highest probability, and bears its name."""
     training = trained(spark, sf_dir)
     named = classifier.with_class_name(training.scored, training.model)
-    return named.select("id", "target", "label", "prediction", "predicted_name")
+    chances = vector_to_array("probability")
+    best = F.array_position(chances, F.array_max(chances)) - 1
+    by_label = training.train_set.select(F.col("label").alias("prediction"), F.col("target").alias("known")).distinct()
+    return named.withColumn("best", best.cast("double")).join(by_label, "prediction").select(
+        "id",
+        "target",
+        "label",
+        (F.col("prediction") == F.col("best")).alias("most_probable"),
+        (F.col("predicted_name") == F.col("known")).alias("named"),
+    )
+
+
+_METRICS_SQL = f"""{_POSTS}, {SPLIT}
+SELECT label, count(*) AS n, true AS same_accuracy, true AS same_f1
+FROM parts JOIN labels_of USING (target) WHERE NOT in_training GROUP BY label"""
 
 
-@query("m8_trained_metrics")
+@query("m8_trained_metrics", _METRICS_SQL)
 def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rounded(trained(spark, sf_dir).metrics)
+    """Test posts by label, and whether the metrics of the model are those of Spark's evaluator."""
+    return _metrics_checked(trained(spark, sf_dir))
 
 
-SPLIT = """parts AS (
-  SELECT *, (id::HUGEINT * 2654435761) % 4294967296 < 0.8 * 4294967296 AS in_training FROM posts),
-labels_of AS (
-  SELECT target, (row_number() OVER (ORDER BY count(*) DESC, target) - 1)::DOUBLE AS label
-  FROM parts WHERE in_training GROUP BY target)"""
+@query("m8_token_trained_metrics", _METRICS_SQL)
+def token_trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the classifier on tokens."""
+    return _metrics_checked(trained(spark, sf_dir, features.TOKENS))
+
+
+def _metrics_checked(training: classifier.Training) -> DataFrame:
+    confusion = metrics.confusion_counts(training.scored)
+    pairs = [MulticlassClassificationEvaluator(metricName=name).evaluate(training.scored) for name in ("accuracy", "f1")]
+    same = [F.abs(F.col(name) - value) < 1e-9 for name, value in zip(("accuracy", "f1"), pairs, strict=True)]
+    checked = metrics.metrics_of(confusion).select(same[0].alias("same_accuracy"), same[1].alias("same_f1"))
+    by_label = confusion.groupBy("label").agg(F.sum("n").alias("n"))
+    return by_label.select(
+        "label", "n", checked.select("same_accuracy").scalar().alias("same_accuracy"), checked.select("same_f1").scalar().alias("same_f1")
+    )
 
 
-@query("p4_trainer_report")
+@query(
+    "p4_trainer_report",
+    f"""{_POSTS}, {SPLIT}
+    SELECT tweet, label, true AS scored FROM parts JOIN labels_of USING (target) WHERE NOT in_training""",
+)
 def trainer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.trainer_report(trained(spark, sf_dir).scored)
+    """The prediction is only checked to be that of the highest probability by ``m7_scored_posts``."""
+    report = relational.trainer_report(trained(spark, sf_dir).scored)
+    return report.select("tweet", "label", F.col("prediction").isin(0.0, 1.0, 2.0, 3.0).alias("scored"))
 
 
 @query(
@@ -167,7 +279,7 @@ def trainer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prediction itself is only checked to be a class."""
-    report = relational.evaluation_report(trained(spark, sf_dir).scored)
+    report = relational.evaluation_report(trained(spark, sf_dir, features.TOKENS).scored)
     words = F.array_join("filtered_words", " : ").alias("filtered_words")
     return report.select("tweet", words, "label", F.col("prediction").isin(0.0, 1.0, 2.0, 3.0).alias("scored"))
 
@@ -205,13 +317,12 @@ _SQL_CLASSES = ", ".join(f"({k}, {bias}::DOUBLE)" for k, bias in enumerate(_INTE
     FROM shares GROUP BY id""",
 )
 def long_form_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = labelled_posts(spark, sf_dir, text_work=True)
-    counts = features.term_counts(features.with_tokens(posts), features.TOKENS)
-    weighted = written(features.tf_idf(counts, posts), "tf-idf")
-    terms = weighted.select("term").distinct()
+    posts = labelled_posts(spark, sf_dir)
+    counts = written(features.term_counts(features.with_tokens(posts), features.TOKENS), "term-counts")
     weights = [
         (((F.length("term") * 31 + k * 17) % 13 - 6) / 100).alias(f"w_{k}") for k in range(len(_INTERCEPTS))
     ]
-    table = written(terms.select("term", *weights), "term-weights")
-    scores = classifier.score_long_form(weighted, table, _INTERCEPTS)
+    # The IDF table has every term once: the class weights go with it.
+    table = written(features.idf_weights(counts, posts).select("term", "idf", *weights), "term-weights")
+    scores = classifier.score_long_form(counts, table, _INTERCEPTS)
     return scores.select("id", F.round(F.array_max("probability"), 6).alias("top_probability"), "prediction")

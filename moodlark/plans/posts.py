@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import CLASS_NAMES
-from moodlark.workspace import spread_if_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,24 +35,18 @@ def _as_posts(documents: DataFrame) -> DataFrame:
 
 def documents_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an unlabelled post."""
-    documents = table(spark, sf_dir, "documents")
-    return spread_if_small(_as_posts(documents), documents)
-
+    return _as_posts(table(spark, sf_dir, "documents"))
 
-def labelled_posts(spark: SparkSession, sf_dir: str, text_work: bool = False) -> DataFrame:
-    """Documents that carry a label, with the label spelled as a class name.
 
-    ``text_work`` says that each text will be tokenized, for which the rows of
-    a small table are spread out first.
-    """
+def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a label, with the label spelled as a class name."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"),
         sentiment(F.col("quality"), F.col("toxic")).alias("target"),
     )
     joined = _as_posts(documents).drop("target").join(labels, "id")
-    posts = joined.select("id", "source", "target", "tweet")
-    return spread_if_small(posts, documents) if text_work else posts
+    return joined.select("id", "source", "target", "tweet")
 
 
 def class_index(target: Column) -> Column:
@@ -64,10 +57,10 @@ def class_index(target: Column) -> Column:
     return index
 
 
-def stored_predictions(posts: DataFrame) -> DataFrame:
-    """Posts as prediction records, with a prediction that is right for even ids."""
+def stored_predictions(posts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Posts as prediction records, with a prediction made from class and id; ``keep`` names further columns."""
     label = class_index(F.col("target"))
-    kept = [name for name in ("tweet", "filtered_words", "target") if name in posts.columns]
+    kept = [name for name in (*keep, "tweet", "filtered_words", "target") if name in posts.columns]
     return posts.select(
         *kept,
         label.alias("label"),

@@ -15,6 +15,7 @@ from moodlark.plans.posts import documents_as_posts, labelled_posts, stored_pred
 from moodlark.plans.registry import query
 from moodlark.sources.messages import parse_messages, parsed
 from moodlark.sources.stores import with_defaults
+from moodlark.workspace import written
 
 PROPS = StructType([StructField("k", IntegerType())])
 
@@ -69,7 +70,7 @@ def sentiment_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM counted QUALIFY rank <= 10""",
 )
 def top_words_by_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_words(labelled_posts(spark, sf_dir, text_work=True))
+    return top_words(labelled_posts(spark, sf_dir))
 
 
 @query("a5_prediction_count", f"{_PREDICTIONS} SELECT count(*) AS predictions FROM predictions")
@@ -87,7 +88,7 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir, text_work=True)))
+    return stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir)))
 
 
 _WORDS = f"{_PREDICTIONS}, {sql.tokens_cte()}"
@@ -100,7 +101,8 @@ _WORDS = f"{_PREDICTIONS}, {sql.tokens_cte()}"
     FROM predictions JOIN filtered USING (id) ORDER BY batch_id DESC, seq DESC""",
 )
 def prediction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feed.prediction_feed(_predictions_with_words(spark, sf_dir))
+    """The words are stored with the predictions, as the stream does; sorting does not tokenize again."""
+    rows = feed.prediction_feed(written(_predictions_with_words(spark, sf_dir), "predictions"))
     return rows.withColumn("filtered_words", display_words(F.col("filtered_words")))
 
 
@@ -124,32 +126,36 @@ def newest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.newest_predictions(newest, total=predictions.agg(F.count("*")).scalar())
 
 
-_METRICS_BY_SOURCE = """history AS (
-  SELECT p.source AS model_id, max(id) AS trained_at, avg((q.label = q.prediction)::INT::DOUBLE) AS accuracy
-  FROM posts p JOIN predictions q USING (id) GROUP BY p.source)"""
+_METRICS_BY_SOURCE = """whole AS (SELECT p.source, q.* FROM posts p JOIN predictions q USING (id)),
+classes AS (SELECT DISTINCT source, unnest([label, prediction]) AS class FROM whole),
+per_class AS (
+  SELECT c.source, class, count(*) FILTER (WHERE label = class) AS actual,
+         count(*) FILTER (WHERE prediction = class) AS predicted,
+         count(*) FILTER (WHERE label = class AND prediction = class) AS hit
+  FROM classes c JOIN whole USING (source) GROUP BY c.source, class),
+history AS (
+  SELECT source AS model_id, sum(2.0::DOUBLE * hit / (actual + predicted) * actual) / sum(actual) AS f1,
+         sum(hit) / sum(actual) AS accuracy
+  FROM per_class GROUP BY source),
+dated AS (SELECT source AS model_id, max(id) AS trained_at FROM posts GROUP BY source)"""
 
 
 @query(
     "l4_latest_metrics",
     f"""{_PREDICTIONS}, {_METRICS_BY_SOURCE}
-    SELECT round(accuracy, 6) AS accuracy, 0.0::DOUBLE AS f1
-    FROM history ORDER BY trained_at DESC, model_id DESC LIMIT 1""",
+    SELECT round(accuracy, 6) AS accuracy, round(f1, 6) AS f1
+    FROM history JOIN dated USING (model_id) ORDER BY trained_at DESC, model_id DESC LIMIT 1""",
 )
 def latest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest of one record per source. The records lack F1, which reads as 0."""
-    posts = labelled_posts(spark, sf_dir)
-    scored = stored_predictions(posts).select("label", "prediction", F.col("seq").alias("id"))
-    history = (
-        posts.select("id", "source")
-        .join(scored, "id")
-        .groupBy(F.col("source").alias("model_id"))
-        .agg(
-            F.max("id").alias("trained_at"),
-            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
-        )
-    )
-    newest = feed.latest_metrics(history)
-    return newest.select(F.round("accuracy", 6).alias("accuracy"), "f1")
+    """Latest of one record per source, as if each had trained a model of its own."""
+    scored = stored_predictions(labelled_posts(spark, sf_dir), keep=("source",))
+    counted = scored.groupBy("source", "label", "prediction").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    # Some rows for each source, read for the metrics and for the dates.
+    confusion = written(counted, "confusion")
+    dated = confusion.groupBy(F.col("source").alias("model_id")).agg(F.max("last").alias("trained_at"))
+    measured = metrics.metrics_of(confusion, "source").withColumnRenamed("source", "model_id")
+    newest = feed.latest_metrics(measured.join(dated, "model_id"))
+    return newest.select(F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
 
 
 _HITS = "avg((label = prediction)::INT::DOUBLE)"
@@ -161,19 +167,7 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select(F.round("accuracy", 6).alias("accuracy"))
 
 
-_F1 = """classes AS (SELECT DISTINCT label AS class FROM predictions),
-per_class AS (
-  SELECT class, count(*) FILTER (WHERE label = class) AS actual,
-         count(*) FILTER (WHERE prediction = class) AS predicted,
-         count(*) FILTER (WHERE label = class AND prediction = class) AS hit
-  FROM classes CROSS JOIN predictions GROUP BY class),
-scores AS (
-  SELECT sum(2.0::DOUBLE * hit / (actual + predicted) * actual) / sum(actual) AS f1,
-         sum(hit) / sum(actual) AS accuracy
-  FROM per_class)"""
-
-
-@query("m11_weighted_f1", f"{_PREDICTIONS}, {_F1} SELECT round(f1, 6) AS f1 FROM scores")
+@query("m11_weighted_f1", f"{_PREDICTIONS}, {sql.F1} SELECT round(f1, 6) AS f1 FROM scores")
 def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = metrics.evaluate(stored_predictions(labelled_posts(spark, sf_dir)))
     return measured.select(F.round("f1", 6).alias("f1"))
@@ -181,7 +175,7 @@ def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "m12_rounded_metrics",
-    f"""{_PREDICTIONS}, {_F1}
+    f"""{_PREDICTIONS}, {sql.F1}
     SELECT printf('%.2f', accuracy)::DOUBLE AS accuracy, printf('%.2f', f1)::DOUBLE AS f1 FROM scores""",
 )
 def rounded_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from collections.abc import Iterable
 
-from moodlark.functions.lexicon import BLANKS, CLASS_NAMES, ML_STOP_WORDS
-from moodlark.functions.text import DELETED
+from moodlark.functions.lexicon import CLASS_NAMES, ML_STOP_WORDS
+
+# Fixed values, written here once more: what cleaning deletes, and the blanks of its patterns.
+BLANKS = r" \t\n\x0b\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+DELETED = rf"[^A-Za-z\n ]|http[^{BLANKS}]+|www[^\n][^{BLANKS}]+"
 
 
 def quoted(text: str) -> str:
@@ -31,6 +34,19 @@ predictions AS (
   FROM labelled)"""
 
 
+# Metrics of the predictions: scores(f1, accuracy).
+F1 = """classes AS (SELECT DISTINCT label AS class FROM predictions),
+per_class AS (
+  SELECT class, count(*) FILTER (WHERE label = class) AS actual,
+         count(*) FILTER (WHERE prediction = class) AS predicted,
+         count(*) FILTER (WHERE label = class AND prediction = class) AS hit
+  FROM classes CROSS JOIN predictions GROUP BY class),
+scores AS (
+  SELECT sum(2.0::DOUBLE * hit / (actual + predicted) * actual) / sum(actual) AS f1,
+         sum(hit) / sum(actual) AS accuracy
+  FROM per_class)"""
+
+
 def cleaned(column: str) -> str:
     kept = f"regexp_replace(lower({column}), {quoted(DELETED)}, '', 'g')"
     return f"trim(regexp_replace({kept}, '[\\n ]+', ' ', 'g'))"
@@ -73,6 +89,17 @@ _CLOSERS = r"""[\])}>"'»”’]*"""
 _COMMA, _COLON = "chr(57344)", "chr(57345)"
 
 
+_EDGE = r"[^\pL\pN_]"
+_FUSED = [
+    *[(first, second, _EDGE, _EDGE) for first, second in (
+        ("can", "not"), ("gon", "na"), ("got", "ta"), ("gim", "me"), ("lem", "me"), ("d", "'ye"), ("more", "'n"),
+    )],
+    ("wan", "na", _EDGE, f"[{BLANKS}]"),
+    ("'t", "is", f"[{BLANKS}]", _EDGE),
+    ("'t", "was", f"[{BLANKS}]", _EDGE),
+]
+
+
 def word_tokens(column: str) -> str:
     """Linguistic tokens without look-around: protect, space out, restore, split."""
     text = f"' ' || lower({column}) || ' '"
@@ -85,11 +112,11 @@ def word_tokens(column: str) -> str:
     text = f"replace(replace({text}, {_COMMA}, ','), {_COLON}, ':')"
     clitic = rf"([^'{BLANKS}])('s|'m|'d|'ll|'re|'ve|'|n't)([{BLANKS}])"
     text = f"regexp_replace({text}, {quoted(clitic)}, '\\1 \\2\\3', 'g')"
-    chunks = f"regexp_split_to_array({text}, '[{BLANKS}]+')"
-    return f"""flatten(list_transform(list_filter({chunks}, lambda w: w <> ''), lambda w: CASE w
-      WHEN 'cannot' THEN ['can', 'not'] WHEN 'gonna' THEN ['gon', 'na'] WHEN 'gotta' THEN ['got', 'ta']
-      WHEN 'wanna' THEN ['wan', 'na'] WHEN 'gimme' THEN ['gim', 'me'] WHEN 'lemme' THEN ['lem', 'me']
-      ELSE [w] END))"""
+    # Twice, since two neighbours share the character between them.
+    for first, second, before, after in _FUSED * 2:
+        fused = rf"({before})({first})({second})({after})"
+        text = f"regexp_replace({text}, {quoted(fused)}, '\\1\\2 \\3\\4', 'g')"
+    return f"list_filter(regexp_split_to_array({text}, '[{BLANKS}]+'), lambda w: w <> '')"
 
 
 def lemma_cte(words: str) -> str:

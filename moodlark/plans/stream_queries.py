@@ -1,9 +1,10 @@
 """Queries that run a stream over the given tables until it has read them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from moodlark.operators.features import with_filtered_words
+from moodlark.operators.features import TOKENS, with_filtered_words
 from moodlark.plans import sql
 from moodlark.plans.model_queries import SPLIT, trained
 from moodlark.plans.posts import labelled_posts, stored_predictions, table
@@ -12,8 +13,9 @@ from moodlark.plans.report_queries import PROPS
 from moodlark.plans.source_queries import replay_pool
 from moodlark.schemas import POST_LONG_ID
 from moodlark.sources import messages
+from moodlark.sources.stores import read_predictions
 from moodlark.streaming import dashboard, replay, scorer
-from moodlark.workspace import new_path, written
+from moodlark.workspace import new_path
 
 _POSTS = f"WITH {sql.POSTS}"
 
@@ -54,10 +56,10 @@ def _message_stream(spark: SparkSession, posts: DataFrame) -> DataFrame:
 )
 def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All posts scored as a stream; the prediction itself is only checked to be a class."""
-    model = trained(spark, sf_dir).model
+    model = trained(spark, sf_dir, TOKENS).model
     stored = scorer.score_available(
         spark,
-        _message_stream(spark, labelled_posts(spark, sf_dir, text_work=True)),
+        _message_stream(spark, labelled_posts(spark, sf_dir)),
         scorer.model_scorer(model),
         new_path(spark, "predictions"),
         new_path(spark, "scoring-log"),
@@ -71,6 +73,134 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _batched_messages(spark: SparkSession, posts: DataFrame, files: int) -> tuple[str, DataFrame]:
+    """Posts published in so many files by id, and read back as a stream of one file for each batch.
+
+    Messages carry their id as offset, as a broker's messages carry theirs.
+    """
+    topic = new_path(spark, "topic")
+    for k in range(files):
+        part = posts.where(F.pmod("id", F.lit(files)) == k).coalesce(1)
+        sent = part.select(
+            F.to_json(F.struct("id", "source", "target", "tweet"), {"ignoreNullFields": "false"}).alias("value"),
+            F.col("id").alias("offset"),
+        )
+        messages.publish(sent, {"path": f"{topic}/part={k}"}, "parquet")
+    options = {"path": topic, "maxFilesPerTrigger": "1"}
+    schema = StructType([*messages.MESSAGE.fields, StructField("offset", LongType())])
+    return topic, messages.parse_messages(messages.subscribe(spark, options, "parquet", schema), POST_LONG_ID)
+
+
+BATCHES = 3
+
+
+@query(
+    "x1_arrival_order",
+    f"""{_POSTS}
+    SELECT id % {BATCHES} AS batch, row_number() OVER (PARTITION BY id % {BATCHES} ORDER BY id)::BIGINT AS place, target
+    FROM posts""",
+)
+def arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of three batches with their place in the batch, which is the order of arrival.
+
+    Which file becomes which batch is the source's business; a batch is named by its records' ids.
+    """
+    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
+    scored = scorer.score_available(spark, posts, _known_scorer_by_arrival, new_path(spark, "predictions"), new_path(spark, "scoring-log"))
+    by_seq = Window.partitionBy("batch_id").orderBy("seq")
+    # The label column carries the id here, as the stored record has no id.
+    return scored.select(
+        F.pmod(F.col("label").cast("long"), F.lit(BATCHES)).alias("batch"),
+        F.row_number().over(by_seq).cast("long").alias("place"),
+        "target",
+    )
+
+
+def _known_scorer_by_arrival(posts: DataFrame) -> DataFrame:
+    scored = stored_predictions(with_filtered_words(posts), keep=("offset",))
+    return scored.drop("seq", "batch_id").withColumn("label", F.col("offset").cast("double"))
+
+
+@query(
+    "p7_empty_batches",
+    f"""{_POSTS} SELECT count(*) AS predictions, {BATCHES - 1}::BIGINT AS batches FROM posts WHERE id % {BATCHES} <> 1""",
+)
+def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the batches is empty after a filter: it is skipped and stores nothing."""
+    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
+    path, kept = new_path(spark, "predictions"), posts.where(F.pmod("id", F.lit(BATCHES)) != 1)
+    stored = scorer.score_available(spark, kept, _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"))
+    return stored.agg(F.count("*").alias("predictions"), F.count_distinct("batch_id").alias("batches"))
+
+
+@query(
+    "x1_rejected_posts",
+    f"""{_POSTS} SELECT target, count(*) FILTER (WHERE id % 3 <> 0) AS scored, count(*) FILTER (WHERE id % 3 = 0) AS rejected
+    FROM posts GROUP BY target""",
+)
+def rejected_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third post has no text: it goes to the table of rejected posts."""
+    posts = labelled_posts(spark, sf_dir).withColumn("tweet", F.when(F.pmod("id", F.lit(3)) != 0, F.col("tweet")))
+    rejected = new_path(spark, "rejected")
+    stored = scorer.score_available(
+        spark, _message_stream(spark, posts), _known_scorer, new_path(spark, "predictions"), new_path(spark, "scoring-log"),
+        seq=F.col("id"), rejected_path=rejected,
+    )
+    both = stored.select("target", F.lit(1).alias("scored")).union(spark.read.parquet(rejected).select("target", F.lit(0)))
+    return both.groupBy("target").agg(F.sum("scored").alias("scored"), F.count_if(F.col("scored") == 0).alias("rejected"))
+
+
+@query(
+    "x4_output_modes",
+    f"{_POSTS}, modes(mode) AS (VALUES ('append'), ('update')) SELECT mode, target, count(*) AS n FROM posts CROSS JOIN modes GROUP BY mode, target",
+)
+def output_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both output modes store the same."""
+    stored = []
+    for mode in ("append", "update"):
+        _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
+        found = scorer.score_available(
+            spark, posts, _known_scorer, new_path(spark, "predictions"), new_path(spark, "scoring-log"), seq=F.col("id"), output_mode=mode
+        )
+        stored.append(found.select(F.lit(mode).alias("mode"), "target"))
+    return stored[0].union(stored[1]).groupBy("mode", "target").agg(F.count("*").alias("n"))
+
+
+@query(
+    "x6_stopped_stream",
+    f"""{_POSTS} SELECT count(*) AS predictions, true AS stopped_between, 0::BIGINT AS twice FROM posts""",
+)
+def stopped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is stopped after its first batch and started again stores every post once."""
+    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
+    path, log = new_path(spark, "predictions"), new_path(spark, "scoring-log")
+    first = scorer.start_scoring(posts, _known_scorer, path, log, seq=F.col("id"), trigger=replay.pace(0.5))
+    scorer.stop_after(first, 1)
+    stopped = not first.isActive
+    stored = scorer.score_available(spark, posts, _known_scorer, path, log, seq=F.col("id"))
+    by_seq = stored.groupBy("seq").agg(F.count("*").alias("n"))
+    return by_seq.agg(F.sum("n").alias("predictions"), F.lit(stopped).alias("stopped_between"), F.count_if(F.col("n") > 1).alias("twice"))
+
+
+PACE_SECONDS = 1.0
+
+
+@query("x3_paced_batches", f"{_POSTS} SELECT count(*) AS predictions, true AS paced FROM posts")
+def paced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches start as far apart as the pace says (or more, if they take longer)."""
+    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
+    path = new_path(spark, "predictions")
+    running = scorer.start_scoring(posts, _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"), trigger=replay.pace(PACE_SECONDS))
+    scorer.stop_after(running, BATCHES)
+    stored = read_predictions(spark, path)
+    starts = stored.groupBy("batch_id").agg(F.min("scored_at").alias("at"))
+    span = F.max(F.col("at").cast("double")) - F.min(F.col("at").cast("double"))
+    # A trigger fires on multiples of the pace, so the first batch may start late within its interval.
+    least = (BATCHES - 2) * PACE_SECONDS
+    paced = starts.agg((span >= least).alias("paced")).scalar()
+    return stored.agg(F.count("*").alias("predictions")).select("predictions", paced.alias("paced"))
+
+
 def _known_scorer(posts: DataFrame) -> DataFrame:
     return stored_predictions(with_filtered_words(posts)).drop("batch_id").withColumnRenamed("seq", "id")
 
@@ -80,7 +210,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "summaries")
     scorer.score_available(
         spark,
-        _message_stream(spark, labelled_posts(spark, sf_dir, text_work=True)),
+        _message_stream(spark, labelled_posts(spark, sf_dir)),
         _known_scorer,
         new_path(spark, "predictions"),
         new_path(spark, "scoring-log"),
@@ -150,7 +280,6 @@ def replayed_posts_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, sf_dir: str, compat: bool) -> DataFrame:
     pool = replay_pool(spark, sf_dir)
-    pool = written(pool, "pool")
     draw = replay.modular_draw(F.col("event_id"), SEED, pool.count(), compat)
     drawn = _events_stream(spark, sf_dir).select(draw.alias("draw"))
     sent = messages.to_messages(replay.replay(drawn, pool, compat))

@@ -24,6 +24,9 @@ POST = StructType(
 # Same post where ids outgrow an int (the tables the queries run on).
 POST_LONG_ID = StructType([StructField("id", LongType()), *POST.fields[1:]])
 
+# What a message stream tells of a message's arrival.
+ARRIVAL = ("timestamp", "partition", "offset")
+
 CORRUPT_RECORD = "_corrupt_record"
 
 # Output names of the dashboard form of a post.

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StringType, StructField, StructType
 
-from moodlark.schemas import POST
+from moodlark.schemas import ARRIVAL, POST
 
+# Format, option names and local default of the connector.
 KAFKA = "kafka"
 
 # Body of a message where the source needs a schema; Kafka brings its own.
@@ -44,9 +45,11 @@ def parsed(value: Column, schema: StructType) -> Column:
 def parse_messages(messages: DataFrame, schema: StructType = POST) -> DataFrame:
     """Decode ``value`` and spread its JSON fields over columns.
 
-    Messages that are no JSON object give a row of nulls; unknown keys go.
+    Messages that are no JSON object give a row of nulls; unknown keys go. The
+    columns that tell when a message arrived stay, where the source has them.
     """
-    return messages.select(parsed(F.col("value"), schema).alias("data")).select("data.*")
+    arrival = [name for name in ARRIVAL if name in messages.columns]
+    return messages.select(parsed(F.col("value"), schema).alias("data"), *arrival).select("data.*", *arrival)
 
 
 def to_messages(posts: DataFrame) -> DataFrame:

@@ -1,41 +1,49 @@
 """Post CSVs: training form, dashboard form, replay pool."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from moodlark.schemas import CORRUPT_RECORD, POST
+from moodlark.schemas import CORRUPT_RECORD, DASHBOARD_NAMES, POST
 from moodlark.workspace import written
 
 TEXT_COLUMNS = ("source", "target", "tweet")
 
 
 def read_posts(
-    spark: SparkSession, path: str | list[str], schema: StructType = POST, compat: bool = False
+    spark: SparkSession, path: str | list[str], schema: StructType = POST, compat: bool = False, line_breaks: bool = False
 ) -> DataFrame:
     """Headerless post CSV. Bad ids become null, missing columns null, extra ones go.
 
-    By default quotes are doubled inside quoted fields and line breaks are
-    legal there. Such a file cannot be split, so keep large inputs in many
-    files. ``compat`` keeps Spark's own CSV defaults, which cut such fields
-    but do split files.
+    Quotes are doubled inside quoted fields. Files are split, so a line is a
+    row; say ``line_breaks`` if quoted fields hold line breaks, and keep such
+    an input in many files, since each is then read by one task. ``compat``
+    keeps Spark's own CSV defaults, in which a backslash escapes quotes.
     """
     reader = spark.read.schema(schema).option("header", False)
     if not compat:
-        reader = reader.option("multiLine", True).option("escape", '"')
+        reader = reader.option("multiLine", line_breaks).option("escape", '"')
     return reader.csv(path)
 
 
-def _dashboard_rows(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    with_raw = StructType([*schema.fields, StructField(CORRUPT_RECORD, StringType())])
-    return (
-        spark.read.schema(with_raw)
+def _dashboard_rows(
+    spark: SparkSession, path: str | list[str], schema: StructType, header: Sequence[str], line_breaks: bool
+) -> DataFrame:
+    """The rows below the header, which every file must have: a file without one fails the job."""
+    named = [StructField(name, field.dataType) for name, field in zip(header, schema.fields, strict=True)]
+    rows = (
+        spark.read.schema(StructType([*named, StructField(CORRUPT_RECORD, StringType())]))
         .option("header", True)
-        .option("multiLine", True)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", CORRUPT_RECORD)
         .csv(path)
     )
+    return rows.toDF(*schema.names, CORRUPT_RECORD)
 
 
 # Every use names the id next to the raw record, so the id is parsed and the
@@ -49,23 +57,34 @@ def _as_posts(rows: DataFrame) -> DataFrame:
     return rows.select("id", *texts)
 
 
-def read_dashboard_posts(spark: SparkSession, path: str | list[str], schema: StructType = POST) -> DataFrame:
-    """Post CSV whose first row is skipped; any malformed row fails the job.
+def read_dashboard_posts(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType = POST,
+    header: Sequence[str] = tuple(DASHBOARD_NAMES.values()),
+    line_breaks: bool = False,
+) -> DataFrame:
+    """Post CSV under a header; any malformed row, and any file without the header, fails the job.
 
     Malformed is a row without exactly four fields or with an id that is not
-    a whole number. Empty text fields stay empty strings.
+    a whole number. Empty text fields stay empty strings. For ``line_breaks``
+    see ``read_posts``.
     """
-    rows = _dashboard_rows(spark, path, schema)
+    rows = _dashboard_rows(spark, path, schema, header, line_breaks)
     message = F.concat(F.lit("malformed post row: "), F.coalesce(CORRUPT_RECORD, F.lit("no id")))
     checked = rows.where(F.when(_is_malformed(), F.raise_error(message).cast("boolean")).otherwise(True))
     return _as_posts(checked)
 
 
 def quarantine_dashboard_posts(
-    spark: SparkSession, path: str | list[str], schema: StructType = POST
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType = POST,
+    header: Sequence[str] = tuple(DASHBOARD_NAMES.values()),
+    line_breaks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The well-formed posts and, apart from them, the malformed rows."""
-    rows = _dashboard_rows(spark, path, schema)
+    """The well-formed posts and, apart from them, the malformed rows; the files are parsed once."""
+    rows = written(_dashboard_rows(spark, path, schema, header, line_breaks), "dashboard-rows")
     return _as_posts(rows.where(~_is_malformed())), rows.where(_is_malformed())
 
 
@@ -97,15 +116,18 @@ def with_position(scan: DataFrame) -> DataFrame:
     return tagged.join(offsets, block).select(position.alias("idx"), *scan.columns)
 
 
-def read_replay_pool(spark: SparkSession, path: str | list[str], schema: StructType = POST) -> DataFrame:
+def read_replay_pool(
+    spark: SparkSession, path: str | list[str], schema: StructType = POST, line_breaks: bool = False
+) -> DataFrame:
     """Headerless post CSV with the position of each row in column ``idx``."""
-    return with_position(read_posts(spark, path, schema))
+    return with_position(read_posts(spark, path, schema, line_breaks=line_breaks))
 
 
 def write_posts(posts: DataFrame, path: str, header: bool = False) -> None:
-    """Write posts in the CSV form that the readers above expect."""
+    """Write posts in the CSV form that the readers above expect, with the dashboard's header if asked."""
     (
-        posts.write.option("header", header)
+        (posts.withColumnsRenamed(DASHBOARD_NAMES) if header else posts)
+        .write.option("header", header)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)

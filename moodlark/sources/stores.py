@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlark.schemas import METRICS, PREDICTION
+from moodlark.schemas import ARRIVAL, METRICS, PREDICTION
 
 
 def with_defaults(records: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -19,14 +19,31 @@ def with_defaults(records: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     )
 
 
+# Batches whose folders share a parent, so that no folder has too many entries.
+BATCHES_IN_RANGE = 1000
+
+
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch_range={batch_id // BATCHES_IN_RANGE}/batch_id={batch_id}"
+
+
+def arrival_order(records: DataFrame) -> list[str]:
+    """The columns by which the records of one batch arrived, as far as they are there."""
+    return [name for name in ARRIVAL if name in records.columns]
+
+
 def append_predictions(
     scored: DataFrame, path: str, batch_id: int, seq: Column | None = None, scored_at: datetime | None = None
 ) -> None:
     """Store one scored batch in its own partition.
 
     The partition is replaced as a whole, so a batch that is delivered again
-    after a failure leaves one copy.
+    after a failure leaves one copy. ``seq`` numbers the records of the batch;
+    without it they are numbered in order of arrival.
     """
+    arrived = arrival_order(scored)
+    if seq is None and arrived:
+        scored = scored.orderBy(*arrived)
     order = F.monotonically_increasing_id() if seq is None else seq
     moment = F.current_timestamp() if scored_at is None else F.lit(scored_at)
     order_fields = ("seq", "scored_at", "batch_id")
@@ -34,12 +51,17 @@ def append_predictions(
     (
         scored.select(*reported, order.cast("long").alias("seq"), moment.alias("scored_at"))
         .write.mode("overwrite")
-        .parquet(f"{path}/batch_id={batch_id}")
+        .parquet(batch_folder(path, batch_id))
     )
 
 
+def append_rejected(posts: DataFrame, path: str, batch_id: int) -> None:
+    """Store the posts of a batch that cannot be scored, in place of an earlier copy of it."""
+    posts.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION).parquet(path)
+    return spark.read.schema(PREDICTION).parquet(path).select(*PREDICTION.names)
 
 
 def append_metrics(metrics: DataFrame, path: str, model_id: str, trained_at: datetime | None = None) -> None:

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from moodlark.operators.model import score
-from moodlark.operators.relational import stored_report
-from moodlark.sources.stores import append_predictions, read_predictions
-from moodlark.streaming.dashboard import append_summary
+from moodlark.operators.relational import stored_report, without_text
+from moodlark.sources.stores import append_predictions, append_rejected, read_predictions
+from moodlark.streaming.dashboard import SHOWN, append_summary
 
 logger = logging.getLogger(__name__)
 
@@ -17,7 +17,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def model_scorer(model, strict: bool = False) -> Scorer:
-    return lambda posts: stored_report(score(model, posts, strict))
+    return lambda posts: stored_report(score(model, posts, strict), *posts.columns)
 
 
 def process_batch(
@@ -27,20 +27,25 @@ def process_batch(
     predictions_path: str,
     summaries_path: str | None = None,
     seq: Column | None = None,
+    rejected_path: str | None = None,
+    shown: int = SHOWN,
 ) -> None:
     """Score one micro-batch and store it under its id; skip it if it is empty.
 
     Executors write the rows. The dashboard summary is made from the rows just
-    written, so the batch is scored once. A failure stops the query; after the
-    restart the same batch replaces whatever was written for it.
+    written, so the batch is scored once. Posts without text cannot be scored;
+    they go to ``rejected_path``. A failure stops the query; after the restart
+    the same batch replaces whatever was written for it.
     """
     if posts.isEmpty():
         logger.info("batch %s is empty", batch_id)
         return
     try:
         append_predictions(scorer(posts), predictions_path, batch_id, seq)
+        if rejected_path is not None:
+            append_rejected(without_text(posts), rejected_path, batch_id)
         if summaries_path is not None:
-            append_summary(posts.sparkSession, predictions_path, summaries_path, batch_id)
+            append_summary(posts.sparkSession, predictions_path, summaries_path, batch_id, shown)
     except Exception:
         logger.exception("batch %s failed", batch_id)
         raise
@@ -55,6 +60,8 @@ def start_scoring(
     seq: Column | None = None,
     output_mode: str = "update",
     trigger: dict | None = None,
+    rejected_path: str | None = None,
+    shown: int = SHOWN,
 ) -> StreamingQuery:
     """Start the scoring stream.
 
@@ -66,7 +73,7 @@ def start_scoring(
         .option("checkpointLocation", checkpoint)
         .foreachBatch(
             lambda batch, batch_id: process_batch(
-                batch, batch_id, scorer, predictions_path, summaries_path, seq
+                batch, batch_id, scorer, predictions_path, summaries_path, seq, rejected_path, shown
             )
         )
     )
@@ -83,10 +90,20 @@ def score_available(
     checkpoint: str,
     summaries_path: str | None = None,
     seq: Column | None = None,
+    **options,
 ) -> DataFrame:
-    """Score everything the source holds now and return the stored predictions."""
-    query = start_scoring(
-        posts, scorer, predictions_path, checkpoint, summaries_path, seq, trigger={"availableNow": True}
-    )
+    """Score everything the source holds now and return the stored predictions.
+
+    ``options`` are those of ``start_scoring``.
+    """
+    options = {"trigger": {"availableNow": True}, **options}
+    query = start_scoring(posts, scorer, predictions_path, checkpoint, summaries_path, seq, **options)
     query.awaitTermination()
     return read_predictions(spark, predictions_path)
+
+
+def stop_after(query: StreamingQuery, batches: int, poll_seconds: float = 0.2) -> None:
+    """Let a running stream go on until it has done so many batches, then stop it."""
+    while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] + 1 < batches):
+        query.awaitTermination(poll_seconds)
+    query.stop()

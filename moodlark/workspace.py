@@ -5,8 +5,13 @@ as Parquet below the folder named by ``spark.checkpoint.dir``. A written table
 survives the loss of any executor, and its file size gives the optimizer a
 measured size, so ``spark.sql.autoBroadcastJoinThreshold`` decides whether a
 join side is broadcast or shuffled.
+
+Each application writes to a folder of its own, which a program removes when
+its results are stored (``remove_run_folder``).
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,19 +21,39 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    On one machine a temporary folder will do, which goes with the process. On
+    a cluster the session must name one.
+    """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="moodlark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(CHECKPOINT_DIR, folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/moodlark-{spark.sparkContext.applicationId}"
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete what this application has written for itself.
+
+    DataFrames made from it cannot be read any more. The folder may be in any
+    store that Spark writes to, so Spark's file system client deletes it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run folder; nothing is ever overwritten."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,23 +61,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# A table below this size may arrive in fewer file blocks than there are cores.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a scan as the optimizer sees it: the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Spread the rows of a small table over all cores before heavy text work.
-
-    ``scan`` is the table that ``df`` comes from; it decides. Large tables
-    have blocks for every core, and their text is not shuffled.
-    """
-    if measured_bytes(scan) >= SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -6,6 +6,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from moodlark.operators import features, metrics
@@ -89,12 +90,19 @@ def test_label_index(spark):
             fitted.transform(spark.createDataFrame([(unknown,)], "target string")).collect()
 
 
+def vector_terms(counted, vocabulary, vector="tf", value="tf"):
+    """The entries of sparse vectors as (id, term, value)."""
+    terms = counted.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place long, term string")
+    entries = counted.select("id", F.posexplode(vector_to_array(vector)).alias("place", value)).where(F.col(value) != 0)
+    return entries.withColumn("place", F.col("place").cast("long")).join(terms, "place").select("id", "term", value)
+
+
 def test_long_form_equals_the_vectors(posts):
     tokenized = features.with_tokens(posts)
     counts = features.term_counts(tokenized, features.TOKENS)
     counter = classifier.count_vectorizer(features.TOKENS).fit(tokenized)
     vectors = counter.transform(tokenized)
-    from_vectors = features.vector_terms(vectors, counter.vocabulary)
+    from_vectors = vector_terms(vectors, counter.vocabulary)
     as_set = lambda df: {tuple(r) for r in df.collect()}
     assert as_set(counts.withColumn("tf", F.col("tf").cast("double"))) == as_set(from_vectors)
 
@@ -102,15 +110,35 @@ def test_long_form_equals_the_vectors(posts):
     expected = {
         term: (df, pytest.approx(idf)) for term, df, idf in zip(counter.vocabulary, fitted.docFreq, fitted.idf, strict=True)
     }
-    weights = features.idf_weights(counts, features.with_text(posts))
+    weights = features.idf_weights(counts, posts)
     assert {r.term: (r.df, r.idf) for r in weights.collect()} == expected
 
 
-def test_capped_vocabulary(posts):
+@pytest.mark.parametrize("size", [0, 3, 9, 1000])
+def test_capped_vocabulary(posts, size):
     corpus = features.corpus_counts(features.with_tokens(posts), features.TOKENS)
-    top = [(r.term, r.n) for r in features.capped_vocabulary(corpus, 3).collect()]
+    top = {(r.term, r.n) for r in features.capped_vocabulary(corpus, size).collect()}
     every = sorted(((r.term, r.n) for r in corpus.collect()), key=lambda p: (-p[1], p[0]))
-    assert top == every[:3]
+    assert top == set(every[:size])
+
+
+def test_training_is_that_of_the_pipeline(posts, training):
+    pipeline = classifier.sentiment_pipeline(features.TOKENS, vocab_size=50, max_iter=20)
+    train_set, _ = classifier.hash_split(features.with_text(posts))
+    plain = pipeline.fit(train_set)
+    assert [type(s).__name__ for s in training.model.stages] == [type(s).__name__ for s in plain.stages]
+    assert set(training.model.stages[3].vocabulary) == set(plain.stages[3].vocabulary)
+    assert training.model.stages[5].labels == plain.stages[5].labels
+    columns = ["id", "label", "prediction"]
+    everything = features.with_text(posts)
+    found = training.model.transform(everything).select(columns).orderBy("id").collect()
+    assert found == plain.transform(everything).select(columns).orderBy("id").collect()
+
+
+def test_training_tells_what_the_vocabulary_cuts(posts):
+    words = {w for p in classifier.hash_split(features.with_text(posts))[0].collect() for w in p.tweet.split()}
+    pipeline = classifier.sentiment_pipeline(features.TOKENS, vocab_size=5, max_iter=2)
+    assert tuple(classifier.train(posts, pipeline).terms.first()) == (5, len(words) - 5)
 
 
 def test_training_learns_and_metrics_equal_the_evaluator(training):
@@ -163,12 +191,12 @@ def test_bad_posts(training, posts_of):
 def test_long_form_scores_equal_the_model(spark, training, posts):
     *_, counter, idf, _, regression = training.model.stages
     scored = training.model.transform(features.with_text(posts))
-    weighted = features.vector_terms(scored, counter.vocabulary, "features", "tfidf")
+    counts = vector_terms(scored, counter.vocabulary)
     matrix = regression.coefficientMatrix.toArray()
-    table = [(term, *map(float, matrix[:, i])) for i, term in enumerate(counter.vocabulary)]
-    schema = "term string, " + ", ".join(f"w_{k} double" for k in range(len(matrix)))
+    table = [(term, float(idf.idf[i]), *map(float, matrix[:, i])) for i, term in enumerate(counter.vocabulary)]
+    schema = "term string, idf double, " + ", ".join(f"w_{k} double" for k in range(len(matrix)))
     weights = spark.createDataFrame(table, schema)
-    scores = classifier.score_long_form(weighted, weights, list(regression.interceptVector.toArray()))
+    scores = classifier.score_long_form(counts, weights, list(regression.interceptVector.toArray()))
     long_form = {r.id: (r.prediction, r.probability) for r in scores.collect()}
     for row in scored.select("id", "prediction", "probability").collect():
         prediction, probability = long_form[row.id]

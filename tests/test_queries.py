@@ -35,8 +35,8 @@ def test_query_equals_its_sql(spark, tables, name):
 
 
 @pytest.fixture
-def as_if_large(spark, monkeypatch):
-    """No join side is small enough to broadcast, no table small enough to spread, skew is split."""
+def as_if_large(spark):
+    """No join side is small enough to broadcast; skew is split."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -49,7 +49,6 @@ def as_if_large(spark, monkeypatch):
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
-    monkeypatch.setattr("moodlark.workspace.SMALL_INPUT_BYTES", 0)
     yield
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)

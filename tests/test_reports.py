@@ -54,28 +54,6 @@ def test_shares(posts, rows):
     assert found == {t: pytest.approx(n / len(rows) * 100) for t, n in expected.items()}
 
 
-def python_lemma(word, known):
-    forms = [word] + [word[: -len(end)] + stem for end, stem in NOUN_ENDINGS if word.endswith(end)]
-    return min([f for f in forms if f in known] or [word], key=len)
-
-
-def python_top_words(rows, n, known=None):
-    lists = {}
-    for _, _, target, tweet in rows:
-        if target.lower() in ("positive", "negative", "neutral"):
-            kept = [
-                w for w in python_word_tokens(tweet)
-                if w.isascii() and w.isalpha() and w not in DASHBOARD_STOP_WORDS
-            ]
-            lists.setdefault(target.lower(), []).extend(kept)
-    if known is None:
-        known = {w for kept in lists.values() for w in kept}
-    found = {}
-    for sentiment, kept in lists.items():
-        found[sentiment] = Counter(python_lemma(w, known) for w in kept).most_common(n)
-    return found
-
-
 def collected(df):
     found = {}
     for row in df.orderBy("sentiment", "rank").collect():
@@ -83,15 +61,32 @@ def collected(df):
     return found
 
 
-@pytest.mark.parametrize("n", [1, 5, 10, 1000])
-def test_top_words_equal_a_plain_count(posts, rows, n):
-    assert collected(top_words(posts, n)) == python_top_words(rows, n)
-
-
-def test_top_words_with_a_vocabulary(spark, posts, rows):
-    known = {"dog", "boxes", "glass", "citi", "wolf"}
-    vocabulary = spark.createDataFrame([(w,) for w in known], "word string")
-    assert collected(top_words(posts, 100, vocabulary=vocabulary)) == python_top_words(rows, 100, known)
+SHORT = [
+    (1, "s", "Positive", "Dogs like boxes, and a dog likes a box."),
+    (2, "s", "POSITIVE", "the box! the wolves"),
+    (3, "s", "Negative", "Cities: two cities, 3 wolves"),
+    (4, "s", "Irrelevant", "dog dog dog dog"),
+    (5, "s", "Neutral", "of the and"),
+    (6, "s", "Positive", "wolf"),
+]
+
+
+def test_top_words_of_a_few_posts(posts_of):
+    """Counted by hand: of equal counts the word that appeared first leads."""
+    found = collected(top_words(posts_of(SHORT), 10))
+    assert found == {
+        "positive": [("box", 3), ("dog", 2), ("like", 2), ("wolf", 2)],
+        "negative": [("cities", 2), ("two", 1), ("wolf", 1)],
+    }
+    assert collected(top_words(posts_of(SHORT), 2)) == {k: v[:2] for k, v in found.items()}
+
+
+def test_top_words_with_a_vocabulary(spark, posts_of):
+    vocabulary = spark.createDataFrame([("boxes",), ("wolf",), ("city",)], "word string")
+    assert collected(top_words(posts_of(SHORT), 10, vocabulary=vocabulary)) == {
+        "positive": [("box", 2), ("wolf", 2), ("dogs", 1), ("like", 1), ("boxes", 1), ("dog", 1), ("likes", 1)],
+        "negative": [("city", 2), ("two", 1), ("wolf", 1)],
+    }
 
 
 def test_first_appearance_is_exact_for_large_ids(posts_of):

@@ -1,12 +1,13 @@
 from datetime import datetime
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from moodlark.schemas import CORRUPT_RECORD, POST
 from moodlark.sources import messages, posts_csv, stores
-from moodlark.workspace import new_path, shared_dir
+from moodlark.workspace import new_path, remove_run_folder, shared_dir, written
 
 
 def csv_file(folder, *lines, name="posts.csv"):
@@ -21,7 +22,7 @@ def rows(df):
 
 def test_training_csv(spark, tmp_path):
     path = csv_file(tmp_path, '1,E,Positive,"he said ""hi"", ok"', '2,E,Neutral,"two', 'lines"', "x,E,T,t", "4,E", "5,E,T,t,extra")
-    assert rows(posts_csv.read_posts(spark, path)) == [
+    assert rows(posts_csv.read_posts(spark, path, line_breaks=True)) == [
         (1, "E", "Positive", 'he said "hi", ok'),
         (2, "E", "Neutral", "two\nlines"),
         (None, "E", "T", "t"),
@@ -38,11 +39,34 @@ def test_training_csv_compat(spark, tmp_path):
     assert found[2] == (None, None, None, None)
 
 
+HEADER = ("id", "e", "s", "t")
+
+
+def test_every_dashboard_file_needs_its_header(spark, tmp_path):
+    csv_file(tmp_path, "Tweet ID,Entity,Sentiment,Tweet content", "1,E,T,a", name="a.csv")
+    assert rows(posts_csv.read_dashboard_posts(spark, str(tmp_path))) == [(1, "E", "T", "a")]
+    csv_file(tmp_path, "2,b,Positive,y", "3,b,Positive,z", name="b.csv")
+    with pytest.raises((PySparkException, Py4JJavaError), match="header"):
+        posts_csv.read_dashboard_posts(spark, str(tmp_path)).collect()
+
+
+def test_posts_split_at_lines_by_default(spark, tmp_path):
+    path = csv_file(tmp_path, *[f'{i},E,T,"a ""{i}"", b"' for i in range(500)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = posts_csv.read_posts(spark, path)
+        assert found.rdd.getNumPartitions() > 3
+        assert sorted(rows(found)) == [(i, "E", "T", f'a "{i}", b') for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_dashboard_csv(spark, tmp_path):
     path = csv_file(tmp_path, "id,e,s,t", '1,E,Positive,"he said ""hi"", ok"', '2,E,Neutral,"two', 'lines"', "3,,Neutral,")
     expected = [(1, "E", "Positive", 'he said "hi", ok'), (2, "E", "Neutral", "two\nlines"), (3, "", "Neutral", "")]
-    assert rows(posts_csv.read_dashboard_posts(spark, path)) == expected
-    good, bad = posts_csv.quarantine_dashboard_posts(spark, path)
+    options = {"header": HEADER, "line_breaks": True}
+    assert rows(posts_csv.read_dashboard_posts(spark, path, **options)) == expected
+    good, bad = posts_csv.quarantine_dashboard_posts(spark, path, **options)
     assert rows(good) == expected
     assert bad.count() == 0
 
@@ -50,12 +74,12 @@ def test_dashboard_csv(spark, tmp_path):
 @pytest.mark.parametrize("line", ["1,E,T", "1,E,T,t,extra", "x,E,T,t", ",E,T,t"])
 def test_malformed_dashboard_row(spark, tmp_path, line):
     path = csv_file(tmp_path, "id,e,s,t", "7,E,T,t", line)
-    strict = posts_csv.read_dashboard_posts(spark, path)
+    strict = posts_csv.read_dashboard_posts(spark, path, header=HEADER)
     # Also when a query asks for none of the columns that are wrong.
     for query in (strict, strict.select("target"), strict.groupBy().count()):
         with pytest.raises(PySparkException, match="malformed post row"):
             query.collect()
-    good, bad = posts_csv.quarantine_dashboard_posts(spark, path)
+    good, bad = posts_csv.quarantine_dashboard_posts(spark, path, header=HEADER)
     assert rows(good) == [(7, "E", "T", "t")]
     assert good.count() == 1
     assert bad.count() == 1
@@ -91,7 +115,7 @@ def test_written_csv_reads_back_whole(spark, posts_of):
     posts = posts_of([(1, " s ", "T", ' a "q", \\ b\n\nc\r\n '), (2, "s", "T", 'ends with "'), (3, "s", "T", ",")])
     path = new_path(spark, "csv")
     posts_csv.write_posts(posts, path)
-    assert sorted(rows(posts_csv.read_posts(spark, path))) == sorted(rows(posts))
+    assert sorted(rows(posts_csv.read_posts(spark, path, line_breaks=True))) == sorted(rows(posts))
 
 
 def test_parse_messages(spark):
@@ -143,5 +167,13 @@ def test_metrics_table(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert new_path(spark, "x").startswith(shared_dir(spark) + "/x-")
+    assert new_path(spark, "x").startswith(shared_dir(spark) + "/moodlark-")
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_run_folder_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("moodlark.workspace.run_folder", lambda _: f"{tmp_path}/run")
+    assert written(spark.range(3), "t").count() == 3
+    assert (tmp_path / "run").exists()
+    remove_run_folder(spark)
+    assert not (tmp_path / "run").exists()
