@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moodlark.llm.tokens import as_bytes, ids_of
+from moodlark.llm.tokens import as_bytes, ids_batch
 from moodlark.workspace import written
 
 MAGIC, VERSION = b"PACK", 1
@@ -47,22 +47,27 @@ def _width(vocabulary: int) -> int:
 def encoded(docs: DataFrame, path: str, end: int, width: int, text: str, id: str) -> DataFrame:
     """``doc_id, ids``: each text's ids and the end id, as little-endian numbers of ``width`` bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    last = end.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.append(ids_of(t, path), end).astype(f"<u{width}").tobytes() for t in as_bytes(batch.column(1))]
+            ids = [raw + last for raw in ids_batch(as_bytes(batch.column(1)), path, width)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def trained_dictionary(ids: DataFrame, width: int) -> bytes:
-    """A dictionary from the starts of the sample whose hashes are lowest; empty if that is too small.
+    """A dictionary trained on the starts of a sample of id arrays; empty if that is too small.
 
-    The sample bounds what the driver sees: ``SAMPLE_DOCUMENTS * SAMPLE_IDS`` ids.
+    The sample is about ``SAMPLE_DOCUMENTS`` rows, those whose hashes are lowest,
+    copies counted once: what the driver sees is bounded by that number.
     """
-    part = F.substring("ids", 1, SAMPLE_IDS * width).alias("ids")
-    sample = [bytes(r["ids"]) for r in ids.orderBy(F.xxhash64("ids"), "doc_id").limit(SAMPLE_DOCUMENTS).select(part).collect()]
+    hash_, rows = F.xxhash64("ids"), ids.count()
+    share = min(1.0, SAMPLE_DOCUMENTS / max(rows, 1))
+    below = hash_ <= F.lit(int((share * 2 - 1) * (1 << 63)) - (share == 1.0))
+    starts = ids.where(below).groupBy(hash_.alias("hash")).agg(F.min(F.substring("ids", 1, SAMPLE_IDS * width)).alias("ids"))
+    sample = [bytes(r["ids"]) for r in starts.orderBy("hash").collect()]
     total = sum(map(len, sample))
     if len(sample) < 16 or total < 8 << 10:
         return b""

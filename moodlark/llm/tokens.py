@@ -8,8 +8,10 @@ bounded memory.
 """
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Chunks that one worker remembers, at most twice.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 # Bytes of text that are encoded together, and after which a long text is cut.
 BATCH_BYTES = 1 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -34,29 +36,61 @@ def tokenizer(path: str):
     return found
 
 
+# Words that are encoded as one text, since a call costs more than a word.
+_TOGETHER = 64
+# Marks after a letter or digit. The tokenizer begins a new piece there, so white
+# space in between changes nothing, and "word" and "word," are one chunk to remember.
+_MARKS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#*$%&]+")
+
+
+def chunks_of(text: bytes) -> list[bytes]:
+    """Chunks of ``text`` that are encoded apart, fewer different ones than its own.
+
+    Letters A-Z are made small, as the tokenizer does, unless the text may hold
+    a special token, which is told by its case.
+    """
+    if b"<|" in text:
+        return text.split()
+    return _MARKS.sub(rb" \g<0>", text.lower()).split()
+
+
 class Remembered:
-    """What ``of`` gives for each chunk, remembered in two generations."""
+    """What ``of`` gives for the array of ids of each chunk, remembered in two generations."""
 
     def __init__(self, path: str, of) -> None:
-        self.encode, self.of = tokenizer(path).encode_batch_fast, of
+        self.library, self.of = tokenizer(path), of
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.uint32) for x in coded]
+
+    def _words(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Ids of words of letters: each ends with its only token that closes a word."""
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                yield from np.split(ids, ends[:-1])
+            else:
+                yield from self._encoded(group)
+
     def look_up(self, chunks: list[bytes]) -> list:
-        """The value of each chunk; new chunks are encoded in one call."""
+        """The value of each chunk. New ones are encoded once, many in one call."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = []
-        for chunk in set(chunks).difference(young):
-            value = old.get(chunk)
-            if value is None:
-                new.append(chunk)
-            else:
-                young[chunk] = value
-        if new:
-            coded = self.encode([chunk.decode() for chunk in new], add_special_tokens=False)
-            young.update(zip(new, (self.of(x.ids) for x in coded), strict=True))
+        if new := set(chunks).difference(young):
+            young.update((c, old[c]) for c in new if c in old)
+            texts = {c: c.decode() for c in new.difference(young)}
+            words = [c for c, text in texts.items() if text.isalpha()]
+            young.update(zip(words, map(self.of, self._words([texts[c] for c in words])), strict=True))
+            rest = [c for c, text in texts.items() if not text.isalpha()]
+            young.update(zip(rest, map(self.of, self._encoded([texts[c] for c in rest])), strict=True))
         return list(map(young.__getitem__, chunks))
 
 
@@ -96,26 +130,33 @@ def _lengths(path: str) -> Remembered:
 
 
 @lru_cache(maxsize=4)
-def _ids(path: str) -> Remembered:
-    return Remembered(path, lambda ids: np.array(ids, dtype=np.uint32))
+def _ids(path: str, width: int) -> Remembered:
+    return Remembered(path, lambda ids: ids.astype(f"<u{width}").tobytes())
 
 
-def count_batch(texts: list[bytes], path: str) -> list[int]:
-    """Tokens of each text."""
-    lengths, counts = _lengths(path), [0] * len(texts)
+def _parts(texts: Iterable[bytes], remembered: Remembered) -> Iterator[tuple[int, list]]:
+    """(number of the text, values of its next chunks), batch by batch."""
     for batch in balanced(texts):
-        chunks = [piece.split() for _, piece in batch]
-        values = iter(lengths.look_up([c for part in chunks for c in part]))
+        chunks = [chunks_of(piece) for _, piece in batch]
+        values = iter(remembered.look_up([c for part in chunks for c in part]))
         for (number, _), part in zip(batch, chunks, strict=True):
-            counts[number] += sum(next(values) for _ in part)
+            yield number, list(islice(values, len(part)))
+
+
+def count_batch(texts: list[bytes], path: str) -> list[int]:
+    """Tokens of each text."""
+    counts = [0] * len(texts)
+    for number, values in _parts(texts, _lengths(path)):
+        counts[number] += sum(values)
     return counts
 
 
-def ids_of(text: bytes, path: str) -> np.ndarray:
-    """Token ids of one text."""
-    remembered = _ids(path)
-    parts = [p for piece in pieces(text) for p in remembered.look_up(piece.split())]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+def ids_batch(texts: list[bytes], path: str, width: int = 4) -> list[bytes]:
+    """Token ids of each text, as little-endian numbers of ``width`` bytes."""
+    parts: list[list[bytes]] = [[] for _ in texts]
+    for number, values in _parts(texts, _ids(path, width)):
+        parts[number].append(b"".join(values))
+    return [b"".join(p) for p in parts]
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

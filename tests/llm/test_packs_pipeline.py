@@ -1,0 +1,125 @@
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from moodlark.llm import packs
+from moodlark.llm.registry import ORACLES, QUERIES, ship
+from moodlark.llm.simhash import near_duplicates
+from moodlark.llm.tokens import ids_batch
+from moodlark.workspace import new_path
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def spark(spark):
+    ship(spark)
+    return spark
+
+
+def expected(rows):
+    """(doc_id, start, n_tokens, crc) in order, null ids first; equal ids in any order."""
+    coded = [(i, np.append(np.frombuffer(ids_batch([(t or "").encode()], PATH)[0], "<u4"), 2).astype("<u4")) for i, t in rows]
+    return [(i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0))]
+
+
+def test_files_read_back(spark, monkeypatch):
+    monkeypatch.setattr(packs, "PACK_BYTES", 2000)
+    rows = [(i * 37 % 211, "the quick " * (i % 9) + f"doc {i} é!") for i in range(211)]
+    rows += [(None, "no id"), (None, None), (500, ""), (501, "word " * 20_000), (3, "other text, same id"), (500, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("ids", F.lit("clash")).repartition(5)
+    folder = new_path(spark, "packs")
+    packs.write_token_files(docs, folder, PATH, 2)
+    found = packs.read_token_files(spark, folder).orderBy("start").collect()
+    want = expected(rows)
+    assert [r["doc_id"] for r in found] == [i for i, _, _ in want]
+    assert sorted(str((r["doc_id"], r["n_tokens"], r["ids_crc32"])) for r in found) == sorted(map(str, want))
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    some = packs.read_token_files(spark, folder, wanted=[3, 501, 10_000]).collect()
+    assert sorted(r["doc_id"] for r in some) == [3, 3, 501]
+    assert {r["start"] for r in some} <= {r["start"] for r in found}
+
+
+def test_empty_table(spark):
+    folder = new_path(spark, "packs")
+    packs.write_token_files(spark.createDataFrame([], DOCS), folder, PATH, 2)
+    assert packs.read_token_files(spark, folder).count() == 0
+
+
+def test_pack_layout_and_dictionary():
+    ids = [np.arange(n, dtype="<u2") for n in (1, 5, 300)]
+    dictionary = packs.zstandard.train_dictionary(4096, [np.arange(i, i + 200, dtype="<u2").tobytes() for i in range(400)]).as_bytes()
+    rows = [(i, len(x), packs._compressor(dictionary).compress(x.tobytes())) for i, x in zip((-5, None, 7), ids, strict=True)]
+    data = packs.pack(rows, 1000, 2, dictionary)
+    read = packs.Pack(data, dictionary)
+    assert [read.doc_id(i) for i in range(3)] == [-5, None, 7]
+    assert [read.start(i) for i in range(3)] == [1000, 1001, 1006]
+    assert all((read.ids(i) == x).all() for i, x in enumerate(ids))
+    with pytest.raises(ValueError, match="another dictionary"):
+        packs.Pack(data, b"")
+    with pytest.raises(ValueError, match="not a pack"):
+        packs.Pack(b"XXXX" + data[4:], dictionary)
+
+
+def test_wide_ids():
+    data = packs.pack([(1, 2, packs._compressor(b"").compress(np.array([7, 1 << 20], "<u4").tobytes()))], 0, packs._width(1 << 21), b"")
+    assert packs.Pack(data, b"").ids(0).tolist() == [7, 1 << 20]
+
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows_of(frame):
+    return sorted(str(sorted(r.asDict().items())) for r in frame.collect())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_over_whole_table(spark, name):
+    found = QUERIES[name](spark, SF_DIR)
+    if name in ORACLES:
+        tables = duckdb.connect()
+        tables.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF_DIR}/conversations.parquet'")
+        wanted = tables.execute(ORACLES[name])
+        names = [c[0] for c in wanted.description]
+        assert sorted(found.columns) == sorted(names)
+        assert rows_of(found) == sorted(str(sorted(zip(names, r, strict=True))) for r in wanted.fetchall())
+        return
+    of = "pages" if name[:4] in ("op6_", "op8_") else "documents"
+    n = spark.read.parquet(f"{SF_DIR}/{of}.parquet").count()
+    assert found.count() == n if name not in ("op7_benchmark_leaks", "pipeline") else 0 < found.count() < n
+
+
+def test_stages_one_by_one(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.withColumns({"n_words": F.lit("mine"), "kept": F.lit("mine"), "whole": F.lit("mine"), "row": F.lit("mine"), "copies": F.lit("mine")})
+    nulls = spark.createDataFrame([(None, None, None, None, None)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.unionByName(nulls, allowMissingColumns=True)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, SF_DIR)
+        assert after.columns == docs.columns, name
+        if name != "mixing sources to target weights":
+            assert after.exceptAll(before).count() == 0, name
+            assert 0 < after.count() < before.count()
+        if name == "SimHash near-dedup":
+            left = near_duplicates(after).collect()
+            assert len({r["component"] for r in left}) == len(left)
+        before = after
+    tokens = corpus_pipeline.STAGES[-1][1](spark, before, SF_DIR)
+    assert tokens.count() == before.count()
+    assert tokens.agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first()[0] == tokens.agg(F.sum("n_tokens")).first()[0]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=lambda s: s.__name__)
+def test_stages_of_nothing(spark, stage):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
+    assert stage(spark, docs, SF_DIR).count() == 0
