@@ -14,6 +14,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +43,37 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/moodlark-{spark.sparkContext.applicationId}"
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in any store that Spark writes to; Spark's file system client does it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_run_folder(spark: SparkSession) -> None:
-    """Delete what this application has written for itself.
+    """Delete what this application has written for itself; DataFrames made from it cannot be read any more."""
+    _removed(spark, run_folder(spark))
 
-    DataFrames made from it cannot be read any more. The folder may be in any
-    store that Spark writes to, so Spark's file system client deletes it.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+_groups: list[str] = []
+
+
+@contextmanager
+def group(name: str) -> Iterator[str]:
+    """What is written inside goes to a folder of its own, whose name ``remove_group`` takes."""
+    _groups.append(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield "/".join(_groups)
+    finally:
+        _groups.pop()
+
+
+def remove_group(spark: SparkSession, name: str) -> None:
+    _removed(spark, f"{run_folder(spark)}/{name}")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the run folder; nothing is ever overwritten."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([run_folder(spark), *_groups, f"{name}-{uuid.uuid4().hex}"])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodlark.schemas import CORRUPT_RECORD, POST
 from moodlark.sources import messages, posts_csv, stores
-from moodlark.workspace import new_path, remove_run_folder, shared_dir, written
+from moodlark.workspace import group, new_path, remove_group, remove_run_folder, shared_dir, written
 
 
 def csv_file(folder, *lines, name="posts.csv"):
@@ -177,3 +177,14 @@ def test_run_folder_is_removed(spark, tmp_path, monkeypatch):
     assert (tmp_path / "run").exists()
     remove_run_folder(spark)
     assert not (tmp_path / "run").exists()
+
+
+def test_groups_of_tables_are_removed(spark):
+    with group("stage") as name:
+        inside = written(spark.range(3), "t")
+    outside = written(spark.range(4), "t")
+    assert inside.count() == 3
+    remove_group(spark, name)
+    assert outside.count() == 4
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        inside.count()
