@@ -11,7 +11,7 @@ from moodlark.llm import packs
 from moodlark.llm.registry import ORACLES, QUERIES, ship
 from moodlark.llm.simhash import near_duplicates
 from moodlark.llm.tokens import ids_batch
-from moodlark.workspace import new_path
+from moodlark.workspace import new_path, written
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -105,7 +105,7 @@ def test_stages_one_by_one(spark):
     docs = docs.unionByName(nulls, allowMissingColumns=True)
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF_DIR)
+        after = written(stage(spark, before, SF_DIR), "stage-rows")
         assert after.columns == docs.columns, name
         if name != "mixing sources to target weights":
             assert after.exceptAll(before).count() == 0, name
