@@ -215,10 +215,9 @@ def mix(
     )
     # Sums of doubles depend on the order of tasks in their last places; rates do not.
     rate = F.round(rate, 9)
-    joined = narrow.join(
-        targets.join(solved.select("rank", "multiplier", "mean"), "rank", "left").withColumnRenamed("source", "_name"),
-        F.col("_source").eqNullSafe(F.col("_name")),
-    )
+    # Stored, so that its size is known before documents would be dealt out by source.
+    solution = targets.join(solved.select("rank", "multiplier", "mean"), "rank", "left").withColumnRenamed("source", "_name")
+    joined = narrow.join(written(solution, "mix-solution"), F.col("_source").eqNullSafe(F.col("_name")))
     low = F.floor("rate")
     chance = F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) / float(1 << 32)
     # From 0 (rounded up first) to 1; the hash breaks ties among equal scores.
@@ -232,7 +231,7 @@ def mix(
     up = F.coalesce(F.col("rounds") & (F.col("score") < F.col("threshold")), F.lit(False))
     rounded = rated.join(thresholds, "rank", "left").withColumn("up", up).drop("threshold")
     turned = F.coalesce(F.col("_row") == F.col("flip"), F.lit(False))
-    finished = rounded.join(_flips(rounded), "rank", "left").withColumn("up", F.col("up") != turned)
+    finished = rounded.join(written(_flips(rounded), "mix-flips"), "rank", "left").withColumn("up", F.col("up") != turned)
     copies = (F.col("low_copies") + F.col("up").cast("long")).cast("int")
     if copied:
         times = finished.select("_row", copies.alias("copies")).where("copies > 0")
