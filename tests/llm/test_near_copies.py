@@ -1,0 +1,90 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from moodlark.llm import near_copies
+from moodlark.llm.registry import ship
+
+DOCS = "doc_id long, text string"
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def spark(spark):
+    ship(spark)
+    return spark
+
+
+def plain_set(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
+
+
+def smallest_of_classes(rows):
+    """By all pairs: the smallest id of each class."""
+    sets = [plain_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (id_, _) in enumerate(rows):
+        least[find(i)] = min(id_, least.get(find(i), id_))
+    return sorted(least.values())
+
+
+def test_recall_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = corpus_pipeline.unique(spark, docs, SF_DIR)
+    assert sorted(r["doc_id"] for r in found.select("doc_id").collect()) == smallest_of_classes(rows)
+
+
+def test_chains_families_and_short_texts(spark):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for _ in range(6):
+        parts = draw.choices(words, k=150)
+        # A chain, whose ends are no near copies, and a family whose members are near its first only.
+        for _ in range(12):
+            rows.append(" ".join(parts))
+            for _ in range(3):
+                parts[draw.randrange(150)] = draw.choice(words)
+    rows += [None, "", " \n", "one two", "ONE  two", "one two three four five six", "word " * 30_000]
+    rows = list(enumerate(rows))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows + rows[:3], DOCS).withColumns({"row": F.lit("a"), "same": F.lit("b"), "whole": F.lit("c")})
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == smallest_of_classes(rows)
+
+
+def test_pairs_at_the_bound_meet_and_pass():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        hashes = draw.integers(0, 1 << 63, 450, dtype=np.uint64) * np.uint64(2)
+        one, other = np.sort(hashes[:405]), np.sort(hashes[45:])
+        assert (near_copies.keys_of(one) == near_copies.keys_of(other)).any()
+        prints = np.array([near_copies.print_of(other)], dtype=np.uint64)
+        assert near_copies.may_be_near(np.array([405]), prints, 405, np.uint64(near_copies.print_of(one))).all()
+
+
+def test_groups_go_on_in_the_next_batch():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(k), pa.array(v)], names=["k", "v"]) for k, v in (([1, 2, 2], [0, 1, 2]), ([2], [3]), ([], []), ([2, 3, 4, 4], [4, 5, 6, 7]), ([5], [8]))]
+    batches[2] = batches[0].slice(0, 0)
+    assert [g[1].tolist() for g in near_copies._groups(iter(batches))] == [[1, 2, 3, 4], [6, 7]]
