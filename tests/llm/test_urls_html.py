@@ -137,3 +137,21 @@ def test_pages_keep_columns_and_repeats(spark):
     assert found.columns == ["page_id", "url", "content", "row", "text", "n_chars"]
     assert found.count() == 2 and found.first()["row"] == "r"
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_copies_and_quoted_passages_stay(spark):
+    quote = "it was the best of times and it was the worst of times they say"
+    legal = "all rights reserved by the owner of this site whatever it may be"
+    own = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(6)]
+    bodies = [f"<p>{text} {quote if i < 2 else ''} end{i}</p><div>{legal} page {i}</div>" for i, text in enumerate(own)]
+    rows = [(i, f"http://a.org/{i}", b) for i, b in enumerate(bodies)]
+    # Copies, under one url and two; and a host of two pages that quote the same.
+    rows += [(10 + i, f"http://a.org/{i % 2}", bodies[0]) for i in range(4)]
+    rows += [(20 + i, f"http://b.org/{i}", bodies[0]) for i in range(3)]
+    rows += [(30 + i, "http://c.org/", f"<p>{own[i]} {quote} end{i}</p>") for i in range(2)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(6):
+        assert found[i] == " ".join(f"{own[i]} {quote if i < 2 else ''} end{i}".split()) + " " + f"{i}", i
+    assert {found[10 + i] for i in range(4)} == {found[0]}
+    assert {found[20 + i] for i in range(3)} == {f"{own[0]} {quote} end0 {legal} page 0"}
+    assert [found[30 + i] for i in range(2)] == [f"{own[i]} {quote} end{i}" for i in range(2)]
