@@ -155,3 +155,11 @@ def test_copies_and_quoted_passages_stay(spark):
     assert {found[10 + i] for i in range(4)} == {found[0]}
     assert {found[20 + i] for i in range(3)} == {f"{own[0]} {quote} end0 {legal} page 0"}
     assert [found[30 + i] for i in range(2)] == [f"{own[i]} {quote} end{i}" for i in range(2)]
+
+
+def test_a_body_beside_a_teaser_article_stays(spark):
+    legal = "all rights reserved by the owner of this site whatever it may be"
+    body = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3)]
+    rows = [(i, f"http://a.org/{i}", f"<article>teaser {i}</article><div>{b}</div><div>{legal}</div><main>last</main>menu") for i, b in enumerate(body)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {i: f"teaser {i} {b} last" for i, b in enumerate(body)}
