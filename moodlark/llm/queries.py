@@ -1,5 +1,7 @@
 """One query per operator, over the whole of its table."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from moodlark.llm.chat import format_chats, read_chats
 from moodlark.llm.decontaminate import leaks
 from moodlark.llm.html_text import main_text
+from moodlark.llm.manifest import COLUMNS, digest, folded, manifest, proof_digest
 from moodlark.llm.mixing import mix
 from moodlark.llm.packs import read_token_files, write_token_files
 from moodlark.llm.quality import judge_quality
@@ -134,3 +137,17 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
     return read_token_files(spark, folder)
+
+
+@query("op13_manifest")
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    small = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = digest([small if name == "text" else F.col(name) for name in COLUMNS])
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = manifest(docs, other=F.when(hit, tampered)).proofs()
+    again = folded(F.coalesce("other", "leaf"), F.col("path"))
+    rows = found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), again.alias("folded_root")
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
