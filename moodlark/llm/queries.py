@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodlark.llm import minhash
 from moodlark.llm.chat import format_chats, read_chats
 from moodlark.llm.decontaminate import leaks
 from moodlark.llm.hard_negatives import hard_negatives, quantized, usable
@@ -170,6 +171,12 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+@query("op12_minhash_near_duplicates")
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 @query("op13_manifest")
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)

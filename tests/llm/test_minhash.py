@@ -1,0 +1,160 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from moodlark.llm import minhash
+from moodlark.llm import queries  # noqa: F401
+from moodlark.llm.registry import QUERIES, ship
+
+DOCS = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def spark(spark):
+    ship(spark)
+    return spark
+
+
+def plain_set(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))) if words else frozenset()
+
+
+def expected(rows, percent=85):
+    """By all pairs: (doc_id, set size, smallest id reachable, kept)."""
+    sets = [plain_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or find(i) == find(j):
+                continue
+            if 100 * len(a & b) >= percent * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (id_, _) in enumerate(rows):
+        known = [x for x in (id_, least.get(find(i))) if x is not None]
+        least[find(i)] = min(known, default=None)
+    return sorted(((id_, len(s), c, id_ == c) for (id_, _), s, c in zip(rows, sets, (least[find(i)] for i in range(len(rows))), strict=True)), key=str)
+
+
+def found(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def test_query_against_all_pairs_over_the_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op12_minhash_near_duplicates"](spark, folder)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert found(got) == expected(rows)
+
+
+def family(draw, words, copies, size, edits):
+    parts = draw.choices(words, k=size)
+    for _ in range(copies):
+        mine = list(parts)
+        for _ in range(draw.randrange(edits + 1)):
+            mine[draw.randrange(size)] = draw.choice(words)
+        yield " ".join(mine)
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK_BYTES, 20_000])
+def test_families_chains_nulls_and_repeats(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(4):
+        parts = draw.choices(words, k=150)
+        # A chain, whose ends are no near copies.
+        for _ in range(12):
+            texts.append(" ".join(parts))
+            for _ in range(2):
+                parts[draw.randrange(150)] = draw.choice(words)
+    # Families around the bound: many pairs meet and are not alike.
+    for edits in (2, 5, 8):
+        texts += list(family(draw, words, 40, 120, edits))
+    texts += [None, "", " \n\t", "one two", "ONE\x0bTwo", "one two three", "a b c d e", "a b c d e f", "é É", "é É", "a b c"]
+    texts += ["long " * 30_000, " ".join(words * 9), " ".join(words * 9) + " end"]
+    rows = list(enumerate(texts))
+    draw.shuffle(rows)
+    rows += rows[:5] + [(None, texts[0]), (None, "nobody else has this"), (None, "nobody else has this")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    assert found(minhash.near_duplicates(docs, percent=85)) == expected(rows)
+
+
+def test_other_parameters_and_clashing_columns(spark):
+    draw = random.Random(8)
+    rows = list(enumerate(family(draw, [f"w{i}" for i in range(500)], 60, 40, 3)))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("mine") for c in ("n", "keys", "node", "high", "low", "label", "component", "kept", "text_hash")})
+    got = minhash.near_duplicates(docs.withColumnRenamed("doc_id", "key"), id="key")
+    assert got.columns == ["key", "n_shingles", "component", "kept"]
+    assert found(got) == expected(rows, 80)
+
+
+def test_nothing(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    assert found(minhash.near_duplicates(spark.createDataFrame([(1, None), (2, "")], DOCS))) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def plain_signature(elements, size):
+    """Element by element, with whole permutations and no early stop."""
+    out = [minhash._EMPTY] * size
+    for e in elements:
+        places = list(range(size))
+        for step in range(size):
+            drawn = int(minhash._mixed(np.array([e], dtype=np.uint64) + np.uint64((step + 1) * int(minhash._GOLDEN) % 2**64))[0])
+            k = step + ((drawn & 0xFFFFFFFF) * (size - step) >> 32)
+            places[step], places[k] = places[k], places[step]
+            out[places[step]] = min(out[places[step]], step << 32 | drawn >> 32)
+    return out
+
+
+def test_signatures_equal_the_plain_algorithm(monkeypatch):
+    monkeypatch.setattr(minhash, "_TOGETHER", 50)
+    draw = np.random.default_rng(1)
+    sets = [draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 2, 7, 40, 130, 0, 3)]
+    got = minhash.signatures(sets, 24)
+    assert [list(map(int, row)) for row in got] == [list(map(int, plain_signature(s, 24))) for s in sets]
+
+
+def test_signatures_estimate_similarity_with_less_variance():
+    draw = np.random.default_rng(2)
+    errors = {12: [], 400: []}
+    for n, found in errors.items():
+        for _ in range(200):
+            both = draw.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            one, other = minhash.signatures([both[:n], both[n // 4 :]], 64)
+            found.append((one == other).mean() - 0.6)
+    plain = 0.6 * 0.4 / 64
+    assert abs(np.mean(errors[400])) < 0.02 and abs(np.mean(errors[12])) < 0.02
+    assert np.var(errors[12]) < 0.7 * plain and np.var(errors[400]) < 1.3 * plain
+
+
+@pytest.mark.parametrize(("common", "extra"), [(6, 1), (17, 3), (85, 15), (340, 60)])
+def test_pairs_at_the_bound_meet(common, extra):
+    draw = np.random.default_rng(common)
+    for _ in range(300):
+        x = draw.integers(0, 1 << 63, common + extra, dtype=np.uint64)
+        keys = minhash.band_keys(minhash.signatures([x, x[extra:]], minhash.BANDS * minhash.BAND_ROWS), minhash.BANDS, minhash.BAND_ROWS)
+        assert (keys[0] == keys[1]).any()
+
+
+def test_blocks_compare_under_the_first_common_band():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(5, 100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64)]
+    keys = np.array([[1, 9], [1, 9], [2, 9]])
+    labels, one = np.arange(3), np.zeros(3, dtype=int)
+    assert minhash.links_within(sets, keys, 0, labels, one, 85) == [(0, 2), (0, 1)]
+    assert minhash.links_within(sets, keys, 1, labels, one, 85) == [(0, 2), (2, 1)]
+    assert minhash.links_within(sets, keys, 0, np.zeros(3), one, 85) == []
+    assert minhash.links_within(sets, keys, 0, labels, np.array([1, 1, 2]), 85) == [(0, 2), (2, 1)]
