@@ -2,43 +2,68 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from moodlark.schemas import CORRUPT_RECORD, DASHBOARD_NAMES, POST
+from moodlark.sources.quoted_csv import records
 from moodlark.workspace import written
 
 TEXT_COLUMNS = ("source", "target", "tweet")
 
 
+# How fields are written: quotes are doubled inside quoted fields, which keep their line breaks.
+_FIELDS = {"escape": '"', "multiLine": "true"}
+
+
+def _parsed(fields: list[StructField]) -> Column:
+    """The fields of the record in column ``value``."""
+    names = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in fields)
+    return F.from_csv("value", names, {**_FIELDS, "columnNameOfCorruptRecord": CORRUPT_RECORD})
+
+
 def read_posts(
     spark: SparkSession, path: str | list[str], schema: StructType = POST, compat: bool = False, line_breaks: bool = False
 ) -> DataFrame:
     """Headerless post CSV. Bad ids become null, missing columns null, extra ones go.
 
-    Quotes are doubled inside quoted fields. Files are split, so a line is a
-    row; say ``line_breaks`` if quoted fields hold line breaks, and keep such
-    an input in many files, since each is then read by one task. ``compat``
-    keeps Spark's own CSV defaults, in which a backslash escapes quotes.
+    Quotes are doubled inside quoted fields. A line is a row; say
+    ``line_breaks`` if quoted fields hold line breaks. Files are read in splits
+    in both cases, but twice in the latter. ``compat`` keeps Spark's own CSV
+    defaults, in which a backslash escapes quotes.
     """
+    if line_breaks:
+        return records(spark, path).select(_parsed(schema.fields).alias("post")).select("post.*")
     reader = spark.read.schema(schema).option("header", False)
-    if not compat:
-        reader = reader.option("multiLine", line_breaks).option("escape", '"')
-    return reader.csv(path)
+    return (reader if compat else reader.option("escape", '"')).csv(path)
+
+
+def _below_headers(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Records without the first one of each file, which must be the header."""
+    header = _parsed([*[StructField(f"h{i}", StringType()) for i in range(len(names))], StructField(CORRUPT_RECORD, StringType())])
+    same = header[CORRUPT_RECORD].isNull()
+    for i, name in enumerate(names):
+        same = same & header[f"h{i}"].eqNullSafe(F.lit(name))
+    wrong = F.raise_error(F.concat(F.lit("a post file has another header: "), "value")).cast("boolean")
+    first = (F.col("start") == 0) & (F.col("row") == 0)
+    return found.where(F.when(first, F.when(same, False).otherwise(wrong)).otherwise(True))
 
 
 def _dashboard_rows(
     spark: SparkSession, path: str | list[str], schema: StructType, header: Sequence[str], line_breaks: bool
 ) -> DataFrame:
     """The rows below the header, which every file must have: a file without one fails the job."""
+    if line_breaks:
+        below = _below_headers(records(spark, path), header)
+        parsed = _parsed([*schema.fields, StructField(CORRUPT_RECORD, StringType())])
+        return below.select(parsed.alias("post")).select("post.*")
     named = [StructField(name, field.dataType) for name, field in zip(header, schema.fields, strict=True)]
     rows = (
         spark.read.schema(StructType([*named, StructField(CORRUPT_RECORD, StringType())]))
         .option("header", True)
         .option("enforceSchema", False)
         .option("columnPruning", False)
-        .option("multiLine", line_breaks)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", CORRUPT_RECORD)
         .csv(path)
@@ -88,24 +113,13 @@ def quarantine_dashboard_posts(
     return _as_posts(rows.where(~_is_malformed())), rows.where(_is_malformed())
 
 
-def with_position(scan: DataFrame) -> DataFrame:
-    """Number the rows of a file scan from 0, in file order, without gaps.
+def _numbered(tagged: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number rows by ``_file, _start, _row``, from 0 and without gaps.
 
-    The rows are written once with the file block they came from and their
-    order in it, so that both steps below see the same rows even if executors
-    come and go. One row per block (a summary of about 128 MB of input) is
-    summed up to the block's offset; Catalyst broadcasts the offsets if their
-    stored size allows it and shuffles otherwise.
+    One row per block (a summary of about 128 MB of input) is summed up to the
+    block's offset; Catalyst broadcasts the offsets if their stored size allows
+    it and shuffles otherwise.
     """
-    tagged = written(
-        scan.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_row"),
-        ),
-        "positioned-rows",
-    )
     block = ["_file", "_start"]
     blocks = written(
         tagged.groupBy(block).agg(F.count("*").alias("_size"), F.min("_row").alias("_first")), "block-sizes"
@@ -113,14 +127,34 @@ def with_position(scan: DataFrame) -> DataFrame:
     before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     position = F.col("_before") + F.col("_row") - F.col("_first")
-    return tagged.join(offsets, block).select(position.alias("idx"), *scan.columns)
+    return tagged.join(offsets, block).select(position.alias("idx"), *columns)
+
+
+def with_position(scan: DataFrame) -> DataFrame:
+    """Number the rows of a file scan from 0, in file order, without gaps.
+
+    The rows are written once with the file block they came from and their
+    order in it, so that both steps see the same rows even if executors come
+    and go.
+    """
+    tagged = scan.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return _numbered(written(tagged, "positioned-rows"), scan.columns)
 
 
 def read_replay_pool(
     spark: SparkSession, path: str | list[str], schema: StructType = POST, line_breaks: bool = False
 ) -> DataFrame:
     """Headerless post CSV with the position of each row in column ``idx``."""
-    return with_position(read_posts(spark, path, schema, line_breaks=line_breaks))
+    if not line_breaks:
+        return with_position(read_posts(spark, path, schema))
+    tags = [F.col("file_path").alias("_file"), F.col("start").alias("_start"), F.col("row").alias("_row")]
+    tagged = records(spark, path).select(*tags, _parsed(schema.fields).alias("post")).select("_file", "_start", "_row", "post.*")
+    return _numbered(written(tagged, "positioned-rows"), schema.names)
 
 
 def write_posts(posts: DataFrame, path: str, header: bool = False) -> None:

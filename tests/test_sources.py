@@ -1,12 +1,15 @@
+import csv
+import random
 from datetime import datetime
 
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from moodlark.schemas import CORRUPT_RECORD, POST
-from moodlark.sources import messages, posts_csv, stores
+from moodlark.sources import messages, posts_csv, quoted_csv, stores
 from moodlark.workspace import group, new_path, remove_group, remove_run_folder, shared_dir, written
 
 
@@ -188,3 +191,92 @@ def test_groups_of_tables_are_removed(spark):
     assert outside.count() == 4
     with pytest.raises((PySparkException, Py4JJavaError)):
         inside.count()
+
+
+PIECES = ["1", "x", "", '"a"', '"a ""b"" c"', '"two\nlines"', '"x,\r\n\n""y"",\n"', '5" pipe', 'a"b"c', '""', '""""', '"\n"', '"' + "long\n" * 40 + '"', "é", '"é\n"']
+
+
+def written_by_chance(draw, n, end):
+    return end.join(",".join(draw.choices(PIECES, k=draw.randrange(1, 6))) for _ in range(n)) + end * draw.randrange(3)
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, small_splits, end):
+    draw = random.Random(len(end))
+    contents = [written_by_chance(draw, n, end) for n in (400, 1, 0, 150)]
+    for i, content in enumerate(contents):
+        (tmp_path / f"{i}.csv").write_bytes(content.encode())
+    schema = ", ".join(f"c{i} string" for i in range(5))
+    # All kinds of rows are told from one another by their raw texts.
+    raw = quoted_csv.records(spark, str(tmp_path)).orderBy("file_path", "start", "row").collect()
+    expected = []
+    for content in contents:
+        record, inside = [], False
+        for line in content.split("\n"):
+            record.append(line)
+            for field in line.split(","):
+                if inside or field.startswith('"'):
+                    inside ^= field.count('"') % 2 == 1
+            if not inside:
+                expected.append("\n".join(record).removesuffix("\r"))
+                record = []
+    assert [r["value"] for r in raw] == [x for x in expected if x]
+    assert len({(r["file_path"], r["start"]) for r in raw}) > 10
+    # Without quotes inside of plain fields, Spark's own reader agrees, which reads each file in one task.
+    whole = spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("lineSep", "\n").csv(str(tmp_path))
+    fields = StructType([StructField(f"c{i}", StringType()) for i in range(5)])
+    split = posts_csv.read_posts(spark, str(tmp_path), fields, line_breaks=True)
+    if end == "\n":
+        assert sorted(map(str, rows(split))) == sorted(map(str, rows(whole)))
+    assert split.rdd.getNumPartitions() > 10
+
+
+def test_positions_of_records_with_line_breaks(spark, tmp_path, small_splits):
+    texts = [f"{i}\n" * (i % 9) + 'q"' * (i % 2) for i in range(300)]
+    for part in range(3):
+        with (tmp_path / f"part-{part}.csv").open("w", newline="") as file:
+            csv.writer(file, lineterminator="\n").writerows([i, "E", "T", texts[i]] for i in range(part * 100, part * 100 + 100))
+    pool = posts_csv.read_replay_pool(spark, str(tmp_path), line_breaks=True)
+    found = sorted((r["idx"], r["id"], r["tweet"] or "") for r in pool.collect())
+    assert found == [(i, i, t) for i, t in enumerate(texts)]
+
+
+def test_quote_that_is_never_closed(spark, tmp_path, small_splits):
+    lines = [f"{i},E,T,t" for i in range(100)]
+    csv_file(tmp_path, *lines, '100,E,T,"open', *lines, name="a.csv")
+    csv_file(tmp_path, *lines, name="b.csv")
+    found = [r["value"] for r in quoted_csv.records(spark, str(tmp_path)).orderBy("file_path", "start", "row").collect()]
+    assert found == [*lines, "\n".join(['100,E,T,"open', *lines]), *lines]
+
+
+def test_blocks_meet_their_states_without_a_broadcast(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(quoted_csv, "SENT_BLOCKS", 0)
+    path = csv_file(tmp_path, *[f'{i},E,T,"a\n{i}"' for i in range(200)])
+    assert sorted(r["id"] for r in posts_csv.read_posts(spark, path, line_breaks=True).collect()) == list(range(200))
+
+
+def test_dashboard_headers_with_line_breaks(spark, tmp_path):
+    csv_file(tmp_path, "Tweet ID,Entity,Sentiment,Tweet content", '1,E,T,"a', 'b"', name="a.csv")
+    assert rows(posts_csv.read_dashboard_posts(spark, str(tmp_path), line_breaks=True)) == [(1, "E", "T", "a\nb")]
+    csv_file(tmp_path, "2,b,Positive,y", name="b.csv")
+    with pytest.raises((PySparkException, Py4JJavaError), match="header"):
+        posts_csv.read_dashboard_posts(spark, str(tmp_path), line_breaks=True).collect()
+
+
+@pytest.mark.parametrize("line", ["1,E,T", "1,E,T,t,extra", "x,E,T,t", ",E,T,t"])
+def test_malformed_dashboard_row_with_line_breaks(spark, tmp_path, line):
+    path = csv_file(tmp_path, "id,e,s,t", '7,E,T,"t', '"', line)
+    good, bad = posts_csv.quarantine_dashboard_posts(spark, path, header=HEADER, line_breaks=True)
+    assert rows(good) == [(7, "E", "T", "t\n")]
+    assert bad.count() == 1
+    with pytest.raises(PySparkException, match="malformed post row"):
+        posts_csv.read_dashboard_posts(spark, path, header=HEADER, line_breaks=True).collect()
