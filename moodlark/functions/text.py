@@ -82,7 +82,34 @@ _FUSED = "|".join(
 )
 
 
-def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
+# A private-use character for the period of an abbreviation.
+_KEPT = "\ue002"
+
+
+def _spaced(text: Column) -> Column:
+    """Lower case, with a blank at both ends, so that every chunk has one on each side."""
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+
+def ended_words(text: Column) -> Column:
+    """The distinct chunks that a period ends, without it: what may be abbreviations there."""
+    pattern = rf"(?<={_BLANK})([^{BLANKS}]*[^.{BLANKS}])\.(?={_CLOSERS}{_BLANK})"
+    return F.array_distinct(F.regexp_extract_all(_spaced(text), F.lit(pattern), F.lit(1)))
+
+
+def _with_kept_periods(text: Column, abbreviations: Column) -> Column:
+    """The text with the private-use character for the final period of each of its abbreviations."""
+    ended = rf"\.({_CLOSERS})\z"
+
+    def marked(chunk: Column) -> Column:
+        word = F.regexp_extract(chunk, rf"\A(.*[^.]){ended}", 1)
+        return F.when(F.array_contains(abbreviations, word), F.regexp_replace(chunk, ended, f"{_KEPT}$1")).otherwise(chunk)
+
+    chunks = F.array_join(F.transform(F.split(F.lower(text), f"{_BLANK}+"), marked), " ")
+    return F.when(F.size(abbreviations) > 0, chunks).otherwise(text)
+
+
+def word_tokens(text: Column, abbreviations: Sequence[str] | Column = ()) -> Column:
     """Linguistic tokens of a text, lower case.
 
     Punctuation, brackets and quotes become tokens of their own; ``,`` and
@@ -91,15 +118,19 @@ def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     six fused verbs are split: "don't" gives "do", "n't", "gonna" gives "gon",
     "na". Three regex passes and one split, whatever the length of the text;
     each pattern starts with the rarest thing it can test.
+
+    ``abbreviations`` may be a column with those of each text, as
+    ``operators.abbreviations`` learns and attaches them.
     """
+    if isinstance(abbreviations, Column):
+        tokens = word_tokens(_with_kept_periods(text, abbreviations))
+        return F.when(F.size(abbreviations) > 0, F.transform(tokens, lambda t: F.translate(t, _KEPT, "."))).otherwise(tokens)
     abbreviated = rf"(?<!{_BLANK}(?:{'|'.join(abbreviations)})\.)" if abbreviations else ""
     period = rf"\.(?<=[^.{BLANKS}]\.){abbreviated}(?={_CLOSERS}{_BLANK})"
     punctuation = rf"(?={_MARK})(?:{_ALONE}|[:,](?![0-9])|\.\.+|{period}|--)"
     stem = f"[^'{BLANKS}]"
     clitic = rf"[n'](?:(?<=n)'t(?<={stem}n't)|(?<=')(?<={stem}')(?:s|m|d|ll|re|ve)?)(?={_BLANK})"
-    # A blank at both ends, so that every chunk has one on each side.
-    spaced = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    spaced = F.regexp_replace(spaced, punctuation, " $0 ")
+    spaced = F.regexp_replace(_spaced(text), punctuation, " $0 ")
     spaced = F.regexp_replace(spaced, clitic, " $0")
     spaced = F.regexp_replace(spaced, _FUSED, "$0 ")
     return F.array_remove(F.split(spaced, f"{_BLANK}+"), "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import DASHBOARD_STOP_WORDS
 from moodlark.functions.text import has_noun_ending, is_alphabetic, lemma_forms, word_tokens
+from moodlark.operators.abbreviations import with_abbreviations
 from moodlark.operators.relational import charted
 from moodlark.workspace import written
 
@@ -45,18 +46,23 @@ def count_words(
     posts: DataFrame,
     position: str = "id",
     stop_words: Sequence[str] = DASHBOARD_STOP_WORDS,
-    abbreviations: Sequence[str] = (),
+    abbreviations: Sequence[str] | DataFrame = (),
 ) -> DataFrame:
     """Alphabetic words of the charted posts: count and first appearance per sentiment.
 
+    ``abbreviations`` is a list or a table with distinct values in ``word``.
+
     First appearance is the position of the post and of the token in it, in
     one exact decimal: unlike a struct, it stays in the hash aggregate, which
     reduces each task's tokens to its distinct words before the shuffle.
     """
-    words = charted(posts).select(
+    shown, known = charted(posts), abbreviations
+    if isinstance(abbreviations, DataFrame):
+        shown, known = with_abbreviations(shown, "tweet", position, abbreviations), F.col("abbreviations")
+    words = shown.select(
         F.lower("target").alias("sentiment"),
         F.col(position).cast("decimal(20,0)").alias("post"),
-        F.posexplode_outer(word_tokens(F.col("tweet"), abbreviations)).alias("place", "word"),
+        F.posexplode_outer(word_tokens(F.col("tweet"), known)).alias("place", "word"),
     )
     kept = words.where(is_alphabetic(F.col("word")) & ~F.col("word").isin(*stop_words))
     first_seen = F.min(F.col("post") * F.lit(POSITION_STEP) + F.col("place"))
@@ -68,7 +74,7 @@ def top_words(
     n: int = 10,
     position: str = "id",
     stop_words: Sequence[str] = DASHBOARD_STOP_WORDS,
-    abbreviations: Sequence[str] = (),
+    abbreviations: Sequence[str] | DataFrame = (),
     vocabulary: DataFrame | None = None,
     exceptions: DataFrame | None = None,
 ) -> DataFrame:

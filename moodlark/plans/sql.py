@@ -100,6 +100,42 @@ _FUSED = [
 ]
 
 
+_OPENED, _CLOSED = r"""^[\[({<"'«“‘`]+""", r"""[\])}>"'»”’,;:!?]+$"""
+# A private-use character that stands for the period of an abbreviation.
+_KEPT = "chr(57346)"
+
+
+def abbreviation_scores(texts: str, column: str) -> str:
+    """counts(word, with_period, without_period) and scores(..., log_likelihood, score) of the texts' words."""
+    core = f"regexp_replace(regexp_replace(chunk, {quoted(_OPENED)}, ''), {quoted(_CLOSED)}, '')"
+    ends = r"regexp_matches(core, '[^.]\.$')"
+    return f"""cores AS (
+  SELECT {core} AS core FROM (SELECT unnest(regexp_split_to_array(lower({column}), '[{BLANKS}]+')) AS chunk FROM {texts})),
+counts AS (
+  SELECT CASE WHEN {ends} THEN left(core, length(core) - 1) ELSE core END AS word,
+         count(*) FILTER (WHERE {ends}) AS with_period, count(*) FILTER (WHERE NOT {ends}) AS without_period
+  FROM cores WHERE core <> '' GROUP BY 1),
+share AS (SELECT sum(with_period) / sum(with_period + without_period) AS p FROM counts),
+candidates AS (
+  SELECT counts.*, p, length(replace(word, '.', '')) AS plain FROM counts CROSS JOIN share
+  WHERE with_period > 0 AND regexp_matches(word, '\\pL')),
+likely AS (
+  SELECT *, -2 * (with_period * ln(p) + CASE WHEN without_period > 0 THEN without_period * ln(1 - p) ELSE 0 END
+    - with_period * ln(0.99::DOUBLE) - CASE WHEN without_period > 0 THEN without_period * ln(1 - 0.99::DOUBLE) ELSE 0 END)
+    AS log_likelihood FROM candidates),
+scores AS (
+  SELECT *, log_likelihood * exp(-plain::DOUBLE) * (length(word) - plain + 1) * pow(plain::DOUBLE, -without_period) AS score
+  FROM likely)"""
+
+
+def with_kept_periods(column: str, words: str) -> str:
+    """The text, whose chunks that a period ends keep it as another character if the list ``words`` has them."""
+    ended = rf"\.({_CLOSERS})$"
+    word = f"regexp_extract(c, {quoted('^(.*[^.])' + ended)}, 1)"
+    marked = f"CASE WHEN list_contains({words}, {word}) THEN regexp_replace(c, {quoted(ended)}, {_KEPT} || '\\1') ELSE c END"
+    return f"array_to_string(list_transform(regexp_split_to_array(lower({column}), '[{BLANKS}]+'), lambda c: {marked}), ' ')"
+
+
 def word_tokens(column: str) -> str:
     """Linguistic tokens without look-around: protect, space out, restore, split."""
     text = f"' ' || lower({column}) || ' '"
@@ -116,7 +152,7 @@ def word_tokens(column: str) -> str:
     for first, second, before, after in _FUSED * 2:
         fused = rf"({before})({first})({second})({after})"
         text = f"regexp_replace({text}, {quoted(fused)}, '\\1\\2 \\3\\4', 'g')"
-    return f"list_filter(regexp_split_to_array({text}, '[{BLANKS}]+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array(replace({text}, {_KEPT}, '.'), '[{BLANKS}]+'), lambda w: w <> '')"
 
 
 def lemma_cte(words: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moodlark.functions import text
 from moodlark.functions.lexicon import DASHBOARD_STOP_WORDS
-from moodlark.operators import features
+from moodlark.operators import abbreviations, features
 from moodlark.operators.top_words import lemma_map
 from moodlark.plans import sql
 from moodlark.plans.posts import documents_as_posts
@@ -98,6 +98,39 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_tokens(spark, sf_dir).select(*_joined("words", "tokens"))
 
 
+_SCORES = f"{_DOCUMENTS}, {sql.abbreviation_scores('docs', 'tweet')}"
+
+
+@query(
+    "t8_abbreviation_scores",
+    f"""WITH {_SCORES} SELECT word, with_period, without_period, round(log_likelihood, 4) AS log_likelihood, round(score, 6) + 0.0 AS score
+    FROM scores""",
+)
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each word is an abbreviation, from the whole corpus."""
+    counts = written(abbreviations.word_counts(documents_as_posts(spark, sf_dir), "tweet"), "period-counts")
+    scores = abbreviations.abbreviation_scores(counts)
+    return scores.withColumns({"log_likelihood": F.round("log_likelihood", 4), "score": F.round("score", 6) + 0.0})
+
+
+_LEARNED = f"""{_SCORES}, learned AS (SELECT list(word) AS words FROM scores WHERE score >= 0.3),
+kept AS (SELECT id, {sql.with_kept_periods("tweet", "words")} AS tweet FROM docs CROSS JOIN learned),
+words AS (SELECT id, {sql.word_tokens("tweet")} AS tokens FROM kept)"""
+
+
+@query(
+    "t8_learned_word_tokens",
+    f"WITH {_LEARNED} SELECT id, len(tokens)::INTEGER AS n, array_to_string(tokens, ' ') AS words FROM words",
+)
+def learned_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word tokens, where the period stays with the abbreviations that the corpus itself shows."""
+    posts = documents_as_posts(spark, sf_dir).select("id", "tweet")
+    words = abbreviations.learned_abbreviations(posts, "tweet")
+    told = abbreviations.with_abbreviations(posts, "tweet", "id", words)
+    tokens = text.word_tokens(F.col("tweet"), F.col("abbreviations"))
+    return told.select("id", tokens.alias("tokens")).select(*_joined("words", "tokens"))
+
+
 _ALPHABETIC = f"""{_WORDS}, alphabetic AS (
   SELECT id, list_filter(tokens, lambda w: regexp_full_match(w, '[a-zA-Z]+')) AS tokens FROM words)"""
 
