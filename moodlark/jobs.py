@@ -139,7 +139,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     for name in ("--model", "--predictions", "--summaries", "--checkpoint"):
         command.add_argument(name, required=True)
     command.add_argument("--strict", action="store_true")
-    command.add_argument("--rejected", help="table of posts without text")
+    command.add_argument("--rejected", help="table of posts without text, by default beside the predictions")
 
     command = commands.add_parser("replay", help=send.__doc__)
     command.add_argument("--posts", required=True)

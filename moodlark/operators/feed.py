@@ -1,11 +1,11 @@
 """First rows, newest predictions, latest metrics."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodlark.functions.text import display_words
 from moodlark.operators.model import class_name
-from moodlark.sources.stores import with_defaults
+from moodlark.sources.stores import read_newest_predictions, stored_predictions_count, with_defaults
 
 
 def feed_defaults() -> dict[str, Column]:
@@ -69,6 +69,16 @@ def newest_predictions(predictions: DataFrame, n: int = 5, total: Column | None
     )
 
 
+def newest_stored(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The newest ``n`` predictions of a stored table, as shown.
+
+    Only the last batches that hold ``n`` are read, and the total is known from
+    the table's lists, so the time does not depend on the size of the table.
+    """
+    total = F.lit(stored_predictions_count(spark, path)).cast("long")
+    return newest_predictions(read_newest_predictions(spark, path, n), n, total)
+
+
 def latest_metrics(metrics: DataFrame) -> DataFrame:
     """Accuracy and F1 of the last model that was trained; no row if there is none."""
     newest = metrics.orderBy(F.desc("trained_at"), F.desc("model_id")).limit(1)

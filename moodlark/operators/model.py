@@ -168,7 +168,8 @@ def stream_safe(model: PipelineModel) -> PipelineModel:
 def score(model: PipelineModel, posts: DataFrame, strict: bool = False) -> DataFrame:
     """Apply the model. ``strict`` lets a post without text or with an unknown class fail.
 
-    Otherwise posts without text are left out; ``relational.without_text`` has them.
+    Otherwise posts without text are left out; ``relational.without_text`` has
+    them, and the scoring stream keeps them in a table of their own.
     """
     if strict:
         return model.transform(posts)

@@ -13,7 +13,7 @@ from moodlark.plans.report_queries import PROPS
 from moodlark.plans.source_queries import replay_pool
 from moodlark.schemas import POST_LONG_ID
 from moodlark.sources import messages
-from moodlark.sources.stores import read_predictions
+from moodlark.sources.stores import read_predictions, read_rejected, rejected_of
 from moodlark.streaming import dashboard, replay, scorer
 from moodlark.workspace import new_path
 
@@ -141,12 +141,10 @@ def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third post has no text: it goes to the table of rejected posts."""
     posts = labelled_posts(spark, sf_dir).withColumn("tweet", F.when(F.pmod("id", F.lit(3)) != 0, F.col("tweet")))
-    rejected = new_path(spark, "rejected")
-    stored = scorer.score_available(
-        spark, _message_stream(spark, posts), _known_scorer, new_path(spark, "predictions"), new_path(spark, "scoring-log"),
-        seq=F.col("id"), rejected_path=rejected,
-    )
-    both = stored.select("target", F.lit(1).alias("scored")).union(spark.read.parquet(rejected).select("target", F.lit(0)))
+    path = new_path(spark, "predictions")
+    stored = scorer.score_available(spark, _message_stream(spark, posts), _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"))
+    rejected = read_rejected(spark, rejected_of(path))
+    both = stored.select("target", F.lit(1).alias("scored")).union(rejected.select("target", F.lit(0)))
     return both.groupBy("target").agg(F.sum("scored").alias("scored"), F.count_if(F.col("scored") == 0).alias("rejected"))
 
 

@@ -13,12 +13,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from moodlark.operators.feed import newest_first, newest_predictions
 from moodlark.schemas import PREDICTION
-from moodlark.sources.stores import batch_folder
+from moodlark.sources import published
 
 SHOWN = 5
 PLACES = (0, 1)
 
-_STORED = StructType([field for field in PREDICTION.fields if field.name != "batch_id"])
 SUMMARY = StructType(
     [
         StructField("n", LongType()),
@@ -49,7 +48,7 @@ def append_summary(
     """
     before = read_summaries(spark, summaries_path).where(F.col("batch_id") < batch_id)
     last = before.orderBy(F.desc("batch_id")).first()
-    batch = spark.read.schema(_STORED).parquet(batch_folder(predictions_path, batch_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    batch = published.read_batch(spark, predictions_path, batch_id, PREDICTION)
     newest = batch.select(*PREDICTION.names).orderBy(F.desc("seq")).limit(shown)
     count = batch.agg(F.count("*")).scalar()
     if last:

@@ -4,11 +4,12 @@ import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from moodlark.operators.model import score
 from moodlark.operators.relational import stored_report, without_text
-from moodlark.sources.stores import append_predictions, append_rejected, read_predictions
+from moodlark.sources.stores import append_predictions, append_rejected, read_predictions, rejected_of
 from moodlark.streaming.dashboard import SHOWN, append_summary
 
 logger = logging.getLogger(__name__)
@@ -32,23 +33,29 @@ def process_batch(
 ) -> None:
     """Score one micro-batch and store it under its id; skip it if it is empty.
 
-    Executors write the rows. The dashboard summary is made from the rows just
-    written, so the batch is scored once. Posts without text cannot be scored;
-    they go to ``rejected_path``. A failure stops the query; after the restart
-    the same batch replaces whatever was written for it.
+    The source is read once: the batch is kept on the executors while it is
+    counted, scored and sorted out. Executors write the rows, and the dashboard
+    summary is made from the rows just written. Posts without text cannot be
+    scored; they go to ``rejected_path``, by default a table beside the
+    predictions, so no post is lost. A failure stops the query; after the
+    restart the same batch takes the place of whatever was stored for it.
     """
-    if posts.isEmpty():
-        logger.info("batch %s is empty", batch_id)
-        return
+    kept = posts.persist()
     try:
-        append_predictions(scorer(posts), predictions_path, batch_id, seq)
-        if rejected_path is not None:
-            append_rejected(without_text(posts), rejected_path, batch_id)
+        found = kept.agg(F.count("*").alias("posts"), F.count("tweet").alias("texts")).first()
+        if not found["posts"]:
+            logger.info("batch %s is empty", batch_id)
+            return
+        append_predictions(scorer(kept), predictions_path, batch_id, seq)
+        if found["texts"] < found["posts"]:
+            append_rejected(without_text(kept), rejected_path or rejected_of(predictions_path), batch_id)
         if summaries_path is not None:
             append_summary(posts.sparkSession, predictions_path, summaries_path, batch_id, shown)
     except Exception:
         logger.exception("batch %s failed", batch_id)
         raise
+    finally:
+        kept.unpersist()
 
 
 def start_scoring(
