@@ -29,6 +29,9 @@ from moodlark.workspace import written
 BANDS, BAND_ROWS = 32, 6
 # Shingles that take their steps together; bytes of the sets of a block; words a worker remembers.
 _TOGETHER, BLOCK_BYTES, _REMEMBERED = 1 << 15, 16 << 20, 1 << 20
+# Bits that tell which rows are read again: 4 MB, whatever the size of the table. Beyond some ten million
+# rows they let more of the others pass, which the join sorts out.
+FILTER_BITS = 1 << 25
 # How often groups are compared with one of their members before blocks are.
 _STARS = 2
 _U = np.uint64
@@ -155,6 +158,28 @@ def _signed(read: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, text_hash long, n long, high long, low long, keys array<long>")
 
 
+def _likely(read: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``read`` that may be ``wanted``: few texts are moved for the rest.
+
+    Each wanted row sets one bit. The bits are put together by the executors,
+    and no more than ``FILTER_BITS`` of them pass the driver.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS)).alias("bit")
+    words = wanted.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for word, bits in words.collect():
+        table[word] = bits & 0xFFFFFFFFFFFFFFFF
+    sent = read.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column(3))
+            passes = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1)
+            yield batch.select([0, 1, 2]).filter(pa.array(passes.astype(bool)))
+
+    return read.select("*", bit).mapInArrow(run, "doc_id long, text_hash long, text string")
+
+
 def _sets(read: DataFrame, n: int) -> DataFrame:
     """``node, n, elements`` for rows of ``read`` with their node."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("elements", pa.binary())])
@@ -308,7 +333,7 @@ def near_duplicates(
     members = written(members, "minhash-members")
 
     wanted = written(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"), "minhash-wanted")
-    found = read.join(wanted.withColumnRenamed("doc_id", "i").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+    found = _likely(read, wanted).join(wanted.withColumnRenamed("doc_id", "i").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     sets = written(_sets(found, n).dropDuplicates(["node"]), "minhash-sets")
 
     links, rest = None, members
