@@ -19,8 +19,9 @@ from moodlark.operators import model as classifier
 from moodlark.operators.top_words import top_words
 from moodlark.schemas import DASHBOARD_NAMES
 from moodlark.sources import messages, posts_csv, stores
+from moodlark.sources.pool import is_stored, open_pool, store_pool
 from moodlark.streaming import dashboard, replay, scorer
-from moodlark.workspace import remove_run_folder
+from moodlark.workspace import new_path, remove_run_folder
 
 
 def train(
@@ -72,17 +73,22 @@ def send(
     trigger: dict | None = None,
     draws: int | None = None,
     line_breaks: bool = False,
+    pool: str | None = None,
 ):
     """Replay random posts of a CSV as messages, one every ten seconds.
 
     Each is drawn from the first ``draws`` posts; by default from all of them,
-    in compat mode from the first 899.
+    in compat mode from the first 899. The posts are stored by position first,
+    in ``pool`` if given: then a later start finds them there.
     """
-    pool = posts_csv.read_replay_pool(spark, posts, line_breaks=line_breaks)
-    rows = draws or (replay.POOL_ROWS if compat else pool.count())
+    at = pool or new_path(spark, "pool")
+    if pool and is_stored(spark, at):
+        stored = open_pool(spark, at)
+    else:
+        stored = store_pool(posts_csv.read_replay_pool(spark, posts, line_breaks=line_breaks), at)
+    rows = draws or (replay.POOL_ROWS if compat else stored.rows)
     drawn = replay.ticks(spark).select(replay.random_draw(F.col("value"), seed, rows, compat).alias("draw"))
-    sent = messages.to_messages(replay.replay(drawn, pool, compat))
-    writer = messages.publish_stream(sent, sink_options, checkpoint, sink_format)
+    writer = replay.replay_stream(drawn, stored, sink_options, checkpoint, sink_format, compat)
     return writer.trigger(**(trigger or replay.pace())).start()
 
 
@@ -148,6 +154,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     command.add_argument("--compat", action="store_true")
     command.add_argument("--draws", type=int, help="number of posts, from the first, that are drawn from")
     command.add_argument("--line-breaks", action="store_true")
+    command.add_argument("--pool", help="where the posts are stored by position, for later starts too")
 
     for name in ("score", "replay"):
         command = commands.choices[name]
@@ -200,7 +207,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
             options = _options(args.option)
         send(
             spark, args.posts, args.format, options, args.checkpoint, args.seed, args.compat,
-            draws=args.draws, line_breaks=args.line_breaks,
+            draws=args.draws, line_breaks=args.line_breaks, pool=args.pool,
         ).awaitTermination()
     elif args.command == "report":
         report(spark, args.posts, args.out, header=args.header, line_breaks=args.line_breaks)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from moodlark.functions.text import display_words
 from moodlark.operators.model import class_name
+from moodlark.sources.pool import Pool
 from moodlark.sources.stores import read_newest_predictions, stored_predictions_count, with_defaults
 
 
@@ -33,6 +34,11 @@ def first_rows(posts: DataFrame, position: str = "idx", n: int = 100) -> DataFra
     return head.select(F.row_number().over(Window.orderBy(position)).alias("row_no"), *posts.columns)
 
 
+def first_stored(spark: SparkSession, pool: Pool, n: int = 100) -> DataFrame:
+    """The first ``n`` rows of a table that is stored by position: only they are read."""
+    return first_rows(pool.first(spark, n), "idx", n)
+
+
 def _feed_rows(predictions: DataFrame) -> DataFrame:
     order = {"batch_id": F.col("batch_id"), "seq": F.col("seq")}
     return with_defaults(predictions, {**feed_defaults(), **order})

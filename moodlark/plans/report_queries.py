@@ -9,13 +9,16 @@ from moodlark.functions.text import display_words
 from moodlark.operators import counts, feed, metrics, relational
 from moodlark.operators.features import with_filtered_words
 from moodlark.operators.model import class_name
+from moodlark.operators.ranks import placed
 from moodlark.operators.top_words import top_words
 from moodlark.plans import sql
 from moodlark.plans.posts import documents_as_posts, labelled_posts, stored_predictions, table
 from moodlark.plans.registry import query
+from moodlark.sources import published, stores
 from moodlark.sources.messages import parse_messages, parsed
+from moodlark.sources.pool import store_pool
 from moodlark.sources.stores import with_defaults
-from moodlark.workspace import written
+from moodlark.workspace import new_path, written
 
 PROPS = StructType([StructField("k", IntegerType())])
 
@@ -87,6 +90,19 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.first_rows(labelled_posts(spark, sf_dir), "id")
 
 
+@query(
+    "l1_first_stored_rows",
+    f"""{_POSTS} SELECT row_number() OVER (ORDER BY id)::INTEGER AS row_no, row_number() OVER (ORDER BY id) - 1 AS idx,
+           id, source, target, tweet
+    FROM posts QUALIFY row_no <= 100""",
+)
+def first_stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts stored by position; of them, only the first range is read."""
+    one = labelled_posts(spark, sf_dir).withColumn("all", F.lit(0))
+    rows = placed(one, "all", ["id"]).drop("all").withColumn("idx", F.col("place") - 1).drop("place")
+    return feed.first_stored(spark, store_pool(rows, new_path(spark, "pool"))).select("row_no", "idx", "id", "source", "target", "tweet")
+
+
 def _predictions_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir)))
 
@@ -126,6 +142,25 @@ def newest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.newest_predictions(newest, total=predictions.agg(F.count("*")).scalar())
 
 
+@query(
+    "l3_newest_stored_predictions",
+    f"""{_WORDS},
+    ranked AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS place, count(*) OVER () AS total FROM predictions)
+    SELECT total - place + 1 AS row_no, array_to_string(words, ' : ') AS features, target, label, prediction,
+           CASE prediction::INTEGER {_NAMES} END AS predicted_name
+    FROM ranked JOIN filtered USING (id) WHERE place <= 5""",
+)
+def newest_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All predictions stored in four batches, the first ones merged; of them, the last batches are read."""
+    predictions = written(_predictions_with_words(spark, sf_dir), "predictions")
+    quarter = (predictions.agg(F.max("seq")).first()[0] or 0) // 4 + 1
+    path = new_path(spark, "predictions")
+    for k, batch_id in enumerate((0, 1, published.BATCHES_IN_RANGE, published.BATCHES_IN_RANGE + 1)):
+        stores.append_predictions(predictions.where(F.floor(F.col("seq") / quarter) == k), path, batch_id, F.col("seq"))
+    published.merge(spark, path)
+    return feed.newest_stored(spark, path)
+
+
 _METRICS_BY_SOURCE = """whole AS (SELECT p.source, q.* FROM posts p JOIN predictions q USING (id)),
 classes AS (SELECT DISTINCT source, unnest([label, prediction]) AS class FROM whole),
 per_class AS (

@@ -9,8 +9,8 @@ from moodlark.plans import sql
 from moodlark.plans.posts import labelled_posts, stored_predictions
 from moodlark.plans.registry import query
 from moodlark.schemas import POST_LONG_ID
-from moodlark.sources import messages, posts_csv, stores
-from moodlark.workspace import new_path
+from moodlark.sources import messages, posts_csv, published, stores
+from moodlark.workspace import new_path, written
 
 _POSTS = f"WITH {sql.POSTS}"
 _ALL_POSTS = f"{_POSTS} SELECT id, source, target, tweet FROM posts"
@@ -120,6 +120,24 @@ def replayed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_twice(spark, sf_dir, times=2)
 
 
+@query(
+    "s6_merged_predictions",
+    f"""{_PREDICTIONS}
+    SELECT (CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE {published.BATCHES_IN_RANGE} END)::BIGINT AS batch_id, seq, tweet,
+           array_to_string(words, ' : ') AS filtered_words, target, label, prediction
+    FROM predictions JOIN filtered USING (id)""",
+)
+def merged_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, one of which comes twice; those of the finished range are merged."""
+    scored = written(stored_predictions(with_filtered_words(labelled_posts(spark, sf_dir))), "scored")
+    path = new_path(spark, "predictions")
+    for batch_id, k in ((0, 0), (1, 1), (1, 1), (published.BATCHES_IN_RANGE, 2)):
+        stores.append_predictions(scored.where(F.pmod("seq", F.lit(3)) == k), path, batch_id, F.col("seq"))
+    published.merge(spark, path)
+    stored = stores.read_predictions(spark, path).drop("scored_at")
+    return stored.withColumn("filtered_words", F.array_join("filtered_words", " : "))
+
+
 @query(
     "s7_stored_metrics",
     f"""{_POSTS}, {sql.PREDICTIONS}, {sql.F1},

@@ -1,10 +1,11 @@
 """Queries that run a stream over the given tables until it has read them."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from moodlark.operators.features import TOKENS, with_filtered_words
+from moodlark.operators.ranks import placed
 from moodlark.plans import sql
 from moodlark.plans.model_queries import SPLIT, trained
 from moodlark.plans.posts import labelled_posts, stored_predictions, table
@@ -13,6 +14,7 @@ from moodlark.plans.report_queries import PROPS
 from moodlark.plans.source_queries import replay_pool
 from moodlark.schemas import POST_LONG_ID
 from moodlark.sources import messages
+from moodlark.sources.pool import store_pool
 from moodlark.sources.stores import read_predictions, read_rejected, rejected_of
 from moodlark.streaming import dashboard, replay, scorer
 from moodlark.workspace import new_path
@@ -73,25 +75,37 @@ def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _batched_messages(spark: SparkSession, posts: DataFrame, files: int) -> tuple[str, DataFrame]:
-    """Posts published in so many files by id, and read back as a stream of one file for each batch.
+BATCHES = 3
+
+
+class _Topic:
+    """A folder of messages to which the posts are sent in so many batches, by id, in files as they come.
 
     Messages carry their id as offset, as a broker's messages carry theirs.
     """
-    topic = new_path(spark, "topic")
-    for k in range(files):
-        part = posts.where(F.pmod("id", F.lit(files)) == k).coalesce(1)
-        sent = part.select(
-            F.to_json(F.struct("id", "source", "target", "tweet"), {"ignoreNullFields": "false"}).alias("value"),
-            F.col("id").alias("offset"),
-        )
-        messages.publish(sent, {"path": f"{topic}/part={k}"}, "parquet")
-    options = {"path": topic, "maxFilesPerTrigger": "1"}
-    schema = StructType([*messages.MESSAGE.fields, StructField("offset", LongType())])
-    return topic, messages.parse_messages(messages.subscribe(spark, options, "parquet", schema), POST_LONG_ID)
 
+    def __init__(self, spark: SparkSession, posts: DataFrame) -> None:
+        self.spark, self.posts, self.path = spark, posts, new_path(spark, "topic")
+
+    def send(self, batch: int) -> None:
+        body = F.to_json(F.struct("id", "source", "target", "tweet"), {"ignoreNullFields": "false"})
+        sent = self.posts.where(F.pmod("id", F.lit(BATCHES)) == batch).select(body.alias("value"), F.col("id").alias("offset"))
+        messages.publish_batch(sent, batch, {"path": self.path}, "parquet")
+
+    def stream(self) -> DataFrame:
+        schema = StructType([*messages.MESSAGE.fields, StructField("offset", LongType())])
+        return messages.parse_messages(messages.subscribe(self.spark, {"path": self.path}, "parquet", schema), POST_LONG_ID)
 
-BATCHES = 3
+
+def _scored_by_batches(spark: SparkSession, posts: DataFrame, scoring: scorer.Scorer, **options) -> str:
+    """Send and score batch after batch under one checkpoint; the path of the predictions."""
+    topic, path, log = _Topic(spark, posts), new_path(spark, "predictions"), new_path(spark, "scoring-log")
+    kept = options.pop("kept", None)
+    for batch in range(BATCHES):
+        topic.send(batch)
+        arrived = topic.stream()
+        scorer.score_available(spark, arrived if kept is None else arrived.where(kept), scoring, path, log, **options)
+    return path
 
 
 @query(
@@ -101,24 +115,14 @@ BATCHES = 3
     FROM posts""",
 )
 def arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of three batches with their place in the batch, which is the order of arrival.
-
-    Which file becomes which batch is the source's business; a batch is named by its records' ids.
-    """
-    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
-    scored = scorer.score_available(spark, posts, _known_scorer_by_arrival, new_path(spark, "predictions"), new_path(spark, "scoring-log"))
-    by_seq = Window.partitionBy("batch_id").orderBy("seq")
-    # The label column carries the id here, as the stored record has no id.
-    return scored.select(
-        F.pmod(F.col("label").cast("long"), F.lit(BATCHES)).alias("batch"),
-        F.row_number().over(by_seq).cast("long").alias("place"),
-        "target",
-    )
+    """Predictions of three batches with their place in the batch, which is the order of arrival."""
+    path = _scored_by_batches(spark, labelled_posts(spark, sf_dir), _known_scorer_by_arrival)
+    scored = read_predictions(spark, path).select("batch_id", "seq", "target")
+    return placed(scored, "batch_id", ["seq"]).select(F.col("batch_id").alias("batch"), "place", "target")
 
 
 def _known_scorer_by_arrival(posts: DataFrame) -> DataFrame:
-    scored = stored_predictions(with_filtered_words(posts), keep=("offset",))
-    return scored.drop("seq", "batch_id").withColumn("label", F.col("offset").cast("double"))
+    return stored_predictions(with_filtered_words(posts), keep=("offset",)).drop("seq", "batch_id")
 
 
 @query(
@@ -127,10 +131,9 @@ def _known_scorer_by_arrival(posts: DataFrame) -> DataFrame:
 )
 def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of the batches is empty after a filter: it is skipped and stores nothing."""
-    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
-    path, kept = new_path(spark, "predictions"), posts.where(F.pmod("id", F.lit(BATCHES)) != 1)
-    stored = scorer.score_available(spark, kept, _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"))
-    return stored.agg(F.count("*").alias("predictions"), F.count_distinct("batch_id").alias("batches"))
+    kept = F.pmod("id", F.lit(BATCHES)) != 1
+    path = _scored_by_batches(spark, labelled_posts(spark, sf_dir), _known_scorer, seq=F.col("id"), kept=kept)
+    return read_predictions(spark, path).agg(F.count("*").alias("predictions"), F.count_distinct("batch_id").alias("batches"))
 
 
 @query(
@@ -156,11 +159,8 @@ def output_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both output modes store the same."""
     stored = []
     for mode in ("append", "update"):
-        _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
-        found = scorer.score_available(
-            spark, posts, _known_scorer, new_path(spark, "predictions"), new_path(spark, "scoring-log"), seq=F.col("id"), output_mode=mode
-        )
-        stored.append(found.select(F.lit(mode).alias("mode"), "target"))
+        path = _scored_by_batches(spark, labelled_posts(spark, sf_dir), _known_scorer, seq=F.col("id"), output_mode=mode)
+        stored.append(read_predictions(spark, path).select(F.lit(mode).alias("mode"), "target"))
     return stored[0].union(stored[1]).groupBy("mode", "target").agg(F.count("*").alias("n"))
 
 
@@ -170,12 +170,14 @@ def output_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stopped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that is stopped after its first batch and started again stores every post once."""
-    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
-    path, log = new_path(spark, "predictions"), new_path(spark, "scoring-log")
-    first = scorer.start_scoring(posts, _known_scorer, path, log, seq=F.col("id"), trigger=replay.pace(0.5))
+    topic, path, log = _Topic(spark, labelled_posts(spark, sf_dir)), new_path(spark, "predictions"), new_path(spark, "scoring-log")
+    topic.send(0)
+    first = scorer.start_scoring(topic.stream(), _known_scorer, path, log, seq=F.col("id"), trigger=replay.pace(0.5))
     scorer.stop_after(first, 1)
     stopped = not first.isActive
-    stored = scorer.score_available(spark, posts, _known_scorer, path, log, seq=F.col("id"))
+    for batch in range(1, BATCHES):
+        topic.send(batch)
+    stored = scorer.score_available(spark, topic.stream(), _known_scorer, path, log, seq=F.col("id"))
     by_seq = stored.groupBy("seq").agg(F.count("*").alias("n"))
     return by_seq.agg(F.sum("n").alias("predictions"), F.lit(stopped).alias("stopped_between"), F.count_if(F.col("n") > 1).alias("twice"))
 
@@ -186,9 +188,14 @@ PACE_SECONDS = 1.0
 @query("x3_paced_batches", f"{_POSTS} SELECT count(*) AS predictions, true AS paced FROM posts")
 def paced_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches start as far apart as the pace says (or more, if they take longer)."""
-    _, posts = _batched_messages(spark, labelled_posts(spark, sf_dir), BATCHES)
-    path = new_path(spark, "predictions")
-    running = scorer.start_scoring(posts, _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"), trigger=replay.pace(PACE_SECONDS))
+    topic, path = _Topic(spark, labelled_posts(spark, sf_dir)), new_path(spark, "predictions")
+    topic.send(0)
+    running = scorer.start_scoring(
+        topic.stream(), _known_scorer, path, new_path(spark, "scoring-log"), seq=F.col("id"), trigger=replay.pace(PACE_SECONDS)
+    )
+    for batch in range(1, BATCHES):
+        scorer.wait_for(running, batch)
+        topic.send(batch)
     scorer.stop_after(running, BATCHES)
     stored = read_predictions(spark, path)
     starts = stored.groupBy("batch_id").agg(F.min("scored_at").alias("at"))
@@ -277,8 +284,10 @@ def replayed_posts_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf_dir: str, compat: bool) -> DataFrame:
-    pool = replay_pool(spark, sf_dir)
-    draw = replay.modular_draw(F.col("event_id"), SEED, pool.count(), compat)
+    pool = store_pool(replay_pool(spark, sf_dir), new_path(spark, "pool"))
+    draw = replay.modular_draw(F.col("event_id"), SEED, pool.rows, compat)
     drawn = _events_stream(spark, sf_dir).select(draw.alias("draw"))
-    sent = messages.to_messages(replay.replay(drawn, pool, compat))
-    return messages.parse_messages(_finished(spark, sent, "replayed"), POST_LONG_ID)
+    topic = new_path(spark, "replayed")
+    writer = replay.replay_stream(drawn, pool, {"path": topic}, new_path(spark, "replayed-log"), "parquet", compat)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return messages.parse_messages(spark.read.schema(messages.MESSAGE).parquet(topic), POST_LONG_ID)

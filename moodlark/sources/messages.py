@@ -63,6 +63,15 @@ def publish(messages: DataFrame, options: dict[str, str], sink_format: str = KAF
     messages.write.format(sink_format).options(**options).save()
 
 
+def publish_batch(messages: DataFrame, batch_id: int, options: dict[str, str], sink_format: str = KAFKA) -> None:
+    """Send one micro-batch. In files, a batch that comes again takes the place of its first copy; a broker may get it twice."""
+    if "path" in options:
+        own = {**options, "path": f"{options['path']}/batch={batch_id}"}
+        messages.write.mode("overwrite").format(sink_format).options(**own).save()
+    else:
+        publish(messages, options, sink_format)
+
+
 def publish_stream(
     messages: DataFrame, options: dict[str, str], checkpoint: str, sink_format: str = KAFKA
 ) -> DataStreamWriter:

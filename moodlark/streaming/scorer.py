@@ -109,8 +109,21 @@ def score_available(
     return read_predictions(spark, predictions_path)
 
 
+def _done(query: StreamingQuery) -> int:
+    """Batches that the query has finished; while it idles, its progress names the next one."""
+    progress = query.lastProgress
+    if progress is None:
+        return 0
+    return progress["batchId"] + (1 if progress["numInputRows"] else 0)
+
+
+def wait_for(query: StreamingQuery, batches: int, poll_seconds: float = 0.2) -> None:
+    """Return when a running stream has done so many batches, or has ended."""
+    while query.isActive and _done(query) < batches:
+        query.awaitTermination(poll_seconds)
+
+
 def stop_after(query: StreamingQuery, batches: int, poll_seconds: float = 0.2) -> None:
     """Let a running stream go on until it has done so many batches, then stop it."""
-    while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] + 1 < batches):
-        query.awaitTermination(poll_seconds)
+    wait_for(query, batches, poll_seconds)
     query.stop()
