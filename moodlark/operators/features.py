@@ -116,6 +116,25 @@ def capped_vocabulary(corpus: DataFrame, size: int) -> DataFrame:
     return stored.join(starts, "_range").where(F.col("_row") + F.col("_shift") < size).select("term", "n")
 
 
+# Terms that are looked up apart from the others, and how long they may be: 40 MB at most.
+HEAVY_TERMS, HEAVY_LENGTH = 10_000, 4096
+
+
+def joined_by_term(counts: DataFrame, table: DataFrame, frequency: DataFrame, how: str = "inner") -> DataFrame:
+    """``counts`` joined to ``table`` (one row per term), however frequent a term is.
+
+    The most frequent terms of ``frequency`` (term, df) are sent to all tasks,
+    which bounds them by number and length. Of the others none holds more than
+    one in ``HEAVY_TERMS`` of all rows, so they meet in a shuffle without a hot
+    key. All three tables should be stored: two passes read them.
+    """
+    named = frequency.where(F.length("term") <= HEAVY_LENGTH).orderBy(F.desc("df"), "term").limit(HEAVY_TERMS).select("term")
+    heavy = written(named, "heavy-terms")
+    often = counts.join(F.broadcast(heavy), "term", "left_semi").join(F.broadcast(table.join(F.broadcast(heavy), "term", "left_semi")), "term", how)
+    rest = counts.join(F.broadcast(heavy), "term", "left_anti").join(table, "term", how)
+    return often.union(rest)
+
+
 def idf_weights(counts: DataFrame, posts: DataFrame) -> DataFrame:
     """Document frequency of each term and ln((N + 1) / (df + 1)); N counts the posts with text."""
     total = with_text(posts).agg(F.count("*")).scalar()
@@ -126,13 +145,11 @@ def idf_weights(counts: DataFrame, posts: DataFrame) -> DataFrame:
 def tf_idf(counts: DataFrame, posts: DataFrame) -> DataFrame:
     """TF-IDF weight of each term in each post.
 
-    The counts are stored because two passes read them, the weights because
-    their size then decides how they are joined: broadcast when small,
-    otherwise a shuffle in which adaptive execution splits frequent terms
-    (``spark.sql.adaptive.skewJoin.enabled``, on by default, is relied upon).
+    The counts are stored because several passes read them, the weights because
+    their size then decides how they are joined. Frequent terms do not meet in
+    the shuffle (``joined_by_term``).
     """
     stored = written(counts, "term-counts")
     weights = written(idf_weights(stored, posts), "idf-weights")
-    return stored.join(weights.select("term", "idf"), "term").select(
-        "id", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
-    )
+    joined = joined_by_term(stored, weights.select("term", "idf"), weights.select("term", "df"))
+    return joined.select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))

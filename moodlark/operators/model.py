@@ -6,12 +6,22 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlark.functions.lexicon import CLASS_NAMES
-from moodlark.operators.features import BIGRAMS, FILTERED, TOKENS, bigrams, exploded, stop_words_remover, tokenizer
+from moodlark.operators.features import (
+    BIGRAMS,
+    FILTERED,
+    TOKENS,
+    bigrams,
+    capped_vocabulary,
+    corpus_counts,
+    joined_by_term,
+    stop_words_remover,
+    tokenizer,
+)
 from moodlark.operators.metrics import evaluate
 from moodlark.operators.relational import with_text
 from moodlark.workspace import written
@@ -100,10 +110,32 @@ class Training:
     terms: DataFrame
 
 
-def _cut_terms(train_set: DataFrame, terms: str, counter) -> DataFrame:
+def _is_plain(counter: CountVectorizer) -> bool:
+    return counter.getMinDF() == 1.0 and not counter.isSet(counter.maxDF)
+
+
+def fit_vocabulary(counter: CountVectorizer, corpus: DataFrame, tokenized: DataFrame) -> CountVectorizerModel:
+    """The fitted vectorizer, with an exact vocabulary: the most frequent terms, equal counts in alphabetical order.
+
+    ``corpus`` holds the stored counts of ``tokenized``. Spark's own fit leaves
+    it to chance which of the terms with the count at the cap it keeps. Only
+    those that are kept pass the driver. Bounds on document frequency, which
+    are off by default, are left to Spark's fit.
+    """
+    if not _is_plain(counter):
+        return counter.fit(tokenized)
+    kept = capped_vocabulary(corpus, counter.getVocabSize()).orderBy(F.desc("n"), "term")
+    vocabulary = [row["term"] for row in kept.select("term").collect()]
+    found = CountVectorizerModel.from_vocabulary(
+        vocabulary or [""], counter.getInputCol(), counter.getOutputCol(), minTF=counter.getMinTF(), binary=counter.getBinary()
+    )
+    return found
+
+
+def _cut_terms(corpus: DataFrame, counter: CountVectorizerModel) -> DataFrame:
     """How many terms the vocabulary cap keeps and cuts."""
     kept = len(counter.vocabulary)
-    known = exploded(train_set, terms).agg(F.countDistinct("term").alias("known"))
+    known = corpus.agg(F.count("*").alias("known"))
     return known.select(F.lit(kept).cast("long").alias("kept"), (F.col("known") - kept).alias("cut"))
 
 
@@ -113,7 +145,8 @@ def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split)
     The stages are fitted one after another, on stored columns: texts are
     tokenized once for all of them, and the regression, which passes over its
     input for each step, reads count vectors that were dealt out evenly. The
-    result is the same pipeline model that ``Pipeline.fit`` gives.
+    result is the same pipeline model that ``Pipeline.fit`` gives, but that ties
+    at the vocabulary's cap are settled, so that two fits have the same terms.
     """
     stages = (pipeline or sentiment_pipeline()).getStages()
     counter = next(stage for stage in stages if isinstance(stage, CountVectorizer))
@@ -123,7 +156,8 @@ def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split)
     columns = [c for c in ("id", "target", "tweet", FILTERED, terms) if c in worded.columns]
     stored = written(worded.select(*columns), "training-posts")
     train_set, test_set = split(stored)
-    vocabulary = counter.fit(train_set)
+    corpus = written(corpus_counts(train_set, terms), "corpus-counts")
+    vocabulary = fit_vocabulary(counter, corpus, train_set)
     counted = vocabulary.transform(train_set).select("target", vocabulary.getOutputCol())
     fitted, data = [vocabulary], written(counted.repartition(_partitions(posts)), "training-counts")
     for stage in stages[at + 1 :]:
@@ -131,7 +165,7 @@ def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split)
         data = fitted[-1].transform(data)
     model, later = PipelineModel([*texts, *fitted]), PipelineModel(fitted)
     scored = written(_narrow(later.transform(test_set)), "scored-posts")
-    return Training(model, later.transform(train_set), scored, evaluate(scored), _cut_terms(train_set, terms, vocabulary))
+    return Training(model, later.transform(train_set), scored, evaluate(scored), _cut_terms(corpus, vocabulary))
 
 
 def _partitions(posts: DataFrame) -> int:
@@ -195,10 +229,13 @@ def score_long_form(counts: DataFrame, weights: DataFrame, intercepts: Sequence[
 
     The weights hold one row per vocabulary term with its IDF and one column
     per class, so a post's terms are looked up once for all and summed per
-    task before the shuffle on id. Terms without weights add nothing.
+    task before the shuffle on id. Terms without weights add nothing. Both
+    tables should be stored; frequent terms do not meet in the shuffle
+    (``features.joined_by_term``).
     """
     classes = range(len(intercepts))
-    joined = counts.join(weights, "term", "left")
+    frequency = written(counts.groupBy("term").agg(F.count("*").alias("df")), "term-frequency")
+    joined = joined_by_term(counts, weights, frequency, "left")
     share = [F.col("tf") * F.col("idf") * F.coalesce(f"w_{k}", F.lit(0.0)) for k in classes]
     margins = joined.groupBy("id").agg(*[F.sum(F.coalesce(share[k], F.lit(0.0))).alias(f"s_{k}") for k in classes])
     raw = F.array(*[F.col(f"s_{k}") + F.lit(float(intercepts[k])) for k in classes])

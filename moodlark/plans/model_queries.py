@@ -181,6 +181,24 @@ labels_of AS (
   FROM parts WHERE in_training GROUP BY target)"""
 
 
+MODEL_VOCABULARY = 700
+
+
+@query(
+    "m3_model_vocabulary",
+    f"""{_POSTS}, {SPLIT}, {sql.tokens_cte("(SELECT * FROM parts WHERE in_training)")},
+    counted AS (SELECT term, count(*) AS n FROM (SELECT unnest(tk) AS term FROM tokens) GROUP BY term)
+    SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS place FROM counted QUALIFY place < {MODEL_VOCABULARY}""",
+)
+def model_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a fitted vectorizer whose cap cuts through terms of equal counts."""
+    train_set, _ = classifier.hash_split(labelled_posts(spark, sf_dir))
+    tokenized = written(features.with_tokens(train_set).select("id", features.TOKENS), "training-posts")
+    corpus = written(features.corpus_counts(tokenized, features.TOKENS), "corpus-counts")
+    fitted = classifier.fit_vocabulary(classifier.count_vectorizer(features.TOKENS, MODEL_VOCABULARY), corpus, tokenized)
+    return spark.createDataFrame(list(enumerate(fitted.vocabulary)), "place long, term string")
+
+
 @query(
     "m6_class_probabilities",
     f"""{_POSTS}, {SPLIT}

@@ -208,3 +208,42 @@ def test_long_form_scores_equal_the_model(spark, training, posts):
 def test_class_names(spark):
     rows = spark.createDataFrame([(0.0,), (3.0,), (4.0,), (None,)], "p double")
     assert [r[0] for r in rows.select(classifier.class_name(F.col("p"))).collect()] == ["Negative", "Irrelevant", None, None]
+
+
+def test_heavy_terms_do_not_meet_in_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(features, "HEAVY_TERMS", 2)
+    draw = random.Random(6)
+    rows = [(i, t, draw.randrange(1, 4)) for i in range(300) for t in {"all", "most" if i % 5 else "x" * 5000, f"t{draw.randrange(40)}"}]
+    counts = spark.createDataFrame(rows, "id long, term string, tf long")
+    table = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("w", F.length("term")).where("term <> 't3'")
+    for how in ("inner", "left"):
+        joined = features.joined_by_term(counts, table.drop("df"), table.select("term", "df"), how)
+        plain = counts.join(table.drop("df"), "term", how)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.select(joined.columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = features.joined_by_term(counts, table.drop("df"), table.select("term", "df"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and "broadcast" in plan
+
+
+def test_vocabulary_with_ties_at_the_cap(spark):
+    draw = random.Random(7)
+    words = [f"w{i:02d}" for i in range(30)] * 3 + ["often"] * 9
+    found = []
+    for parts in (2, 5):
+        draw.shuffle(words)
+        posts = spark.createDataFrame([(i, words[i::8]) for i in range(8)], "id long, tk array<string>").repartition(parts)
+        counter = classifier.count_vectorizer(features.TOKENS, 12)
+        fitted = classifier.fit_vocabulary(counter, features.corpus_counts(posts, features.TOKENS), posts)
+        found.append(fitted.vocabulary)
+        kept = fitted.transform(posts).select(vector_to_array("tf").alias("tf")).collect()
+        assert sum(sum(r["tf"]) for r in kept) == 9 + 11 * 3
+    assert found[0] == found[1] == ["often", *(f"w{i:02d}" for i in range(11))]
+
+
+def test_bounds_on_document_frequency_are_left_to_spark(spark):
+    posts = spark.createDataFrame([(0, ["a", "b"]), (1, ["a"])], "id long, tk array<string>")
+    counter = classifier.count_vectorizer(features.TOKENS).setMinDF(2.0)
+    assert classifier.fit_vocabulary(counter, features.corpus_counts(posts, features.TOKENS), posts).vocabulary == ["a"]
