@@ -9,6 +9,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,10 @@ class Template:
 
     ``follows`` maps a state (``start`` or the last role) to the roles that may
     come next; ``final`` are the states in which a conversation may end.
+
+    Texts are escaped by a backslash between the first two characters of a
+    mark, so these must differ, and be neither a backslash nor a line break:
+    other marks are refused.
     """
 
     begin: str = "<|im_start|>"
@@ -39,28 +44,40 @@ class Template:
         }
     )
 
+    def __post_init__(self) -> None:
+        for mark in (self.begin, self.end):
+            if len(mark) < 2 or mark[0] == mark[1] or {"\\", "\n"} & set(mark[:2]):
+                raise ValueError(f"the mark {mark!r} cannot be escaped")
+
 
-# The opening of a mark, with any escapes before its bar.
-_OPENING = re.compile(r"<(\\*)\|")
-_ESCAPED = re.compile(r"<\\(\\*)\|")
+@lru_cache(maxsize=16)
+def _openings(begin: str, end: str) -> tuple[re.Pattern, re.Pattern]:
+    """The openings of the marks, with any escapes inside: plain, and with one at least."""
+    openings = sorted({mark[:2] for mark in (begin, end)})
+    found = [
+        "|".join(rf"(?<={re.escape(o[0])}){escapes}(?={re.escape(o[1])})" for o in openings) for escapes in (r"(?:\\*)", r"\\(?:\\*)")
+    ]
+    return re.compile(found[0]), re.compile(found[1])
 
 
-def escape(text: str) -> str:
-    """``text`` without any ``<|``: one more backslash stands before the bar."""
-    return _OPENING.sub(r"<\1\\|", text)
+def escape(text: str, template: Template | None = None) -> str:
+    """``text`` without any mark of the template: one more backslash stands in each opening."""
+    t = template or Template()
+    return _openings(t.begin, t.end)[0].sub(lambda m: m[0] + "\\", text)
 
 
-def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"<\1|", text)
+def unescape(text: str, template: Template | None = None) -> str:
+    t = template or Template()
+    return _openings(t.begin, t.end)[1].sub(lambda m: m[0][1:], text)
 
 
-def escape_role(role: str) -> str:
+def escape_role(role: str, template: Template | None = None) -> str:
     """A role on one line."""
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"), template)
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+def unescape_role(role: str, template: Template | None = None) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role, template))
 
 
 SEGMENTS = (
@@ -114,8 +131,8 @@ def _segments(turns: Iterator[tuple], template: Template) -> Iterator[tuple]:
         role, text = role or "", text or ""
         valid = valid and role in template.follows.get(state, ())
         state = role
-        yield conv_id, position, f"{template.begin}{escape_role(role)}\n", False, state, valid, False
-        yield conv_id, position + 1, escape(text), role in template.learned, state, valid, False
+        yield conv_id, position, f"{template.begin}{escape_role(role, template)}\n", False, state, valid, False
+        yield conv_id, position + 1, escape(text, template), role in template.learned, state, valid, False
         pending = (conv_id, position + 2, template.end + template.after, False, state, valid, False)
         position += 3
     if pending:
@@ -181,14 +198,17 @@ class _Reader:
         self.n_turns = self.loss_chars = self.chars = 0
         self.valid = True
         self.rest, self.inside = "", False
-        self.learned = ""
+        self.position = 0
 
-    def feed(self, text: str, loss: bool, valid: bool, last: bool) -> None:
+    def feed(self, position: int, text: str, loss: bool, valid: bool, last: bool) -> None:
         t = self.template
+        if position != self.position:
+            raise ValueError(f"conversation {self.conv_id}: segment {self.position} was expected, not {position}")
+        self.position += 1
         self.chars += len(text)
         self.valid = valid
         if loss:
-            plain = unescape(text)
+            plain = unescape(text, t)
             self.loss_chars += len(plain)
             self.loss.update(plain.encode())
         self.rest += text
@@ -197,12 +217,12 @@ class _Reader:
                 if not self.rest.startswith(t.begin) or "\n" not in self.rest:
                     break
                 role, self.rest = self.rest[len(t.begin) :].split("\n", 1)
-                self.turns.update(unescape_role(role).encode() + b"\n")
+                self.turns.update(unescape_role(role, t).encode() + b"\n")
                 self.inside = True
             body, found, rest = self.rest.partition(t.end + t.after)
             if not found:
                 break
-            self.turns.update(unescape(body).encode() + b"\n")
+            self.turns.update(unescape(body, t).encode() + b"\n")
             self.n_turns += 1
             self.rest, self.inside = rest, False
         if last and (self.rest or self.inside):
@@ -224,15 +244,19 @@ def read_chats(segments: DataFrame, template: Template | None = None) -> DataFra
     """Read formatted conversations back: one row of digests for each.
 
     ``segments`` is the result of ``format_chats`` as it comes (each
-    conversation in one partition and in order); nothing is shuffled.
+    conversation in one partition and in order); nothing is shuffled. Segments
+    that come in another order, or not all, fail the job. An empty table gives
+    an empty table.
     """
     template = template or Template()
 
     def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
         reader = None
-        for conv_id, _, text, loss, _, valid, last in rows:
+        for conv_id, position, text, loss, _, valid, last in rows:
             reader = reader or _Reader(conv_id, template)
-            reader.feed(text, loss, valid, last)
+            if conv_id != reader.conv_id:
+                raise ValueError(f"conversation {reader.conv_id} has no last segment")
+            reader.feed(position, text, loss, valid, last)
             if last:
                 yield reader.row()
                 reader = None
