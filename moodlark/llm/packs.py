@@ -15,6 +15,7 @@ file, so the place of an id in the whole output is the sum of three offsets.
 """
 
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moodlark.llm.tokens import as_bytes, ids_batch
+from moodlark.llm.tokens import as_bytes, ids_batch, vocabulary_size
 from moodlark.workspace import written
 
+logger = logging.getLogger(__name__)
+
 MAGIC, VERSION = b"PACK", 1
 PACK_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -61,21 +64,29 @@ def trained_dictionary(ids: DataFrame, width: int) -> bytes:
     """A dictionary trained on the starts of a sample of id arrays; empty if that is too small.
 
     The sample is about ``SAMPLE_DOCUMENTS`` rows, those whose hashes are lowest,
-    copies counted once: what the driver sees is bounded by that number.
+    copies counted once: what the driver sees is bounded by that number. If most
+    rows are copies, as many different texts are taken from all rows instead.
     """
     hash_, rows = F.xxhash64("ids"), ids.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(rows, 1))
     below = hash_ <= F.lit(int((share * 2 - 1) * (1 << 63)) - (share == 1.0))
-    starts = ids.where(below).groupBy(hash_.alias("hash")).agg(F.min(F.substring("ids", 1, SAMPLE_IDS * width)).alias("ids"))
-    sample = [bytes(r["ids"]) for r in starts.orderBy("hash").collect()]
+
+    def starts_of(chosen: DataFrame) -> list[bytes]:
+        starts = chosen.groupBy(hash_.alias("hash")).agg(F.min(F.substring("ids", 1, SAMPLE_IDS * width)).alias("ids"))
+        return [bytes(r["ids"]) for r in starts.orderBy("hash").limit(2 * SAMPLE_DOCUMENTS).collect()]
+
+    sample = starts_of(ids.where(below))
+    if share < 1 and len(sample) < SAMPLE_DOCUMENTS // 10:
+        sample = starts_of(ids)
     total = sum(map(len, sample))
-    if len(sample) < 16 or total < 8 << 10:
-        return b""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 4), sample).as_bytes()
+        if len(sample) >= 16 and total >= 8 << 10:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 4), sample).as_bytes()
     except zstandard.ZstdError:
-        # Samples too alike or too short to learn from; frames then stand alone.
-        return b""
+        pass
+    # Samples too few, too alike or too short to learn from.
+    logger.warning("no dictionary: %s different texts of %s rows; each frame stands alone", len(sample), rows)
+    return b""
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +147,7 @@ _PACKS = pa.schema(
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, path: str, end: int, vocabulary: int = 1 << 16, text: str = "text", id: str = "doc_id"
+    docs: DataFrame, folder: str, path: str, end: int, vocabulary: int | None = None, text: str = "text", id: str = "doc_id"
 ) -> None:
     """Write the token ids of all texts of ``docs`` to ``folder``, in ascending order of ``id``.
 
@@ -146,9 +157,10 @@ def write_token_files(
     empty table gives no packs. Other columns are ignored.
 
     Texts are encoded where they are read, once; only ids are moved, two or
-    four bytes each.
+    four bytes each, as the tokenizer's vocabulary and the end id need.
+    ``vocabulary`` may ask for more room; an id that does not fit fails the job.
     """
-    spark, width = docs.sparkSession, _width(vocabulary)
+    spark, width = docs.sparkSession, _width(max(vocabulary or 0, vocabulary_size(path), end + 1))
     ids = written(encoded(docs, path, end, width, text, id), "token-ids")
     dictionary = trained_dictionary(ids, width)
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
@@ -199,7 +211,8 @@ def read_token_files(spark: SparkSession, folder: str, wanted: list[int] | None
 
     ``ids_crc32`` is taken over the ids as little-endian 32-bit numbers. With
     ``wanted``, only packs that may hold these ids are read, and only their
-    frames decompressed.
+    frames decompressed. Null and repeated ids have a row for each document;
+    files of an empty table give an empty table.
     """
     dictionary = read_dictionary(spark, folder)
     packs = spark.read.parquet(f"{folder}/packs")

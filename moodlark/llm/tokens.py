@@ -1,12 +1,14 @@
-"""Token ids and token counts, by a public tokenizer that drops white space.
+"""Token ids and token counts, by public tokenizers.
 
-Such a tokenizer never joins what white space separates, so a text may be cut
-at any ASCII white space: its ids are those of its chunks, one after another.
+How a text may be cut follows from its tokenizer's own rules. One that makes
+letters small and drops white space never joins what white space separates, so
+a text may be cut at any ASCII white space: its ids are those of its chunks.
 Chunks repeat, so each is encoded once and remembered, in two generations of
-bounded size; texts of any length and vocabularies of any size pass through in
-bounded memory.
+bounded size. One on bytes keeps white space, but a line feed between two other
+characters is a token's beginning. Texts of any other tokenizer are not cut.
 """
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -110,11 +112,11 @@ def pieces(text: bytes, size: int = BATCH_BYTES) -> Iterator[bytes]:
         yield text[start:]
 
 
-def balanced(texts: Iterable[bytes], size: int = BATCH_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+def balanced(texts: Iterable[bytes], size: int = BATCH_BYTES, cut=pieces) -> Iterator[list[tuple[int, bytes]]]:
     """Lists of (number of the text, piece of it) of about ``size`` bytes each."""
     held, total = [], 0
     for number, text in enumerate(texts):
-        for piece in pieces(text, size):
+        for piece in cut(text, size):
             held.append((number, piece))
             total += len(piece)
             if total >= size:
@@ -124,29 +126,125 @@ def balanced(texts: Iterable[bytes], size: int = BATCH_BYTES) -> Iterator[list[t
         yield held
 
 
+def _at_lines(text: bytes, size: int = BATCH_BYTES) -> Iterator[bytes]:
+    """``text`` in pieces of about ``size`` bytes, cut before single line feeds that no other white space is near."""
+    start = 0
+    while len(text) - start > size:
+        found = _LINE.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start() + 1]
+        start = found.start() + 1
+    yield text[start:]
+
+
+# ASCII letters, digits and common marks around a line feed.
+_LINE = re.compile(rb"[!-~](?=\n[!-~])")
+
+
+def _uncut(text: bytes, size: int = BATCH_BYTES) -> Iterator[bytes]:
+    yield text
+
+
+# The rules of a tokenizer that makes letters small and drops white space. Its words end in "</w>".
+_DROPS_BLANKS = {
+    "normalizer": ["NFC", ["Replace", r"\s+", " "], "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "end": "</w>",
+}
+
+
+def _drops_blanks(spec: dict) -> bool:
+    """Whether chunks between white space may be encoded apart, letters A-Z made small and marks cut off."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    told = [s["type"] if s["type"] != "Replace" else ["Replace", s["pattern"].get("Regex"), s["content"]] for s in steps]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if told != _DROPS_BLANKS["normalizer"] or [p["type"] for p in before] != ["Split", "ByteLevel"]:
+        return False
+    split, on_bytes = before
+    removed = split["pattern"].get("Regex") == _DROPS_BLANKS["split"] and split["behavior"] == "Removed" and split["invert"]
+    marked = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    plain = not on_bytes["add_prefix_space"] and not on_bytes["use_regex"] and spec["model"].get("end_of_word_suffix") == _DROPS_BLANKS["end"]
+    return removed and marked and plain and spec.get("post_processor") is None
+
+
+def _on_bytes(spec: dict) -> bool:
+    """Whether a single line feed between visible ASCII characters begins a token, whatever stands around."""
+    before = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or "\n" in t["content"] for t in spec["added_tokens"])
+
+
+class Coder:
+    """What ``of`` gives for the array of ids of each piece of a text."""
+
+    def __init__(self, path: str, of) -> None:
+        self.of, self.remembered, self.cut = of, None, _uncut
+        if path.endswith(".model"):
+            self.encode = _sentences(path)
+            return
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if _drops_blanks(spec):
+            self.remembered, self.cut = Remembered(path, of), pieces
+        elif _on_bytes(spec):
+            self.cut = _at_lines
+        self.encode = lambda texts: [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, texts: Iterable[bytes]) -> Iterator[tuple[int, list]]:
+        """(number of the text, values of its next pieces), batch by batch."""
+        for batch in balanced(texts, cut=self.cut):
+            if self.remembered is None:
+                coded = self.encode([piece.decode() for _, piece in batch])
+                for (number, _), ids in zip(batch, coded, strict=True):
+                    yield number, [self.of(np.array(ids, dtype=np.uint32))]
+                continue
+            chunks = [chunks_of(piece) for _, piece in batch]
+            values = iter(self.remembered.look_up([c for part in chunks for c in part]))
+            for (number, _), part in zip(batch, chunks, strict=True):
+                yield number, list(islice(values, len(part)))
+
+
 @lru_cache(maxsize=4)
-def _lengths(path: str) -> Remembered:
-    return Remembered(path, len)
+def _model(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def _sentences(path: str):
+    return lambda texts: _model(path).encode(texts, num_threads=1)
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id. A file that is neither .json nor .model is refused."""
+    if path.endswith(".model"):
+        return _model(path).get_piece_size()
+    if not path.endswith(".json"):
+        raise ValueError(f"{path}: only .json and .model tokenizers are read")
+    return max(tokenizer(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
 @lru_cache(maxsize=4)
-def _ids(path: str, width: int) -> Remembered:
-    return Remembered(path, lambda ids: ids.astype(f"<u{width}").tobytes())
+def _lengths(path: str) -> Coder:
+    return Coder(path, len)
+
 
+def _fitting(ids: np.ndarray, width: int) -> bytes:
+    if width < 4 and ids.max(initial=0) >= 1 << 8 * width:
+        raise ValueError(f"id {ids.max()} does not fit {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
 
-def _parts(texts: Iterable[bytes], remembered: Remembered) -> Iterator[tuple[int, list]]:
-    """(number of the text, values of its next chunks), batch by batch."""
-    for batch in balanced(texts):
-        chunks = [chunks_of(piece) for _, piece in batch]
-        values = iter(remembered.look_up([c for part in chunks for c in part]))
-        for (number, _), part in zip(batch, chunks, strict=True):
-            yield number, list(islice(values, len(part)))
+
+@lru_cache(maxsize=4)
+def _ids(path: str, width: int) -> Coder:
+    return Coder(path, lambda ids: _fitting(ids, width))
 
 
 def count_batch(texts: list[bytes], path: str) -> list[int]:
     """Tokens of each text."""
     counts = [0] * len(texts)
-    for number, values in _parts(texts, _lengths(path)):
+    for number, values in _lengths(path).parts(texts):
         counts[number] += sum(values)
     return counts
 
@@ -154,7 +252,7 @@ def count_batch(texts: list[bytes], path: str) -> list[int]:
 def ids_batch(texts: list[bytes], path: str, width: int = 4) -> list[bytes]:
     """Token ids of each text, as little-endian numbers of ``width`` bytes."""
     parts: list[list[bytes]] = [[] for _ in texts]
-    for number, values in _parts(texts, _ids(path, width)):
+    for number, values in _ids(path, width).parts(texts):
         parts[number].append(b"".join(values))
     return [b"".join(p) for p in parts]
 
@@ -170,8 +268,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     Texts are counted whole, without added tokens; strings of special tokens
     inside a text count as the tokenizer's default has it. A null text is
     empty and has no tokens; ids may be null or repeated, each row is counted.
-    Other columns are not read. Nothing is shuffled, only lengths come back.
+    Other columns are not read. Nothing is shuffled, only lengths come back. An
+    empty table gives an empty table.
+
+    ``path`` names a .json file of the tokenizers library or a .model file of
+    sentencepiece; other files are refused.
     """
+    vocabulary_size(path)
     schema = pa.schema([(id, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,3 +131,98 @@ def test_chunks_of_any_text_encode_as_the_whole(text):
     for t in (text, f"{text}<|endoftext|>{text}", f"{text}<|ENDOFTEXT|>"):
         whole = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(tokens.ids_batch([t.encode()], PATH)[0], "<u4").tolist() == whole
+
+
+MARKS = [("[INST]", "[/INST]"), ("<s>", "</s>"), ("ab", "ba"), ("n:", ":n"), ("<|a", "<|b")]
+
+
+@settings(deadline=None)
+@given(st.sampled_from(MARKS), st.text(alphabet="[]INST/<s>|ab:n\\\\\n", max_size=40))
+def test_any_marks_are_escaped(marks, text):
+    template = chat.Template(*marks)
+    escaped = chat.escape(text, template)
+    assert chat.unescape(escaped, template) == text
+    assert not any(mark in escaped for mark in marks)
+    # No mark arises where a text meets one.
+    assert (escaped + marks[1]).find(marks[1]) == len(escaped)
+    role = chat.escape_role(text, template)
+    assert chat.unescape_role(role, template) == text and "\n" not in role
+
+
+@pytest.mark.parametrize("marks", MARKS)
+def test_round_trip_with_other_marks(spark, marks):
+    template = chat.Template(*marks)
+    turns = [("user", f"{marks[1]}\n{marks[0]}assistant\nno"), ("assistant", f"x{marks[0]}{marks[1]}"[:-1]), ("user\\n", marks[1][0]), ("assistant", marks[0] * 3)]
+    rows = [(1, i, *turn) for i, turn in enumerate(turns)]
+    segments = chat.format_chats(spark.createDataFrame(rows, TURNS), template)
+    row = chat.read_chats(segments, template).first()
+    assert (row["n_turns"], row["turns_sha256"], row["loss_chars"], row["loss_sha256"]) == digests(turns)
+
+
+@pytest.mark.parametrize("mark", ["", "x", "||x", "\\|x", "<\n", "\n\n"])
+def test_marks_that_cannot_be_escaped_are_refused(mark):
+    for marks in ((mark, "<|e"), ("<|b", mark)):
+        with pytest.raises(ValueError, match="escaped"):
+            chat.Template(*marks)
+
+
+def test_segments_out_of_order_are_refused(spark):
+    rows = [(1, i, role, "t") for i, role in enumerate(("user", "assistant"))]
+    segments = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
+    turned = spark.createDataFrame([*segments[1:3], segments[0], *segments[3:]], chat.SEGMENTS).coalesce(1)
+    with pytest.raises(Exception, match="segment 0 was expected"):
+        chat.read_chats(turned).collect()
+
+
+OTHER = ["byte_bpe_50k.json", "piece_bpe_32k.model"]
+ODD = [*TEXTS, "a\nb\n\nc \n d\r\ne\n", "one two\nthree\n" * 400, "  lead", "trail  ", "\n", "it's\n's", "x\n<|endoftext|>\ny", "</s><s>"]
+
+
+def by_library(name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        return path, sentencepiece.SentencePieceProcessor(model_file=path).encode
+    library = Tokenizer.from_file(path)
+    return path, lambda t: library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", [*OTHER, "word_bpe_49k.json"])
+def test_every_tokenizer_counts_as_its_library(spark, monkeypatch, name):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 1 << 10)
+    path, encode = by_library(name)
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, path).collect()}
+    assert found == {i: len(encode(t)) for i, t in enumerate(ODD)}
+    ids = tokens.ids_batch([t.encode() for t in ODD], path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [list(encode(t)) for t in ODD]
+
+
+@settings(deadline=None)
+@given(st.text(alphabet="aB1 \n\t.'s<|\xa0é", max_size=80))
+def test_lines_of_byte_tokenizers_are_cut_safely(text):
+    path, encode = by_library("byte_bpe_50k.json")
+    cut = list(tokens._at_lines(text.encode(), 1))
+    assert b"".join(cut).decode() == text
+    assert [i for piece in cut for i in encode(piece.decode())] == list(encode(text))
+
+
+def test_whole_tables_of_other_tokenizers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    for name in OTHER:
+        path, encode = by_library(name)
+        assert {r[0]: r[2] for r in tokens.count_tokens(docs, path).collect()} == {i: len(encode(t or "")) for i, t in texts.items()}
+
+
+def test_other_files_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="only .json and .model"):
+        tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_ids_that_do_not_fit_fail():
+    assert tokens._fitting(np.array([65_535], dtype=np.uint32), 2) == b"\xff\xff"
+    with pytest.raises(ValueError, match="70000"):
+        tokens._fitting(np.array([1, 70_000], dtype=np.uint32), 2)

@@ -49,6 +49,24 @@ def test_files_read_back(spark, monkeypatch):
     assert {r["start"] for r in some} <= {r["start"] for r in found}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_width_follows_the_tokenizer(spark, name):
+    path, texts = public_tokenizers.path(name), ["Some text\n\nhere", None, "é 漢字 🙂"]
+    docs, folder = spark.createDataFrame(list(enumerate(texts)), DOCS), new_path(spark, "packs")
+    packs.write_token_files(docs, folder, path, 70_000)
+    found = packs.read_token_files(spark, folder).orderBy("start").collect()
+    coded = [np.append(np.frombuffer(ids_batch([(t or "").encode()], path)[0], "<u4"), 70_000).astype("<u4") for t in texts]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in found] == [(len(ids), zlib.crc32(ids.tobytes())) for ids in coded]
+
+
+def test_dictionary_of_a_corpus_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(packs, "SAMPLE_DOCUMENTS", 200)
+    few = [np.random.default_rng(i % 60).integers(0, 500, 300).astype("<u2").tobytes() for i in range(60)]
+    ids = spark.createDataFrame([(bytearray(few[0] if i % 20 else few[i // 20 % 60]),) for i in range(3000)], "ids binary")
+    assert packs.trained_dictionary(ids, 2)
+    assert packs.trained_dictionary(ids.limit(3), 2) == b""
+
+
 def test_empty_table(spark):
     folder = new_path(spark, "packs")
     packs.write_token_files(spark.createDataFrame([], DOCS), folder, PATH, 2)
