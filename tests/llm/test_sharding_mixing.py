@@ -1,9 +1,13 @@
+import random
+import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from moodlark.llm.mixing import mix
+from moodlark.llm import queries, sharding  # noqa: F401
+from moodlark.llm.registry import QUERIES
 from moodlark.llm.sharding import shard_by_bytes
 from moodlark.llm.words import count_words
 
@@ -53,6 +57,62 @@ def test_shards_keep_columns_and_agree(spark):
     assert {r["piece"] for r in first.collect()} == {5}
 
 
+def by_hand(keys, pieces, slack):
+    """Histogram sort in one go: boundaries at the exact row or, within ``slack``, near it."""
+    keys = sorted(keys)
+    total, below, bounds = sum(size for _, size in keys), 0, []
+    starts = []
+    for key, size in keys:
+        starts.append((below, key))
+        below += size
+    for i in range(1, pieces):
+        bounds.append(total * i // pieces)
+    return total, starts, bounds
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 200])
+def test_splitters_against_a_sorted_list(spark, pieces):
+    draw = random.Random(pieces)
+    keys = [(f"{draw.choice([draw.getrandbits(64), 7, 7]):016x}{draw.getrandbits(64):016x}{i:016x}", draw.choice([0, 16, 100, 5000])) for i in range(6000)]
+    table = spark.createDataFrame(keys, "key string, size long")
+    total, starts, bounds = by_hand(keys, pieces, 0)
+    for slack in (0, total / pieces / 20):
+        found = sharding._splitters(table, total, pieces, slack)
+        assert len(found) == pieces - 1
+        assert [s.key for s in found] == sorted(s.key for s in found)
+        for splitter, bound in zip(found, bounds, strict=True):
+            below = [size for key, size in keys if key < splitter.key]
+            assert (splitter.rows, splitter.size) == (len(below), sum(below))
+            assert abs(splitter.size - bound) <= max(slack, 5000)
+
+
+def test_driver_holds_a_range_for_each_boundary(spark, monkeypatch):
+    seen = []
+    real = sharding._probes
+    monkeypatch.setattr(sharding, "_probes", lambda *a: seen.append(a) or real(*a))
+    rows = spark.range(30_000).select(F.xxhash64("id").alias("g"), F.lit(10).alias("bytes"), "id")
+    found = sharding.shard_by_bytes(rows, 300, F.col("bytes"), F.col("g"), F.col("id"))
+    assert {r["n"] for r in found.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {100}
+    assert all(len(targets) <= 299 and len(open_ or {}) <= 299 for _, open_, _, targets in seen)
+
+
+def test_query_deals_out_every_document(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = QUERIES["op3_shards"](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(docs)
+    assert all((r["size"], r["text_crc32"]) == (len(docs[r["doc_id"]]) + 16, zlib.crc32(docs[r["doc_id"]])) for r in found)
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(sizes) == set(range(40))
+    even = sum(sizes.values()) / 40
+    assert all(abs(s - even) <= 0.002 * even + max(r["size"] for r in found) for s in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("bytes", None)}
+
+
 def test_no_rows_and_fewer_rows_than_shards(spark):
     docs = spark.createDataFrame(rows_of(2, str), DOCS)
     assert sharded(docs.limit(0), 4).count() == 0
