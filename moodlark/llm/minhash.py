@@ -6,10 +6,11 @@ position keeps the smallest offer. Offers of step j all lie in [j, j + 1), so
 the shingles of many texts take their steps together, and a text stops as soon
 as each of its positions holds an offer of an earlier step.
 
-Equal sets are one node. Nodes that agree in all rows of a band meet. Groups that
-meet are compared with one member each, twice; what is not connected then is
-compared within blocks of bounded size, under union-find, so that a group of
-texts that are alike costs few comparisons and never a row for each pair.
+Equal sets are one node. Nodes that agree in all rows of a band meet. The members
+of each group that meets are compared with its first two; what is not connected
+then is compared within blocks of bounded size, under union-find, so that a
+group of texts that are alike costs few comparisons and never a row for each
+pair.
 """
 
 from collections.abc import Iterator
@@ -32,8 +33,6 @@ _TOGETHER, BLOCK_BYTES, _REMEMBERED = 1 << 15, 16 << 20, 1 << 20
 # Bits that tell which rows are read again: 4 MB, whatever the size of the table. Beyond some ten million
 # rows they let more of the others pass, which the join sorts out.
 FILTER_BITS = 1 << 25
-# How often groups are compared with one of their members before blocks are.
-_STARS = 2
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -252,7 +251,7 @@ def links_within(
 
 
 def _within_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among ``members`` (key, band, node, label, keys), in pairs of pieces of bounded size of each key's group."""
+    """Links (a, b) of labels among ``members`` (key, band, node, label, keys), in pairs of pieces of bounded size of each key's group."""
     sized = members.join(sets, "node")
     total = F.sum(F.octet_length("elements")).over(Window.partitionBy("key"))
     sized = sized.withColumn("pieces", F.ceil(total / BLOCK_BYTES).cast("int"))
@@ -266,26 +265,20 @@ def _within_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             F.when(F.col("piece") == q, 0).when(F.col("piece") < q, 1).otherwise(2).alias("side"),
         ),
     )
-    dealt = sized.withColumn("piece", piece).withColumn("m", F.explode(meets)).select("key", "m.*", "band", "node", "label", "keys", "elements")
+    dealt = sized.withColumn("piece", piece).withColumn("m", F.explode(meets)).select("key", "m.*", "band", "label", "keys", "elements")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
-        nodes, labels, sides = (np.asarray(block[c]) for c in ("node", "label", "side"))
+        labels, sides = (np.asarray(block[c]) for c in ("label", "side"))
         elements = [np.frombuffer(x, _U) for x in block["elements"].to_pylist()]
-        keys = np.asarray(block["keys"].combine_chunks().flatten()).reshape(len(nodes), -1)
+        keys = np.asarray(block["keys"].combine_chunks().flatten()).reshape(len(labels), -1)
         links = links_within(elements, keys, block["band"][0].as_py(), labels, sides, percent)
         pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pa.table([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], schema=schema)
+        return pa.table([labels[pairs[:, 0]], labels[pairs[:, 1]]], schema=schema)
 
     return dealt.groupBy("key", "one", "other").applyInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the component of their node as ``label``."""
-    found = written(components(links), "minhash-components").withColumnRenamed("component", "label")
-    return members.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def _open(members: DataFrame) -> DataFrame:
     """Members of groups that hold more than one label."""
     group = Window.partitionBy("key")
@@ -329,27 +322,29 @@ def near_duplicates(
     group = Window.partitionBy("key").orderBy("node")
     exploded = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     placed = exploded.withColumns({"before": F.lag("node").over(group), "after": F.lead("node").over(group)})
-    members = placed.where("before IS NOT NULL OR after IS NOT NULL").select("key", "band", "node", "n", F.col("node").alias("label"))
+    members = placed.where("before IS NOT NULL OR after IS NOT NULL").select("key", "band", "node", "n")
     members = written(members, "minhash-members")
 
     wanted = written(members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node"), "minhash-wanted")
     found = _likely(read, wanted).join(wanted.withColumnRenamed("doc_id", "i").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     sets = written(_sets(found, n).dropDuplicates(["node"]), "minhash-sets")
 
-    links, rest = None, members
-    for star in range(_STARS):
-        led = rest.withColumns({f"lead_{c}": F.first(c).over(group) for c in ("node", "n", "label")})
-        apart = led.where((F.col("label") != F.col("lead_label")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
-        pairs = written(apart.select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct(), f"minhash-pairs-{star}")
-        confirmed = written(_verified(pairs, sets, percent), f"minhash-links-{star}")
-        links = confirmed if links is None else links.union(confirmed)
-        others = led.where("node != lead_node").select("key", "band", "node", "n", "label")
-        rest = written(_open(_labelled(others, links)), f"minhash-rest-{star}")
-    left = rest.join(nodes.select("node", "keys"), "node").drop("n")
-    links = links.union(written(_within_blocks(left, sets, percent), "minhash-links-blocks"))
-
-    classes = components(links)
-    linked = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    leaders = {f"lead_{c}": F.first(c).over(group) for c in ("node", "n")} | {f"next_{c}": F.nth_value(c, 2).over(group) for c in ("node", "n")}
+    led = members.withColumns(leaders)
+    pairs = None
+    for lead, size in (("lead_node", "lead_n"), ("next_node", "next_n")):
+        apart = led.where((F.col("node") > F.col(lead)) & (100 * F.least("n", size) >= percent * F.greatest("n", size)))
+        star = apart.select(F.col(lead).alias("a"), F.col("node").alias("b"))
+        pairs = star if pairs is None else pairs.union(star)
+    links = written(_verified(written(pairs.distinct(), "minhash-pairs"), sets, percent), "minhash-links")
+    labels = written(components(links), "minhash-labels").withColumnRenamed("component", "label")
+    others = led.where(F.col("node") > F.col("next_node")).select("key", "band", "node").join(labels, "node", "left")
+    rest = written(_open(others.withColumn("label", F.coalesce("label", "node"))), "minhash-rest")
+    joined = written(_within_blocks(rest.join(nodes.select("node", "keys"), "node"), sets, percent), "minhash-links-blocks")
+    classes = components(joined).select(F.col("node").alias("label"), F.col("component").alias("class"))
+
+    linked = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(classes, "label", "left")
+    linked = linked.withColumn("class", F.coalesce("class", "label"))
     firsts = linked.groupBy("class").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("members"))
     # A text alone is its own component: only the others are looked up.
     several = written(linked.join(firsts.where("members > 1"), "class").select("high", "low", "component", F.lit(True).alias("shared")), "minhash-classes")
