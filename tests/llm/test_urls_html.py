@@ -1,10 +1,14 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from moodlark.llm import html_text, urls
 from moodlark.llm.html_text import blocks_of, main_text
 from moodlark.llm.queries import URL_RULES
-from moodlark.llm.registry import ship
+from moodlark.llm.registry import QUERIES, ship
 
 PAGES = "page_id long, url string, html string"
 
@@ -67,6 +71,115 @@ def test_tree_generalises_merges_and_rejects(spark):
     assert by["http://other.net/3"]["verdict"] == "allow"
 
 
+def tree_by_hand(paths):
+    """The tree of one host, path by path: (path, n, good, bad) to (template, branch)."""
+    out = {}
+    state = [(p, (p[1:] if p[:1] == "/" else p).split("/"), n, g, b, "", "") for p, n, g, b in paths]
+    while state:
+        nodes = {}
+        for row in state:
+            nodes.setdefault(row[6], []).append(row)
+        state = []
+        for rows in nodes.values():
+            total, lists = sum(r[2] for r in rows), [r[1] for r in rows]
+            low, high = min(lists), max(lists)
+            common = 0
+            while common < min(len(low), len(high)) and low[common] == high[common]:
+                common += 1
+            ends = total < urls.MIN_SUPPORT or low == high
+            cut = lambda left, ends=ends, common=common: len(left) if ends else min(max(common, 1), len(left))
+            counts = {}
+            for r in rows:
+                counts.setdefault("/".join(r[1][: cut(r[1])]), []).append(r)
+            part = {}
+            for segment, own in counts.items():
+                n = sum(r[2] for r in own)
+                shape = re.sub(r"[^\W\d_]+", "@", re.sub(r"[0-9]+", "#", segment))
+                part[segment] = segment if n >= urls.MIN_SUPPORT and n >= urls.MIN_SHARE * total else shape
+            labels = {}
+            for segment, own in counts.items():
+                g, m = labels.get(part[segment], (0, 0))
+                labels[part[segment]] = (g + sum(r[3] for r in own), m + sum(r[3] + r[4] for r in own))
+            all_g, all_m = (sum(x[k] for x in labels.values()) for k in (0, 1))
+
+            def differs(g, m, all_g=all_g, all_m=all_m):
+                if not m or not all_m - m or all_g in (0, all_m):
+                    return False
+                p = all_g / all_m
+                return abs(g / m - (all_g - g) / (all_m - m)) / math.sqrt(p * (1 - p) * (1 / m + 1 / (all_m - m))) > urls.DIFFERENT
+
+            merged = [name for name, (g, m) in labels.items() if not differs(g, m)]
+            for segment, own in counts.items():
+                name = "*" if part[segment] in merged and len(merged) > 1 else part[segment]
+                for p, left, n, g, b, template, branch in own:
+                    row = (p, left[cut(left) :], n, g, b, f"{template}/{part[segment]}", f"{branch}/{name}")
+                    if row[1]:
+                        state.append(row)
+                    else:
+                        out[p] = row[5:]
+    return out
+
+
+def test_tree_against_one_made_by_hand(spark):
+    draw = random.Random(3)
+    words = ["news", "spam", "a1", "b22", "c", "", "x.html", "7", "88", "999"]
+    paths = {}
+    for _ in range(600):
+        path = "/" + "/".join(draw.choice(words[: draw.choice([3, 10])]) for _ in range(draw.randrange(1, 9)))
+        n = draw.choice([1, 1, 2, 7])
+        label = draw.choice([0, 1, 2]) if "spam" not in path else draw.choice([0, 2, 2])
+        paths[path] = (path, n, n * (label == 1), n * (label == 2))
+    deep = "/" + "/".join(["same"] * 300)
+    for end in ("one", "two"):
+        paths[deep + "/" + end] = (deep + "/" + end, 9, 0, 0)
+    paths |= {"": ("", 6, 1, 0), "/": ("/", 1, 0, 0), "no/slash": ("no/slash", 3, 0, 1)}
+    rows = [("h", *row) for row in paths.values()] + [("i", "/spam", 1, 0, 1)]
+    found = urls.templates(spark.createDataFrame(rows, "host string, path string, n long, good long, bad long")).collect()
+    assert {r["path"]: (r["template"], r["branch"]) for r in found if r["host"] == "h"} == tree_by_hand(list(paths.values()))
+    assert len(found) == len(rows)
+
+
+def test_deep_paths_are_told_apart(spark):
+    rows = [f"http://h.net/2020/01/02/en/{kind}/{i:02d}" for kind in ("spam", "news") for i in range(40)]
+    rules = [("block", f"h.net/2020/01/02/en/spam/{i:02d}") for i in range(20)] + [("allow", f"h.net/2020/01/02/en/news/{i:02d}") for i in range(20)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], PAGES)
+    found = {r["url"]: r for r in urls.judge_urls(pages, rules).collect()}
+    held_out = [u for u in rows if found[u]["rule"] is None]
+    assert len(held_out) >= 30
+    assert all(found[u]["verdict"] == ("block" if "/spam/" in u else "allow") for u in rows)
+
+
+def test_merged_branches_share_what_lies_below(spark):
+    # Languages do not differ; what lies below them is one tree, so few labels of each language tell spam.
+    rows = [f"http://h.net/{lang}/{kind}/{i}" for lang in ("de", "en", "fr", "it") for kind in ("spam", "news") for i in range(10)]
+    rules = [(v, f"h.net/{lang}/{kind}/{i}") for lang in ("de", "en", "fr", "it") for v, kind in (("block", "spam"), ("allow", "news")) for i in range(3)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], PAGES)
+    found = urls.judge_urls(pages, rules).collect()
+    wrong = [r["url"] for r in found if r["verdict"] != ("block" if "/spam/" in r["url"] else "allow")]
+    assert wrong == []
+    assert len({r["purity"] for r in found if "/spam/" in r["url"]}) == 1
+
+
+def test_very_long_urls(spark):
+    rows = ["http://h.org/" + "a/" * 5000, "http://h.org/" + "x" * 200_000, "http://h.org/" + "a/" * 4999 + "b"] * 4
+    found = urls.judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], PAGES), URL_RULES).collect()
+    assert len(found) == 12 and {r["verdict"] for r in found} == {"allow"}
+
+
+def test_query_judges_every_page(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["url"] or "" for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()}
+    found = QUERIES["op6_url_filter"](spark, folder).collect()
+    assert sorted(r["page_id"] for r in found) == sorted(pages)
+    for r in found:
+        parts = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", pages[r["page_id"]])
+        host = re.sub("[A-Z]", lambda c: c[0].lower(), parts[1]) if parts else ""
+        path = parts[2] if parts else ""
+        fits = [(len(rule), v, rule) for v, rule in URL_RULES for name, _, start in [rule.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith("/" + start)]
+        assert (r["host"], r["path"]) == (host, path)
+        assert (r["rule"], r["verdict"] if fits else None) == ((max(fits)[2], max(fits)[1]) if fits else (None, None))
+
+
 def test_urls_keep_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", "h")], PAGES).withColumns({"n": F.lit(1), "Host": F.lit("old"), "ruled": F.lit(2)})
     found = urls.judge_urls(pages, URL_RULES)
