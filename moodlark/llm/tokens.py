@@ -238,6 +238,9 @@ def _fitting(ids: np.ndarray, width: int) -> bytes:
 
 @lru_cache(maxsize=4)
 def _ids(path: str, width: int) -> Coder:
+    # Ids of a small vocabulary always fit: they need no look.
+    if vocabulary_size(path) <= 1 << 8 * width:
+        return Coder(path, lambda ids: ids.astype(f"<u{width}").tobytes())
     return Coder(path, lambda ids: _fitting(ids, width))
 
 
