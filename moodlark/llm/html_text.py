@@ -9,6 +9,7 @@ that distinct pages share is boilerplate. Only the runs that are left are kept.
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ from moodlark.workspace import written
 # Words from which a repeated run may be boilerplate.
 RUN_WORDS = 8
 # Pages of different content that must share it, at least: of whole blocks, two that are a quarter of the
-# host's; inside of blocks, three that are more than half of them.
+# host's; inside of blocks, three that are more than half of them. A host with fewer pages than the last shares nothing.
 RUN_PAGES, RUN_SHARE = 2, 0.25
 INNER_PAGES, INNER_SHARE = 3, 0.5
+HOST_PAGES = 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -191,11 +193,24 @@ def _uncovered(blocks: list[str], sure: list[bool], shared: list[int], most: lis
     return " ".join(kept)
 
 
+def _judged(blocks: list[tuple[int, str]], run: int) -> list[bool]:
+    """Which blocks beside an article are judged: plain ones, if they or others around them have a run.
+
+    Plain blocks that stand together are one body: its headings and short
+    paragraphs go with it. Where all are short, no run can tell, and they are not
+    part of the article.
+    """
+    found: list[bool] = []
+    for part, together in groupby(blocks, key=lambda b: b[0]):
+        body = list(together)
+        found += [part == _Page.UNSURE and any(len(text.split()) >= run for _, text in body)] * len(body)
+    return found
+
+
 def _parse(html: str, run: int) -> tuple[str, list[str], list[bool], list[int], int]:
     blocks = blocks_of(html)
     content = [text for part, text in blocks if part == _Page.CONTENT]
-    # Beside an article, plain blocks that have a run are judged; shorter ones, of which no run can tell, are not part of it.
-    unsure = [part == _Page.UNSURE and (not content or len(text.split()) >= run) for part, text in blocks]
+    unsure = _judged(blocks, run) if content else [part == _Page.UNSURE for part, _ in blocks]
     judged = [text for (_, text), open_ in zip(blocks, unsure, strict=True) if open_]
     rest = [text for (part, text), open_ in zip(blocks, unsure, strict=True) if not open_ and part != _Page.CONTENT]
     texts = [(text, not open_) for (part, text), open_ in zip(blocks, unsure, strict=True) if open_ or part == _Page.CONTENT] if judged else []
@@ -211,17 +226,18 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", run_words:
 
     The text of a page is its article: blocks in page order, white space made
     one space, joined by one space, character references decoded. Plain blocks
-    of at least ``run_words`` words beside it stay as well, less what the host
-    repeats. Without an
+    beside it stay as well, less what the host repeats, where a body of them has a
+    block of at least ``run_words`` words. Without an
     ``article`` or ``main`` element it is all plain text outside of menus,
     headers, footers, sidebars, notices, adverts, forms and comments, less what
     the host repeats in runs of at least ``run_words`` words: whole blocks that
     are on two pages or more and a quarter of the host's, and runs inside of
     blocks that are on three pages or more and over half of the host's. Pages
     count once for each different content, so copies of a page share nothing
-    with each other, and a passage that few articles quote stays. On a host of
-    up to eight pages a block that two of them have whole is taken for
-    boilerplate. Nothing else is left out. A null html is empty and gives an
+    with each other, and a passage that few articles quote stays. Two pages
+    cannot tell boilerplate from a passage, so a host of two keeps both. On a
+    host of three to eight pages a block that two of them have whole is taken
+    for boilerplate. Nothing else is left out. A null html is empty and gives an
     empty text; a page without a host shares that of all such pages. Columns
     ``text`` and ``n_chars`` are replaced.
 
@@ -242,14 +258,12 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", run_words:
 
     numbered = read.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     parsed = written(numbered, "pages")
-    # One page of each content stands for its copies.
-    contents = parsed.groupBy("host", "same").agg(F.min("row").alias("row"))
-    contents = written(contents.select("host", "row"), "page-contents")
-    hosts = contents.groupBy("host").agg(F.count("*").alias("of"))
-    suffixes = parsed.join(contents.select("row"), "row", "left_semi").select("host", "row", F.explode("heads").alias("head"))
+    # Contents are counted, not pages: copies of a page count once.
+    hosts = parsed.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    suffixes = parsed.select("host", "same", F.explode("heads").alias("head"))
     counted = suffixes.distinct().groupBy("host", "head").agg(F.count("*").alias("pages")).where(F.col("pages") >= RUN_PAGES)
     inner = (F.col("pages") >= INNER_PAGES) & (F.col("pages") > F.col("of") * INNER_SHARE)
-    shared = counted.join(hosts, "host").where(F.col("pages") >= F.col("of") * RUN_SHARE)
+    shared = counted.join(hosts.where(F.col("of") >= HOST_PAGES), "host").where(F.col("pages") >= F.col("of") * RUN_SHARE)
     shared = written(shared.select("host", "head", inner.alias("inner")), "page-runs")
     unsure = parsed.where(F.size("unsure") > 0)
     starts = (

@@ -276,3 +276,25 @@ def test_a_body_beside_a_teaser_article_stays(spark):
     rows = [(i, f"http://a.org/{i}", f"<article>teaser {i}</article><div>{b}</div><div>{legal}</div><main>last</main>menu") for i, b in enumerate(body)]
     found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert found == {i: f"teaser {i} {b} last" for i, b in enumerate(body)}
+
+
+def test_headings_and_short_paragraphs_of_a_body_stay(spark):
+    body = "<h2>Short heading</h2><p>" + " ".join(f"w{j}" for j in range(20)) + "</p><p>seven words are not enough for runs</p>"
+    page = f"<article>teaser</article><div>{body}</div><nav>menu</nav><p>lost alone</p>"
+    found = main_text(spark.createDataFrame([(1, "http://a.org/", page)], PAGES)).first()["text"]
+    assert found == "teaser Short heading " + " ".join(f"w{j}" for j in range(20)) + " seven words are not enough for runs"
+
+
+def test_two_pages_of_a_host_keep_what_they_share(spark):
+    shared = "one block of twelve words that both pages of this host have"
+    rows = [(i, f"http://a.org/{i}", f"<p>{shared}</p><p>own{i} text</p>") for i in range(2)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<p>{shared}</p><p>own{i} text</p>") for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {0: f"{shared} own0 text", 1: f"{shared} own1 text", 10: "own0 text", 11: "own1 text", 12: "own2 text"}
+
+
+def test_very_long_html(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(0, "http://a.org/", f"<div><p>{words}</p></div>"), (1, "http://a.org/x", "<div>" * 3000 + f"<article>{words}</article>"), (2, None, None)]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {0: words, 1: words, 2: ""}
