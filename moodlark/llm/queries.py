@@ -177,7 +177,67 @@ def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
-@query("op13_manifest")
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """CTEs of a tree over ``leaves`` (key, k, d, n): nodes and siblings by level, then path(key, k, ...) and the root."""
+    steps = [f"{name}_n0 AS (SELECT key, k, d, n FROM {leaves})"]
+    for h in range(levels):
+        run = "PARTITION BY key, k // 16 ORDER BY k ROWS BETWEEN"
+        steps.append(
+            f"""{name}_s{h} AS (
+  SELECT key, k, n > {16**h} AS open, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_n{h}),
+{name}_n{h + 1} AS (
+  SELECT key, k // 16 AS k, n, CASE WHEN n > {16**h} THEN sha256(string_agg(d, '' ORDER BY k)) ELSE any_value(d) END AS d
+  FROM {name}_n{h} GROUP BY key, k // 16, n)"""
+        )
+    return ",\n".join(steps)
+
+
+def _manifest_sql(levels: int = 4, top_levels: int = 3) -> str:
+    """The manifest of up to 16 ** ``levels`` documents a source and 16 ** ``top_levels`` sources."""
+    fields = "source, lang, n_chars, {text}"
+    leaf = lambda text: "sha256(" + " || ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')" for c in ["doc_id", *fields.format(text=text).split(", ", 3)]
+    ) + ")"
+    small = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    joins = "\n".join(
+        [f"JOIN own_s{h} own{h} ON own{h}.key = leaves.key AND own{h}.k = leaves.k // {16**h}" for h in range(levels)]
+        + [f"JOIN top_s{h} top{h} ON top{h}.k = tops.k // {16**h}" for h in range(top_levels)]
+    )
+    proof = " || ".join([f"own{h}.l || own{h}.r" for h in range(levels)] + [f"top{h}.l || top{h}.r" for h in range(top_levels)])
+    # One CTE for each level of the fold, as the digest below it is used twice.
+    folds, last = [], "folded_0"
+    for i, x in enumerate([f"own{h}" for h in range(levels)] + [f"top{h}" for h in range(top_levels)]):
+        folds.append(f"folded_{i + 1} AS (SELECT * REPLACE (CASE WHEN {x}_open THEN sha256({x}_l || f || {x}_r) ELSE f END AS f) FROM folded_{i})")
+        last = f"folded_{i + 1}"
+    parts = ", ".join(f"{x}.open AS {x}_open, {x}.l AS {x}_l, {x}.r AS {x}_r" for x in [f"own{h}" for h in range(levels)] + [f"top{h}" for h in range(top_levels)])
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+), digests AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, {leaf("text")} AS leaf, {leaf(small)} AS other,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 0 AS hit
+  FROM documents CROSS JOIN crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, leaf AS d, count(*) OVER (PARTITION BY key) AS n
+  FROM digests
+), {_tree_sql("own", "leaves", levels)},
+tops AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS k, d, count(*) OVER () AS n FROM own_n{levels}),
+top_leaves AS (SELECT '' AS key, k, d, n FROM tops),
+{_tree_sql("top", "top_leaves", top_levels)},
+folded_0 AS (
+  SELECT doc_id, leaf, tops.d AS subroot, (SELECT d FROM top_n{top_levels}) AS root, sha256({proof}) AS proof_sha256,
+    CASE WHEN hit THEN other ELSE leaf END AS f, {parts}
+  FROM leaves JOIN tops ON tops.key = leaves.key
+  {joins}
+), {", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {last}
+"""
+
+
+@query("op13_manifest", _manifest_sql())
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     small = F.translate("text", ascii_uppercase, ascii_lowercase)

@@ -105,7 +105,8 @@ def test_query_over_whole_table(spark, name):
     found = QUERIES[name](spark, SF_DIR)
     if name in ORACLES:
         tables = duckdb.connect()
-        tables.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF_DIR}/conversations.parquet'")
+        for of in ("conversations", "documents", "embeddings"):
+            tables.execute(f"CREATE VIEW {of} AS SELECT * FROM '{SF_DIR}/{of}.parquet'")
         wanted = tables.execute(ORACLES[name])
         names = [c[0] for c in wanted.description]
         assert sorted(found.columns) == sorted(names)
