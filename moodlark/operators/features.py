@@ -116,23 +116,24 @@ def capped_vocabulary(corpus: DataFrame, size: int) -> DataFrame:
     return stored.join(starts, "_range").where(F.col("_row") + F.col("_shift") < size).select("term", "n")
 
 
-# Terms that are looked up apart from the others, and how long they may be: 40 MB at most.
-HEAVY_TERMS, HEAVY_LENGTH = 10_000, 4096
+# The most frequent terms, how long they may be (4 MB pass the driver at most), and the pieces each is dealt out in.
+HEAVY_TERMS, HEAVY_LENGTH, PIECES = 1000, 4096, 200
 
 
 def joined_by_term(counts: DataFrame, table: DataFrame, frequency: DataFrame, how: str = "inner") -> DataFrame:
     """``counts`` joined to ``table`` (one row per term), however frequent a term is.
 
-    The most frequent terms of ``frequency`` (term, df) are sent to all tasks,
-    which bounds them by number and length. Of the others none holds more than
-    one in ``HEAVY_TERMS`` of all rows, so they meet in a shuffle without a hot
-    key. All three tables should be stored: two passes read them.
+    Rows of the most frequent terms of ``frequency`` (term, df) are dealt out in
+    pieces, for which the table has copies of their rows. So no key of the join
+    holds more than one in ``PIECES`` of a term's rows or, for the other terms,
+    one in ``HEAVY_TERMS`` of all rows, whatever the session splits by itself.
     """
-    named = frequency.where(F.length("term") <= HEAVY_LENGTH).orderBy(F.desc("df"), "term").limit(HEAVY_TERMS).select("term")
-    heavy = written(named, "heavy-terms")
-    often = counts.join(F.broadcast(heavy), "term", "left_semi").join(F.broadcast(table.join(F.broadcast(heavy), "term", "left_semi")), "term", how)
-    rest = counts.join(F.broadcast(heavy), "term", "left_anti").join(table, "term", how)
-    return often.union(rest)
+    named = frequency.where(F.length("term") <= HEAVY_LENGTH).orderBy(F.desc("df"), "term").limit(HEAVY_TERMS)
+    is_heavy = F.col("term").isin([row["term"] for row in named.select("term").collect()])
+    piece = F.when(is_heavy, F.pmod(F.xxhash64(*counts.columns), F.lit(PIECES)).cast("int")).otherwise(0)
+    pieces = F.when(is_heavy, F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
+    dealt, copied = counts.withColumn("_piece", piece), table.withColumn("_piece", F.explode(pieces))
+    return dealt.join(copied, ["term", "_piece"], how).drop("_piece")
 
 
 def idf_weights(counts: DataFrame, posts: DataFrame) -> DataFrame:
@@ -146,8 +147,8 @@ def tf_idf(counts: DataFrame, posts: DataFrame) -> DataFrame:
     """TF-IDF weight of each term in each post.
 
     The counts are stored because several passes read them, the weights because
-    their size then decides how they are joined. Frequent terms do not meet in
-    the shuffle (``joined_by_term``).
+    their size then decides how they are joined. Frequent terms are dealt out
+    (``joined_by_term``).
     """
     stored = written(counts, "term-counts")
     weights = written(idf_weights(stored, posts), "idf-weights")

@@ -230,7 +230,7 @@ def score_long_form(counts: DataFrame, weights: DataFrame, intercepts: Sequence[
     The weights hold one row per vocabulary term with its IDF and one column
     per class, so a post's terms are looked up once for all and summed per
     task before the shuffle on id. Terms without weights add nothing. Both
-    tables should be stored; frequent terms do not meet in the shuffle
+    tables should be stored; frequent terms are dealt out
     (``features.joined_by_term``).
     """
     classes = range(len(intercepts))
