@@ -42,7 +42,8 @@ def tokenizer(path: str):
 _TOGETHER = 64
 # Marks after a letter or digit. The tokenizer begins a new piece there, so white
 # space in between changes nothing, and "word" and "word," are one chunk to remember.
-_MARKS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#*$%&]+")
+# The pattern begins with a mark, so that the search passes over all other bytes at once.
+_MARKS = re.compile(rb"[.,;:!?#*$%&](?<=[a-z0-9].)[.,;:!?#*$%&]*")
 
 
 def chunks_of(text: bytes) -> list[bytes]:
