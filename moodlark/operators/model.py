@@ -4,7 +4,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,11 @@ HASH_MODULUS = 2**32
 
 TRAIN_SHARE = 0.8
 
+# Up to so many terms one task reads them all; of more, so many fall to each task at most.
+TERMS_IN_ONE_TASK, TERMS_IN_TASK = 2**22, 2**25
+# Parts and depth of a tree of sums that ends in one task: 28, 7, 1. Four times the parts take one step more.
+TREE_PARTS, TREE_DEPTH, TREE_FACTOR = 28, 3, 4
+
 
 def hash_of_id(post_id: Column) -> Column:
     """``id * multiplier mod 2^32`` without overflow, whatever the id."""
@@ -147,6 +152,10 @@ def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split)
     input for each step, reads count vectors that were dealt out evenly. The
     result is the same pipeline model that ``Pipeline.fit`` gives, but that ties
     at the vocabulary's cap are settled, so that two fits have the same terms.
+
+    Each step adds up one gradient of the vocabulary's size for each part of
+    the vectors. So their number follows the terms, not the session's shuffles,
+    and the sums meet on the executors: the driver gets one for each step.
     """
     stages = (pipeline or sentiment_pipeline()).getStages()
     counter = next(stage for stage in stages if isinstance(stage, CountVectorizer))
@@ -159,17 +168,31 @@ def train(posts: DataFrame, pipeline: Pipeline | None = None, split=hash_split)
     corpus = written(corpus_counts(train_set, terms), "corpus-counts")
     vocabulary = fit_vocabulary(counter, corpus, train_set)
     counted = vocabulary.transform(train_set).select("target", vocabulary.getOutputCol())
-    fitted, data = [vocabulary], written(counted.repartition(_partitions(posts)), "training-counts")
+    parts, depth = _summing_tree(corpus.agg(F.sum("n")).first()[0] or 0)
+    # Dealt out when read: how many tasks read stored files is the session's business.
+    fitted, data = [vocabulary], written(counted, "training-counts").repartition(parts)
     for stage in stages[at + 1 :]:
-        fitted.append(stage.fit(data))
+        fitted.append(_with_depth(stage, depth).fit(data))
         data = fitted[-1].transform(data)
     model, later = PipelineModel([*texts, *fitted]), PipelineModel(fitted)
     scored = written(_narrow(later.transform(test_set)), "scored-posts")
     return Training(model, later.transform(train_set), scored, evaluate(scored), _cut_terms(corpus, vocabulary))
 
 
-def _partitions(posts: DataFrame) -> int:
-    return int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _summing_tree(terms: int) -> tuple[int, int]:
+    """How many parts vectors of so many terms are dealt out in, and the depth at which their sums end in one task."""
+    if terms <= TERMS_IN_ONE_TASK:
+        return 1, TREE_DEPTH
+    parts, depth = TREE_PARTS, TREE_DEPTH
+    while terms > parts * TERMS_IN_TASK:
+        parts, depth = parts * TREE_FACTOR, depth + 1
+    return parts, depth
+
+
+def _with_depth(stage: Estimator, depth: int) -> Estimator:
+    """A regression whose sums take so many steps, unless its depth was set."""
+    plain = isinstance(stage, LogisticRegression) and not stage.isSet(stage.aggregationDepth)
+    return stage.copy({stage.aggregationDepth: depth}) if plain else stage
 
 
 def _narrow(scored: DataFrame) -> DataFrame:

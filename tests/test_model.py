@@ -135,6 +135,40 @@ def test_training_is_that_of_the_pipeline(posts, training):
     assert found == plain.transform(everything).select(columns).orderBy("id").collect()
 
 
+def _ends_of_tree(parts, depth):
+    """Tasks whose sums go to the driver, as Spark's ``treeAggregate`` has it."""
+    scale = max(math.ceil(parts ** (1 / depth)), 2)
+    while parts > scale + math.ceil(parts / scale):
+        parts //= scale
+    return parts
+
+
+def test_gradients_meet_in_one_task_however_many_terms():
+    limit = classifier.TERMS_IN_TASK
+    for terms in (0, 1000, 2**22, 2**22 + 1, 28 * limit, 28 * limit + 1, 10**11):
+        parts, depth = classifier._summing_tree(terms)
+        assert _ends_of_tree(parts, depth) == 1
+        assert terms <= parts * limit
+        assert parts == 1 or parts == 28 or terms > parts * limit / 4
+
+
+def test_each_step_sends_one_gradient_to_the_driver(spark, posts, monkeypatch):
+    """Of the many small parts of a large corpus, one job for each step, whose last stage is one task."""
+    monkeypatch.setattr(classifier, "TERMS_IN_ONE_TASK", 10)
+    context = spark.sparkContext
+    context.setJobGroup("gradients", "gradients")
+    try:
+        trained = classifier.train(posts, classifier.sentiment_pipeline(features.TOKENS, vocab_size=50, max_iter=5))
+        jobs = context.statusTracker().getJobIdsForGroup("gradients")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    told = [context.statusTracker().getJobInfo(job) for job in jobs]
+    ends = [context.statusTracker().getStageInfo(max(job.stageIds)) for job in told if job and len(job.stageIds) >= 3]
+    steps = [end for end in ends if end and "treeAggregate" in end.name]
+    assert len(steps) >= 5 and {end.numTasks for end in steps} == {1}
+    assert trained.model.stages[-1].getOrDefault("aggregationDepth") == 3
+
+
 def test_training_tells_what_the_vocabulary_cuts(posts):
     words = {w for p in classifier.hash_split(features.with_text(posts))[0].collect() for w in p.tweet.split()}
     pipeline = classifier.sentiment_pipeline(features.TOKENS, vocab_size=5, max_iter=2)
