@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 # Batches that share a list.
 BATCHES_IN_RANGE = 1000
 ROWS_IN_FILE = 1_000_000
+BYTES_IN_FILE = 64 * 2**20
 # Seconds after which a folder that is not listed may go.
 KEPT_SECONDS = 24 * 3600
 
@@ -149,9 +150,23 @@ def newest(spark: SparkSession, path: str, n: int) -> list[Entry]:
     return chosen[::-1]
 
 
-def merge(spark: SparkSession, path: str, order: tuple[str, ...] = ("batch_id", "seq"), rows_in_file: int = ROWS_IN_FILE) -> int:
+def _stored_bytes(spark: SparkSession, path: str, listed: list[Entry]) -> int:
+    """Size of the folders of some entries, as stored."""
+    found = [_file_system(spark, f"{path}/data/{e.folder}") for e in listed]
+    return sum(system.getContentSummary(at).getLength() for system, at in found)
+
+
+def merge(
+    spark: SparkSession,
+    path: str,
+    order: tuple[str, ...] = ("batch_id", "seq"),
+    rows_in_file: int = ROWS_IN_FILE,
+    bytes_in_file: int = BYTES_IN_FILE,
+) -> int:
     """Merge the batches of each range but the last into few files in ``order``; the number of merged ranges.
 
+    One task writes a file, so files are bounded by rows and by bytes: what a
+    task reads does not grow with the range, nor with the length of its texts.
     Readers see the same rows before and after. The old folders stay.
     """
     ranges = sorted(_versions(spark, path))
@@ -160,7 +175,7 @@ def merge(spark: SparkSession, path: str, order: tuple[str, ...] = ("batch_id",
         listed = _of_range(spark, path, at)
         if len(listed) > 1:
             rows = read(spark, path, of=listed)
-            files = max(1, -(-sum(e.rows for e in listed) // rows_in_file))
+            files = max(1, -(-sum(e.rows for e in listed) // rows_in_file), -(-_stored_bytes(spark, path, listed) // bytes_in_file))
             folder, n = write_folder(rows.repartitionByRange(files, *order).sortWithinPartitions(*order), path)
             _put(spark, path, at, [Entry(folder, listed[0].first, listed[-1].last, n)])
             merged += 1

@@ -106,6 +106,21 @@ def test_merged_files_are_bounded_by_rows(spark, monkeypatch):
     assert all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_merged_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(published, "BATCHES_IN_RANGE", 5)
+    path = new_path(spark, "predictions")
+    for batch_id in range(6):
+        store(spark, path, batch_id, f"b{batch_id}", 7)
+    before = texts(spark, path)
+    listed = published.entries(spark, path)[:5]
+    size = published._stored_bytes(spark, path, listed)
+    assert size > 5 * 100
+    published.merge(spark, path, bytes_in_file=-(-size // 4))
+    merged = published.read(spark, path, PREDICTION, published.entries(spark, path)[:1])
+    assert 3 <= len(merged.inputFiles()) <= 5
+    assert texts(spark, path) == before
+
+
 def test_newest_rows_read_the_last_batches_only(spark, monkeypatch):
     monkeypatch.setattr(published, "BATCHES_IN_RANGE", 3)
     path = new_path(spark, "predictions")
