@@ -64,22 +64,27 @@ _ALONE = r"""[;@#$%&?!*()\[\]{}<>"`«»“”‘’„]"""
 _MARK = r"""[-.,:;@#$%&?!*()\[\]{}<>"`«»\x{100}-\x{10ffff}]"""
 # What may stand between a sentence's final period and the following blank.
 _CLOSERS = r"""[\])}>"'»”’]*"""
-# Where a word begins and ends: no letter, digit or underscore beyond.
-_BEGINS, _ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+# Where a word ends: no letter, digit or underscore beyond.
+_ENDS = r"(?![\p{L}\p{N}_])"
 # First parts of words that are written together, each before its second part.
+_PARTS = [
+    ("can", f"not{_ENDS}"),
+    ("gon", f"na{_ENDS}"),
+    ("got", f"ta{_ENDS}"),
+    ("wan", f"na{_BLANK}"),
+    ("gim", f"me{_ENDS}"),
+    ("lem", f"me{_ENDS}"),
+    ("d", f"'ye{_ENDS}"),
+    ("more", f"'n{_ENDS}"),
+]
+# Letters are compared first; only then is it looked at what stands before the word.
 _FUSED = "|".join(
     [
-        rf"{_BEGINS}can(?=not{_ENDS})",
-        rf"{_BEGINS}gon(?=na{_ENDS})",
-        rf"{_BEGINS}got(?=ta{_ENDS})",
-        rf"{_BEGINS}wan(?=na{_BLANK})",
-        rf"{_BEGINS}gim(?=me{_ENDS})",
-        rf"{_BEGINS}lem(?=me{_ENDS})",
-        rf"{_BEGINS}d(?='ye{_ENDS})",
-        rf"{_BEGINS}more(?='n{_ENDS})",
-        rf"(?<={_BLANK})'t(?=(?:is|was){_ENDS})",
+        *[rf"{first}(?={second})(?<![\p{{L}}\p{{N}}_]{first})" for first, second in _PARTS],
+        rf"'t(?=(?:is|was){_ENDS})(?<={_BLANK}'t)",
     ]
 )
+_FUSED = f"(?=[cgwldm'])(?:{_FUSED})"
 
 
 # A private-use character for the period of an abbreviation.
@@ -91,10 +96,16 @@ def _spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
 
 
+def chunks_of(text: Column) -> Column:
+    """What stands between blanks, lower case; empty at the ends of a text that has blanks there."""
+    return F.split(F.lower(text), f"{_BLANK}+")
+
+
 def ended_words(text: Column) -> Column:
     """The distinct chunks that a period ends, without it: what may be abbreviations there."""
-    pattern = rf"(?<={_BLANK})([^{BLANKS}]*[^.{BLANKS}])\.(?={_CLOSERS}{_BLANK})"
-    return F.array_distinct(F.regexp_extract_all(_spaced(text), F.lit(pattern), F.lit(1)))
+    dotted = F.filter(chunks_of(text), lambda chunk: chunk.contains("."))
+    words = F.transform(dotted, lambda chunk: F.regexp_extract(chunk, rf"\A(.*[^.])\.{_CLOSERS}\z", 1))
+    return F.array_distinct(F.array_remove(words, ""))
 
 
 def _with_kept_periods(text: Column, abbreviations: Column) -> Column:
@@ -105,7 +116,7 @@ def _with_kept_periods(text: Column, abbreviations: Column) -> Column:
         word = F.regexp_extract(chunk, rf"\A(.*[^.]){ended}", 1)
         return F.when(F.array_contains(abbreviations, word), F.regexp_replace(chunk, ended, f"{_KEPT}$1")).otherwise(chunk)
 
-    chunks = F.array_join(F.transform(F.split(F.lower(text), f"{_BLANK}+"), marked), " ")
+    chunks = F.array_join(F.transform(chunks_of(text), marked), " ")
     return F.when(F.size(abbreviations) > 0, chunks).otherwise(text)
 
 

@@ -9,8 +9,7 @@ occurrences without a period (Kiss and Strunk, 2006).
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlark.functions.lexicon import BLANKS
-from moodlark.functions.text import ended_words
+from moodlark.functions.text import chunks_of, ended_words
 from moodlark.workspace import written
 
 # What is cut off at the ends of a chunk before its word is counted.
@@ -22,15 +21,18 @@ AFTER_ABBREVIATION, THRESHOLD = 0.99, 0.3
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """``word, with_period, without_period``: each word of all texts, lower case, with and without a final period.
 
-    Counts are added up in each task before they are shuffled. Null texts have no words.
+    Equal chunks are counted before their words are cut out of them, in each
+    task and after a shuffle. Null texts have no words.
     """
-    chunks = F.regexp_extract_all(F.lower(text), F.lit(f"[^{BLANKS}]+"), F.lit(0))
-    chunk = texts.select(F.explode_outer(chunks).alias("chunk"))
+    chunk = texts.select(F.explode_outer(chunks_of(F.col(text))).alias("chunk")).where("chunk <> ''")
+    chunk = chunk.groupBy("chunk").agg(F.count("*").alias("n"))
     core = F.regexp_replace(F.regexp_replace("chunk", rf"\A{OPENERS}", ""), rf"{CLOSERS}\z", "")
     ends = F.col("core").rlike(r"[^.]\.\z")
-    words = chunk.select(core.alias("core")).where("core <> ''")
-    counted = words.select(F.when(ends, F.expr("left(core, length(core) - 1)")).otherwise(F.col("core")).alias("word"), ends.alias("ends"))
-    return counted.groupBy("word").agg(F.count_if("ends").alias("with_period"), F.count_if(~F.col("ends")).alias("without_period"))
+    # With the count in it, the optimizer leaves the test for empty words above the count.
+    words = chunk.select(F.when(F.col("n") > 0, core).alias("core"), "n").where("core <> ''")
+    word = F.when(ends, F.expr("left(core, length(core) - 1)")).otherwise(F.col("core"))
+    counted = words.select(word.alias("word"), F.when(ends, F.col("n")).otherwise(0).alias("ended"), "n")
+    return counted.groupBy("word").agg(F.sum("ended").alias("with_period"), F.sum(F.col("n") - F.col("ended")).alias("without_period"))
 
 
 def _log_likelihood(share: Column) -> Column:
@@ -72,7 +74,7 @@ def with_abbreviations(texts: DataFrame, text: str, id: str, words: DataFrame) -
     Texts are joined to their few abbreviations by ``id``, and only those that
     have any are. Rows that share an id, or have none, share what is found.
     """
-    ended = texts.select(F.col(id).alias("_id"), F.explode(ended_words(F.col(text))).alias("word"))
+    ended = texts.select(F.col(id).alias("_id"), F.explode_outer(ended_words(F.col(text))).alias("word"))
     found = ended.join(words, "word").groupBy("_id").agg(F.collect_set("word").alias("abbreviations"))
     stored = written(found, "abbreviated")
     joined = texts.drop("abbreviations").join(stored, texts[id].eqNullSafe(stored["_id"]), "left").drop("_id")

@@ -54,6 +54,20 @@ def test_scores_equal_plain_python(texts_of):
         assert (r["log_likelihood"], r["score"]) == pytest.approx(expected[r["word"]][2:], rel=1e-9)
 
 
+def test_words_are_cut_out_of_distinct_chunks(texts_of):
+    """One explode, without a filter that splits the texts again, and the patterns above the first count."""
+    plan = ab.word_counts(texts_of(PROSE), "tweet")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert above.count("Aggregate") == 2 and "regexp_replace" not in above[above.rindex("Aggregate") :] + below
+    assert plan.count("split(") == 1
+
+
+def test_ended_words_are_those_of_the_chunks(texts_of):
+    values = ["A.b. (c.) d.” e.. f.g .h i", " Dr. Dr.\u2003Dr.) x.,", "", None, "...", "é.\n"]
+    told = texts_of(values).select("id", text.ended_words(F.col("tweet")))
+    assert dict(told.collect()) == {0: ["a.b", "(c", "d"], 1: ["dr"], 2: [], 3: None, 4: [], 5: ["é"]}
+
+
 def test_abbreviations_are_learned(texts_of):
     found = {r["word"] for r in ab.learned_abbreviations(texts_of(PROSE), "tweet").collect()}
     assert {"dr", "prof", "a.m", "e.g"} <= found
