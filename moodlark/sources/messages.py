@@ -52,10 +52,10 @@ def parse_messages(messages: DataFrame, schema: StructType = POST) -> DataFrame:
     return messages.select(parsed(F.col("value"), schema).alias("data"), *arrival).select("data.*", *arrival)
 
 
-def to_messages(posts: DataFrame) -> DataFrame:
-    """One JSON object per post; null fields are written as null."""
+def to_messages(posts: DataFrame, *kept: str) -> DataFrame:
+    """One JSON object per post; null fields are written as null. ``kept`` names columns that stay beside it."""
     fields = F.struct("id", "source", "target", "tweet")
-    return posts.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+    return posts.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"), *kept)
 
 
 def publish(messages: DataFrame, options: dict[str, str], sink_format: str = KAFKA) -> None:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def test_many_draws_give_the_same_posts(spark, monkeypatch, named):
             assert sorted(map(str, found.collect())) == sorted(map(str, replay.replay(drawn, kept.read(spark), compat).collect()))
 
 
+def test_a_text_is_shaped_once_however_often_it_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(replay, "REPEATS_IN_ROW", 40)
+    kept = stored(spark, 5)
+    drawn = draws_of(spark, [2] * 130 + [4] * 40 + [9, 9, None, None])
+    for compat, others in ((False, {}), (True, {9: 2, None: 2})):
+        found = replay.replay(drawn, kept.drawn(drawn), compat)
+        assert Counter(r.id for r in found.collect()) == Counter({2: 130, 4: 40} | others)
+        chosen = replay._selected(drawn, kept.drawn(drawn), compat).collect()
+        assert Counter((r.id, r.repeats) for r in chosen) == Counter([(2, 40)] * 3 + [(2, 10), (4, 40), *others.items()])
+    assert replay.replay(draws_of(spark, []), kept.read(spark)).count() == 0
+
+
 def test_stream_of_draws(spark):
     kept = stored(spark, 50)
     drawn = replay.ticks(spark).select(replay.random_draw(F.col("value"), 7, draws=50).alias("draw"))
