@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moodlark.llm.tokens import as_bytes, ids_batch, vocabulary_size
+from moodlark.llm.tokens import as_bytes, ids_batch, slices, vocabulary_size
 from moodlark.workspace import written
 
 logger = logging.getLogger(__name__)
@@ -53,7 +53,7 @@ def encoded(docs: DataFrame, path: str, end: int, width: int, text: str, id: str
     last = end.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = [raw + last for raw in ids_batch(as_bytes(batch.column(1)), path, width)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
 
@@ -163,7 +163,8 @@ def write_token_files(
     spark, width = docs.sparkSession, _width(max(vocabulary or 0, vocabulary_size(path), end + 1))
     ids = written(encoded(docs, path, end, width, text, id), "token-ids")
     dictionary = trained_dictionary(ids, width)
-    spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
+    # A literal needs no Python worker on the executor.
+    spark.range(1).select(F.lit(bytearray(dictionary)).alias("dictionary")).coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, before = TaskContext.get().partitionId(), 0, 0
@@ -175,7 +176,7 @@ def write_token_files(
             row = [[file], [number], [held[0][0]], [held[-1][0]], [n_ids], [data]]
             return pa.record_batch(row, schema=_PACKS)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 frame = _compressor(dictionary).compress(raw)
                 held.append((doc_id, len(raw) // width, frame))
@@ -224,7 +225,8 @@ def read_token_files(spark: SparkSession, folder: str, wanted: list[int] | None
     chosen = frozenset(wanted) if wanted else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A pack has megabytes, a batch many packs.
+        for batch in slices(batches, 1):
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 read, rows = Pack(data, dictionary), []
                 for i in range(len(read)):

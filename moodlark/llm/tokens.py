@@ -17,11 +17,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Chunks that one worker remembers, at most twice.
-REMEMBERED = 400_000
+# Chunks that one worker remembers, and bytes of them, each at most twice.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 4 << 20
 # Bytes of text that are encoded together, and after which a long text is cut.
 BATCH_BYTES = 1 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -62,11 +63,13 @@ class Remembered:
 
     def __init__(self, path: str, of) -> None:
         self.library, self.of = tokenizer(path), of
+        self.model = self.library.model
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
+        self.young_bytes = 0
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,18 +81,29 @@ class Remembered:
         for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
-                yield from np.split(ids, ends[:-1])
+                start = 0
+                for end in ends.tolist():
+                    yield ids[start:end]
+                    start = end
             else:
                 yield from self._encoded(group)
 
+    def _small(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Ids of words of letters a-z: no rule changes or cuts them, so the tokenizer's model has them as they are."""
+        for word in words:
+            yield np.array([token.id for token in self.model.tokenize(word)], dtype=np.uint32)
+
     def look_up(self, chunks: list[bytes]) -> list:
         """The value of each chunk. New ones are encoded once, many in one call."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
+        if len(self.young) > REMEMBERED or self.young_bytes > REMEMBERED_BYTES:
+            self.young, self.old, self.young_bytes = {}, self.young, 0
         young, old = self.young, self.old
         if new := set(chunks).difference(young):
+            self.young_bytes += sum(map(len, new))
             young.update((c, old[c]) for c in new if c in old)
             texts = {c: c.decode() for c in new.difference(young)}
+            small = [c for c in texts if c.isalpha() and c.islower()]
+            young.update(zip(small, map(self.of, self._small([texts.pop(c) for c in small])), strict=True))
             words = [c for c, text in texts.items() if text.isalpha()]
             young.update(zip(words, map(self.of, self._words([texts[c] for c in words])), strict=True))
             rest = [c for c, text in texts.items() if not text.isalpha()]
@@ -266,6 +280,23 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices whose values of ``column`` have about ``size`` bytes; no row is cut.
+
+    Spark hands over thousands of rows at once. Nothing is copied here, so that
+    only a slice's rows are held as Python objects.
+    """
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column).cast(pa.binary()))
+        ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = min(int(np.searchsorted(ends, before + size)) + 1, len(ends))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -282,7 +313,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     schema = pa.schema([(id, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = as_bytes(batch.column(1))
             yield pa.record_batch([batch.column(0), [len(t) for t in texts], count_batch(texts, path)], schema=schema)
 

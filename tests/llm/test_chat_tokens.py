@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +113,34 @@ def test_old_chunks_are_forgotten(monkeypatch, library):
     assert len(kept.young) + len(kept.old) <= 16
 
 
+def test_long_chunks_are_forgotten_by_their_bytes(monkeypatch, library):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 1000)
+    kept = tokens.Remembered(PATH, len)
+    for letter in "abcdefghij" * 3:
+        assert kept.look_up([letter.encode() * 600]) == [len(library.encode(letter * 600, add_special_tokens=False))]
+    assert sum(map(len, (*kept.young, *kept.old))) <= 4 * 1000
+
+
+def test_plain_words_have_the_ids_of_the_library(library):
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(1, 30))) for _ in range(2000)] + ["the", "reading", "z" * 5000]
+    kept = tokens.Remembered(PATH, lambda ids: ids.tolist())
+    assert kept.look_up([w.encode() for w in words]) == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.binary()])
+def test_slices_hold_bounded_bytes_and_every_row(kind):
+    texts = ["x" * n for n in (5, 40, 3, 3, 3, 200, 0, 9)] + [None, "", None, "y" * 10]
+    whole = pa.record_batch({"id": list(range(len(texts))), "text": pa.array([t and t.encode() for t in texts], pa.binary()).cast(kind)})
+    parts = list(tokens.slices([whole.slice(0, 0), whole, whole.slice(3, 4)], 1, 10))
+    assert [i for p in parts for i in p["id"].to_pylist()] == [*range(len(texts)), 3, 4, 5, 6]
+    for part in parts:
+        sizes = [len(t or "") for t in part["text"].to_pylist()]
+        assert sum(sizes[:-1]) < 10
+    nothing = pa.record_batch({"id": [1, 2], "text": pa.nulls(2)})
+    assert [p.num_rows for p in tokens.slices([nothing], 1)] == [2]
+
+
 @settings(deadline=None)
 @given(st.lists(st.text(alphabet="aBzÉßİıŉǅⱥé'’1.,#*<|>_-\u0301ʰΣ", min_size=1, max_size=8), max_size=80))
 def test_chunks_are_encoded_as_by_the_library(chunks):

@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,23 @@ def test_files_read_back(spark, monkeypatch):
     assert {r["start"] for r in some} <= {r["start"] for r in found}
 
 
+def test_large_batches_are_encoded_in_slices(spark):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["word " * 60_000, None, "other words " * 30_000, ""] * 5
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    out = list(packs.encoded(Docs(), PATH, 2, 2, "text", "doc_id")(iter([batch])))
+    assert [i for part in out for i in part["doc_id"].to_pylist()] == list(range(len(texts)))
+    found = [np.frombuffer(raw, "<u2").tolist() for part in out for raw in part["ids"].to_pylist()]
+    assert found == [[*np.frombuffer(ids_batch([(t or "").encode()], PATH)[0], "<u4"), 2] for t in texts]
+    assert all(sum(len(texts[i] or "") for i in part["doc_id"].to_pylist()) < 2 << 20 for part in out)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_width_follows_the_tokenizer(spark, name):
     path, texts = public_tokenizers.path(name), ["Some text\n\nhere", None, "é 漢字 🙂"]
